@@ -19,6 +19,7 @@ distinct word), joined back to the occurrences.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from functools import lru_cache
@@ -89,10 +90,14 @@ def nfkd_table() -> dict[str, str]:
     return table
 
 
+@lru_cache(maxsize=1)
+def _nfkd_json() -> str:
+    return json.dumps(nfkd_table(), ensure_ascii=True, sort_keys=True)
+
+
 def _nfkd_map_column() -> Column:
-    items = sorted(nfkd_table().items())
-    return F.map_from_arrays(F.array(*[F.lit(k) for k, _ in items]),
-                             F.array(*[F.lit(v) for _, v in items]))
+    # one string literal, folded to a map constant by the optimizer
+    return F.from_json(F.lit(_nfkd_json()), "map<string,string>")
 
 
 def _map_piece(piece: Column, table: Column) -> Column:

@@ -12,8 +12,9 @@ Index build (lazy):
     in avgdl, as in the reference.
 
 Search: the (small) query-term table is joined with the document
-frequencies, then broadcast -- behind a row-count check -- into the postings
-scan. Because postings are partitioned by document, the per-(query, doc) sum
+frequencies, then joined into the postings scan; Spark broadcasts it only
+when its size is under the broadcast threshold (checked again by AQE on
+runtime sizes), else it falls back to a shuffled join. Because postings are partitioned by document, the per-(query, doc) sum
 needs no shuffle, and the top-k keeps only k rows per query per task before
 the single shuffle on query_id. Frequent terms ("the") have long postings,
 but they are streamed, never shuffled.
@@ -31,9 +32,6 @@ from rankforge.functions.scoring import bm25_idf, bm25_tf_part
 from rankforge.functions.text import analyze
 from rankforge.operators.ranking import ranked_list
 
-BROADCAST_QUERY_TERMS = 5_000_000   # rows; above it the query side is shuffled
-
-
 @dataclass
 class BM25Index:
     postings: DataFrame        # doc_id, term, tf, dl   (partitioned by doc_id)
@@ -95,7 +93,7 @@ def build_bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def bm25_search(index: BM25Index, queries: DataFrame, k: int, query_col: str = "query_id",
                 text_col: str = "query", source: str = "bm25", digits: int | None = 9,
-                pad_zero: bool = False, broadcast_limit: int = BROADCAST_QUERY_TERMS) -> DataFrame:
+                pad_zero: bool = False) -> DataFrame:
     """JN-10 + SRT-2: ranked list of the k best documents per query.
 
     score(q, d) = sum over shared terms of qtf * w(t, d); repeated query terms
@@ -104,12 +102,13 @@ def bm25_search(index: BM25Index, queries: DataFrame, k: int, query_col: str = "
     p = index.params
     q = queries.select(F.col(query_col).alias("query_id"), F.col(text_col).alias("query"))
     qtf = term_counts(q, "query_id", "query", p.stem, null_as="None").withColumnRenamed("tf", "qtf")
-    small = qtf.count() <= broadcast_limit          # size check before any broadcast
-    qside = (F.broadcast(qtf) if small else qtf).join(index.doc_freq, "term")
+    # no hint: the planner broadcasts the query side only below
+    # spark.sql.autoBroadcastJoinThreshold, and AQE re-checks with runtime sizes
+    qside = qtf.join(index.doc_freq, "term")
     idf = bm25_idf(index.n_docs, "df")
     contrib = (F.col("qtf").cast("double")
                * (bm25_tf_part("tf", "dl", index.avgdl, p.k1, p.b) * idf))
-    scores = (index.postings.join(F.broadcast(qside) if small else qside, "term")
+    scores = (index.postings.join(qside, "term")
               .groupBy("query_id", "doc_id").agg(F.sum(contrib).alias("score")))
     if pad_zero:
         scores = pad_with_zero_scores(scores, index.docs, qside.select("query_id").distinct(), k)

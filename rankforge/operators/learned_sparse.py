@@ -2,8 +2,8 @@
 
 Documents and queries are sparse term-weight vectors held in long form
 (id, term, weight). Scoring is the same inverted-index join as BM25: the
-query side is broadcast behind a row-count check into the document-weight
-scan, sums per (query, doc) and a top-k with a partial limit per task.
+query side joins the document-weight scan (broadcast by the planner only
+below the broadcast size threshold, re-checked by AQE), sums per (query, doc) and a top-k with a partial limit per task.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from rankforge.functions.scoring import sparse_activation
 from rankforge.functions.text import analyze
-from rankforge.operators.bm25 import BROADCAST_QUERY_TERMS, pad_with_zero_scores
+from rankforge.operators.bm25 import pad_with_zero_scores
 from rankforge.operators.ranking import ranked_list
 
 
@@ -65,16 +65,14 @@ def encode_sparse(df: DataFrame, id_col: str, text_col: str,
 
 def sparse_search(query_weights: DataFrame, doc_weights: DataFrame, k: int,
                   source: str = "splade", digits: int | None = 9, pad_zero: bool = False,
-                  docs: DataFrame | None = None,
-                  broadcast_limit: int = BROADCAST_QUERY_TERMS) -> DataFrame:
+                  docs: DataFrame | None = None) -> DataFrame:
     """JN-11 + SRT-2: dot product of query and document term weights, top k.
 
     ``query_weights``: (query_id, term, weight); ``doc_weights``: (doc_id,
     term, weight). A query sharing no term with any document gets no rows;
     ``pad_zero`` fills short lists with zero-score documents (needs ``docs``)."""
     q = query_weights.select("query_id", "term", F.col("weight").alias("qw"))
-    small = q.count() <= broadcast_limit
-    scores = (doc_weights.join(F.broadcast(q) if small else q, "term")
+    scores = (doc_weights.join(q, "term")
               .groupBy("query_id", "doc_id")
               .agg(F.sum(F.col("qw") * F.col("weight")).alias("score")))
     if pad_zero:

@@ -219,12 +219,13 @@ def token_length_profile(df: DataFrame, text_col: str = "product_text_dense", le
     ``approximate=True`` uses percentile_approx for very large inputs."""
     n_tokens = (length if length is not None else token_count(text_col)).cast("double")
     ps = [p / 100.0 for p in PROFILE_PERCENTILES]
+    n = F.col("n")
     if approximate:
-        pct = F.percentile_approx(n_tokens, ps, 10000).cast("array<double>")
-        med = F.percentile_approx(n_tokens, 0.5, 10000).cast("double")
+        pct = F.percentile_approx(n, ps, 10000).cast("array<double>")
+        med = F.percentile_approx(n, 0.5, 10000).cast("double")
     else:
-        pct = F.percentile(n_tokens, F.array(*[F.lit(p) for p in ps]))
-        med = F.percentile(n_tokens, F.lit(0.5))
+        pct = F.percentile(n, F.array(*[F.lit(p) for p in ps]))
+        med = F.percentile(n, F.lit(0.5))
     row = df.select(n_tokens.alias("n")).agg(
         F.avg("n").alias("mean"), med.alias("median"), F.min("n").alias("min"),
         F.max("n").alias("max"), pct.alias("pct"))

@@ -28,7 +28,7 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
                "conversations")
 
 _VEC_QRELS_PART = """
-SELECT q.query_id, p.product_id, {grade} AS grade
+SELECT q.query_id, p.product_id, CAST({grade} AS DOUBLE) AS grade
 FROM fx_vec_queries q JOIN fx_vec_products p ON p.label = (q.label + {off} + 10) % 10"""
 
 FIXTURE_SQL: dict[str, str] = {
