@@ -3,9 +3,9 @@
 The ranked lists of all active sources are one table (union by name), fused
 by one aggregate per (query, product): one conditional sum per source, added
 in the fixed source order (so the float sum equals the reference's running
-dict sum), plus the first-seen position for ties. Ranked lists arrive
-hash-partitioned by query_id, which satisfies both the aggregate and the
-final window, so fusion adds no shuffle of its own.
+dict sum), plus the first-seen position for ties. The union is exchanged
+once on query_id; that one shuffle (at most k rows per query and source)
+serves both the aggregate and the final window.
 """
 
 from __future__ import annotations
@@ -39,7 +39,9 @@ def rrf_fuse(ranked: DataFrame, weights: Mapping[str, float], rrf_k: int = 60,
     order_code = F.coalesce(*[F.when(F.col("source") == s, F.lit(i)) for i, s in enumerate(source_order)],
                             F.lit(len(source_order)))
     first_seen = F.min(F.struct(order_code.alias("src"), F.col("rank").alias("pos"))).alias("__first")
-    agg = ranked.groupBy("query_id", "product_id").agg(*parts, first_seen)
+    # an explicit exchange on query_id: a union's inherited partitioning is not
+    # trusted (AQE may coalesce the children's shuffles differently)
+    agg = ranked.repartition("query_id").groupBy("query_id", "product_id").agg(*parts, first_seen)
     total = None
     for s in source_order:
         c = F.coalesce(F.col(f"__{s}"), F.lit(0.0))

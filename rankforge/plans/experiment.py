@@ -67,7 +67,7 @@ def sweep_candidates(art: SplitArtifacts, retr: Retrievers, cfg: RetrievalConfig
     dense_runs = ranked.where(F.col("source") == "dense").join(runs, ["source", "dimension"])
     other_runs = (ranked.where(F.col("source") != "dense").drop("dimension")
                   .join(runs, ["source"]))
-    tagged = dense_runs.unionByName(other_runs)
+    tagged = dense_runs.unionByName(other_runs).repartition("query_id")
     keys = ["strategy", "dimension", "sources"]
     parts = [F.sum(F.when(F.col("source") == s, rrf_term("rank", cfg.rrf_k, cfg.weight(s)))).alias(f"__{s}")
              for s in SOURCE_ORDER]

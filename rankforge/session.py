@@ -62,11 +62,24 @@ _SHIPPED: set[int] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``rankforge`` importable on executors (pandas UDFs reference it):
-    zip the package once per session and add it with ``addPyFile``."""
+    """Prepare a session for rankforge jobs.
+
+    * Make ``rankforge`` importable on executors (pandas UDFs reference it):
+      zip the package once per session and add it with ``addPyFile``.
+    * Turn off union output-partitioning inheritance
+      (``spark.sql.unionOutputPartitioning``): with AQE coalescing, a union
+      of hash-partitioned children can claim a partitioning its partitions do
+      not have (wrong aggregates, or "Can't zip RDDs with unequal numbers of
+      partitions"); fusion unions ranked lists and then aggregates, so the
+      union must not be trusted. The cost is at most one extra exchange.
+    """
     import os
     import zipfile
 
+    try:
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    except Exception:  # not settable on this Spark version: nothing to undo
+        pass
     key = id(spark.sparkContext)
     if key in _SHIPPED:
         return
