@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rankforge.functions.text import word_tokens
+from rankforge.functions.text import word_tokens_jvm
 
 # ---- fixed values: bucket rule multipliers of the two stand-in models ----
 HASH_MODELS = {"a": (31, 7), "b": (17, 13)}
@@ -26,7 +26,7 @@ def token_bucket(t: Column, dim: int, model: str = "a") -> Column:
 
 def hashed_bow_vector(text, dim: int = 64, model: str = "a", null_as: str = "") -> Column:
     """array<double>[dim]: count of the text's word tokens per bucket."""
-    toks = word_tokens(text, null_as=null_as)
+    toks = word_tokens_jvm(text, null_as=null_as)
     return F.transform(
         F.sequence(F.lit(0), F.lit(int(dim) - 1)),
         lambda i: F.size(F.filter(toks, lambda t: token_bucket(t, dim, model) == i)).cast("double"))

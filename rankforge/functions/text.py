@@ -5,13 +5,14 @@ of characters outside ``[a-z0-9-.#+]`` becomes one space, then word tokens
 ``\\b\\w+\\b``. After that normalisation the tokens are exactly the runs of
 ``[a-z0-9]``, so the whole analyser is expressed as JVM column expressions:
 
-* ASCII text: ``regexp_extract_all(lower(text), '[a-z0-9]+')``.
-* Text with other characters: the text is split on white space, and each
-  non-ASCII piece is rewritten character by character through an NFKD table
-  (a map literal built from ``unicodedata`` by rule: every code point whose
-  lower-cased NFKD form contains an ASCII letter or digit). Characters outside
-  the table can only become separators, so they need no entry. Accents thus
-  split words ("crème" -> "cre me"), as NFKD + the separator rule do.
+* lower-case + NFKD in one Arrow-batched helper (ASCII rows pass through),
+* ``regexp_extract_all(text, '[a-z0-9]+')`` in the JVM.
+
+Accents thus split words ("crème" -> "cre me"), as NFKD + the separator rule
+do. A pure-JVM variant (``word_tokens_jvm``) rewrites non-ASCII pieces
+through an NFKD table built by rule from ``unicodedata`` (every code point
+whose lower-cased NFKD form holds an ASCII letter or digit); it gives the
+same tokens and serves inside higher-order functions.
 
 Stemming runs on the distinct vocabulary only (one pandas UDF call per
 distinct word), joined back to the occurrences.
@@ -106,11 +107,37 @@ def _map_piece(piece: Column, table: Column) -> Column:
     return F.array_join(mapped, "")
 
 
+def _lower_nfkd(text):
+    if text is None:
+        return None
+    low = text.lower()
+    return low if low.isascii() else unicodedata.normalize("NFKD", low)
+
+
+@F.pandas_udf(T.StringType())
+def _lower_nfkd_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(_lower_nfkd)
+
+
 def word_tokens(c, null_as: str | None = "") -> Column:
-    """SCL-1 + SCL-2: array of word tokens of a text column (JVM only).
+    """SCL-1 + SCL-2: array of word tokens of a text column.
+
+    Lower-casing and NFKD run in one small Arrow-batched helper (Python's
+    C-implemented ``unicodedata``; ASCII rows return at once); the token
+    extraction is the JVM ``regexp_extract_all``. ``null_as`` is the text a
+    null becomes first ('' for fields, 'None' for raw query strings, as
+    ``str(None)``). Not usable inside a higher-order lambda: put the tokens
+    in a column first."""
+    text = _col(c).cast("string")
+    if null_as is not None:
+        text = F.coalesce(text, F.lit(null_as))
+    return F.regexp_extract_all(_lower_nfkd_udf(text), F.lit(TOKEN_PATTERN), 0)
+
 
-    ``null_as`` is the text a null becomes first ('' for fields, 'None' for
-    raw query strings, as ``str(None)``)."""
+def word_tokens_jvm(c, null_as: str | None = "") -> Column:
+    """Pure-JVM form of :func:`word_tokens` (usable inside higher-order
+    functions): non-ASCII pieces are rewritten through the NFKD table. Equal
+    results, slower on long non-ASCII texts."""
     text = _col(c).cast("string")
     if null_as is not None:
         text = F.coalesce(text, F.lit(null_as))

@@ -73,6 +73,14 @@ def _blocks(n_rows: int, rows_per_block: int, minimum: int) -> int:
     return max(int(minimum), int(math.ceil(n_rows / float(rows_per_block))), 1)
 
 
+def block_counts(spark, n_products: int, n_queries: int, rows_per_block: int = 50_000) -> tuple[int, int]:
+    """(product_blocks, query_blocks) for the given input sizes: at most
+    ``rows_per_block`` rows of a side per cell, and at least one product
+    block per core so small catalogues still use the whole cluster."""
+    return (_blocks(n_products, rows_per_block, spark.sparkContext.defaultParallelism),
+            _blocks(n_queries, rows_per_block, 1))
+
+
 def dense_search(queries: DataFrame, products: DataFrame, k: int, dim: int | None = None,
                  query_col: str = "query_id", product_col: str = "product_id",
                  query_vec: str = "embedding", product_vec: str = "embedding",
@@ -88,11 +96,10 @@ def dense_search(queries: DataFrame, products: DataFrame, k: int, dim: int | Non
     p = products.select(F.col(product_col).alias("product_id"),
                         prefix_normalized(product_vec, dim).alias("vec"))
     if product_blocks is None or query_blocks is None:
-        parallelism = spark.sparkContext.defaultParallelism
-        if product_blocks is None:
-            product_blocks = _blocks(products.count(), rows_per_block, parallelism)
-        if query_blocks is None:
-            query_blocks = _blocks(queries.count(), rows_per_block, 1)
+        # sizes unknown: count both sides (cheap on persisted vector tables)
+        pb_, qb_ = block_counts(spark, products.count(), queries.count(), rows_per_block)
+        product_blocks = product_blocks or pb_
+        query_blocks = query_blocks or qb_
     pb, qb = int(product_blocks), int(query_blocks)
     p = (p.withColumn("pblk", F.pmod(F.xxhash64("product_id"), F.lit(pb)).cast("int"))
           .withColumn("qblk", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))

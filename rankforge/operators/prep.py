@@ -38,10 +38,21 @@ def filter_ascii_queries(df: DataFrame, col: str = "query") -> DataFrame:
 def filter_queries_with_exact(df: DataFrame, label: str = "E") -> DataFrame:
     """FLT-3 / WIN-2: keep rows of (locale, query_id) groups with >= 1 label E.
 
-    Window 'any' over the group: one shuffle on (locale, query_id), no join."""
-    w = Window.partitionBy("product_locale", "query_id")
-    has = F.max((F.col("esci_label") == label).cast("int")).over(w)
-    return df.withColumn("__has", has).where(F.col("__has") == 1).drop("__has")
+    The group-wise 'any' is a distinct key set (one row per qualifying
+    group, aggregated map-side) joined back with a left-semi join. Unlike a
+    window over the group, a hot query never has to sit in one window buffer:
+    the key set is small (the planner broadcasts it when it is under the
+    threshold) and a shuffled semi join is split by AQE's skew handling."""
+    keys = ["product_locale", "query_id"]
+    groups = df.where(F.col("esci_label") == label).select(*keys).distinct()
+    return df.join(groups, keys, "left_semi")
+
+
+def any_over_group(df: DataFrame, keys, cond, name: str = "any") -> DataFrame:
+    """WIN-2 in general form: a boolean column true on every row of a group
+    where ``cond`` holds on some row (window max over the group)."""
+    w = Window.partitionBy(*([keys] if isinstance(keys, str) else keys))
+    return df.withColumn(name, F.max(cond.cast("int")).over(w) == 1)
 
 
 def filter_split(df: DataFrame, split: str) -> DataFrame:
@@ -74,9 +85,16 @@ def relevant_pairs(pairs: DataFrame, mode: str = "broad") -> DataFrame:
 
 
 def relevant_sets(pairs: DataFrame, mode: str = "broad") -> DataFrame:
-    """AGG-1: query_id -> sorted array of relevant product ids."""
-    return (relevant_pairs(pairs, mode).groupBy("query_id")
-            .agg(F.array_sort(F.collect_set("product_id")).alias("relevant")))
+    """AGG-1 in long form: the distinct (query_id, product_id) relevant pairs
+    -- what every join consumes; no per-query array is built."""
+    return relevant_pairs(pairs, mode).select("query_id", "product_id").distinct()
+
+
+def relevant_set_arrays(pairs: DataFrame, mode: str = "broad") -> DataFrame:
+    """AGG-1 at the edge (reports): query_id -> sorted array of relevant ids.
+    One array per query: meant for bounded judgment lists, not for joins."""
+    return (relevant_sets(pairs, mode).groupBy("query_id")
+            .agg(F.array_sort(F.collect_list("product_id")).alias("relevant")))
 
 
 def valid_queries(pairs: DataFrame, mode: str = "broad") -> DataFrame:

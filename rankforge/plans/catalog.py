@@ -138,21 +138,18 @@ def q_sampled_queries(spark, sf):
 
 
 def q_relevant_sets(spark, sf):
-    rs = prep.relevant_sets(_pairs(spark, sf), "broad")
-    return rs.select("query_id", F.array_join("relevant", ",").alias("relevant"),
-                     F.size("relevant").alias("n_relevant"))
+    return prep.relevant_sets(_pairs(spark, sf), "broad")
 
 
 def q_strict_relevant(spark, sf):
-    rs = prep.relevant_sets(_pairs(spark, sf), "strict")
-    return rs.select("query_id", F.array_join("relevant", ",").alias("relevant"),
-                     F.size("relevant").alias("n_relevant"))
+    return prep.relevant_sets(_pairs(spark, sf), "strict")
 
 
 def q_grade_lists(spark, sf):
-    g = M.grade_lists(_pairs(spark, sf))
-    return g.select("query_id", F.size("grades").alias("n_grades"),
-                    r6(F.aggregate("grades", F.lit(0.0), lambda a, x: a + x)).alias("grade_sum"))
+    """AGG-2 summarised per query without building the list."""
+    g = M.qrels(_pairs(spark, sf)).groupBy("query_id").agg(
+        F.count(F.lit(1)).cast("int").alias("n_grades"), F.sum("grade").alias("grade_sum"))
+    return g.select("query_id", "n_grades", r6("grade_sum").alias("grade_sum"))
 
 
 def q_distinct_query_counts(spark, sf):

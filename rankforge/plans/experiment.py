@@ -52,8 +52,10 @@ def sweep_candidates(art: SplitArtifacts, retr: Retrievers, cfg: RetrievalConfig
     lists = []
     if "dense" in used:
         qv = retr.query_vectors.join(qids, "query_id", "left_semi")
+        pb, qb = retr.dense_blocks or (None, None)
         for d in dims:
-            lists.append(dense_search(qv, retr.product_vectors, cfg.dense_top_k, d, digits=cfg.score_digits)
+            lists.append(dense_search(qv, retr.product_vectors, cfg.dense_top_k, d, digits=cfg.score_digits,
+                                      product_blocks=pb, query_blocks=qb)
                          .withColumn("dimension", F.lit(int(d))))
     if "bm25" in used:
         lists.append(bm25_search(retr.bm25, queries, cfg.sparse_top_k, digits=cfg.score_digits)

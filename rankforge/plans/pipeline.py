@@ -22,11 +22,12 @@ from rankforge.config import BM25Params, RetrievalConfig
 from rankforge.functions.encoders import hashed_bow_vector
 from rankforge.operators import prep
 from rankforge.operators.bm25 import BM25Index, bm25_search, build_bm25_index
-from rankforge.operators.dense import dense_search
+from rankforge.operators.dense import block_counts, dense_search
 from rankforge.operators.fusion import rrf_fuse, union_ranked
 from rankforge.operators.learned_sparse import log_tf_weights, sparse_search
 from rankforge.operators.ranking import top_k
 from rankforge.operators.rerank import rerank, token_overlap_scorer
+from rankforge.session import checkpoint_dir
 
 
 # ------------------------------------------------------------------ API-1
@@ -55,8 +56,19 @@ class SplitArtifacts:
     queries: DataFrame     # query_id, query (first row wins)
 
 
-def split_artifacts(pairs: DataFrame, split: str = "test") -> SplitArtifacts:
+def split_artifacts(pairs: DataFrame, split: str = "test", materialize: bool = True) -> SplitArtifacts:
+    """SRC-4: the split's pair rows with its unique products and queries.
+
+    ``materialize`` writes the split rows once with a reliable ``checkpoint``
+    (into the session's shared checkpoint folder) -- the reference saves its
+    pair table too. Every later consumer (products, queries, gatekeeper,
+    grade lookup, judged ideal) then reads that table instead of re-running
+    the whole preparation plan, and a lost executor re-reads it from shared
+    storage rather than recomputing."""
     rows = prep.filter_split(pairs, split)
+    if materialize:
+        checkpoint_dir(rows.sparkSession)
+        rows = rows.checkpoint(eager=True)
     return SplitArtifacts(rows, prep.unique_products(rows), prep.unique_queries(rows))
 
 
@@ -97,10 +109,18 @@ class Retrievers:
     bm25: BM25Index | None = None              # over product titles
     splade_docs: DataFrame | None = None       # doc_id, term, weight
     splade_queries: DataFrame | None = None    # query_id, term, weight
+    dense_blocks: tuple[int, int] | None = None  # (product, query) blocks, from counted sizes
 
 
 def build_retrievers(art: SplitArtifacts, sources=("dense", "bm25", "splade"), dim: int = 64,
-                     model: str = "a", bm25_params: BM25Params = BM25Params()) -> Retrievers:
+                     model: str = "a", bm25_params: BM25Params = BM25Params(),
+                     persist: bool = True) -> Retrievers:
+    """Vectors, BM25 index and learned-sparse weights of a split.
+
+    With ``persist`` they are cached (memory, spilling to disk): every run of
+    a sweep, every prefix dimension and every query batch reuses them, as the
+    reference reuses its prebuilt indexes. Lost cache blocks are recomputed
+    from lineage, which starts at the checkpointed split rows."""
     r = Retrievers()
     if "dense" in sources:
         r.product_vectors, r.query_vectors = encode_hashed(art, dim, model)
@@ -112,6 +132,17 @@ def build_retrievers(art: SplitArtifacts, sources=("dense", "bm25", "splade"), d
         r.splade_docs = log_tf_weights(art.products, "product_id", "product_text_dense")
         r.splade_queries = (log_tf_weights(art.queries, "query_id", "query", null_as="None")
                             .withColumnRenamed("doc_id", "query_id"))
+    if persist:
+        for name in ("product_vectors", "query_vectors", "splade_docs", "splade_queries"):
+            df = getattr(r, name)
+            if df is not None:
+                setattr(r, name, df.persist())
+        if r.bm25 is not None:
+            r.bm25.persist()
+    if r.product_vectors is not None:
+        # one job sizes the dense blocks (and fills the cache when persisted)
+        r.dense_blocks = block_counts(art.pairs.sparkSession, r.product_vectors.count(),
+                                      r.query_vectors.count())
     return r
 
 
@@ -122,8 +153,9 @@ def ranked_lists(queries: DataFrame, retr: Retrievers, cfg: RetrievalConfig,
     qids = queries.select("query_id")
     if "dense" in cfg.sources and retr.product_vectors is not None:
         qv = retr.query_vectors.join(qids, "query_id", "left_semi")
+        pb, qb = retr.dense_blocks or (None, None)
         out["dense"] = dense_search(qv, retr.product_vectors, cfg.dense_top_k, cfg.dim,
-                                    digits=cfg.score_digits)
+                                    digits=cfg.score_digits, product_blocks=pb, query_blocks=qb)
     if "splade" in cfg.sources and retr.splade_docs is not None:
         qw = retr.splade_queries.join(qids, "query_id", "left_semi")
         docs = products.select(F.col("product_id").alias("doc_id")) if products is not None else None
