@@ -30,3 +30,47 @@ def hashed_bow_vector(text, dim: int = 64, model: str = "a", null_as: str = "")
     return F.transform(
         F.sequence(F.lit(0), F.lit(int(dim) - 1)),
         lambda i: F.size(F.filter(toks, lambda t: token_bucket(t, dim, model) == i)).cast("double"))
+
+
+# ---------------------------------------------------------------- Python forms
+# The same stand-in models as plain Python callables, for the batch-inference
+# surfaces (UDF-1/2/4) that take a user model: they run inside
+# predict_batch_udf / mapInPandas exactly where a real model would.
+def make_hashed_bow_encoder(dim: int = 64, model: str = "a", prefix: str = ""):
+    """Factory for ``encode(texts) -> (n, dim)`` counts of hashed tokens."""
+    import numpy as np
+    from rankforge.functions.text import word_tokens_py
+
+    m1, m2 = HASH_MODELS[model]
+
+    def encode(texts):
+        out = np.zeros((len(texts), dim), dtype=np.float32)
+        for i, text in enumerate(texts):
+            for t in word_tokens_py(prefix + ("" if text is None else str(text))):
+                out[i, (ord(t[0]) * m1 + len(t) * m2 + ord(t[-1])) % dim] += 1.0
+        return out
+    return encode
+
+
+def log_tf_encoder(texts):
+    """Sparse stand-in model: {token: ln(1 + tf)} per text."""
+    import math
+    from collections import Counter
+    from rankforge.functions.text import word_tokens_py
+    return [{t: math.log1p(c) for t, c in Counter(word_tokens_py(x)).items()} for x in texts]
+
+
+def make_overlap_scorer():
+    """Factory for ``predict(queries, texts) -> scores``: the token-overlap
+    stand-in of a cross-encoder."""
+    import numpy as np
+    from rankforge.functions.text import word_tokens_py
+
+    def predict(queries, texts):
+        out = np.zeros(len(queries), dtype=np.float64)
+        for i, (q, t) in enumerate(zip(queries, texts)):
+            qs, ts = set(word_tokens_py(q)), set(word_tokens_py(t))
+            shared = len(qs & ts)
+            out[i] = (shared / len(qs) if qs else 0.0) + shared * 0.001
+        return out
+    return predict

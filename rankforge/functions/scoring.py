@@ -10,9 +10,13 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def rrf_term(rank0, k: int = 60, weight: float = 1.0) -> Column:
-    """SCL-10: weight / (k + rank + 1) for a 0-based rank."""
-    return F.lit(float(weight)) / (F.lit(int(k)) + _col(rank0) + F.lit(1)).cast("double")
+def rrf_term(rank0, k=60, weight=1.0) -> Column:
+    """SCL-10: weight * (1 / (k + rank + 1)) for a 0-based rank (this float
+    order, as the candidate generator computes it). ``k`` and ``weight`` may
+    be numbers or columns (per-run grids, EXP-2)."""
+    kk = k if isinstance(k, Column) else F.lit(int(k))
+    ww = weight if isinstance(weight, Column) else F.lit(float(weight))
+    return ww.cast("double") * (F.lit(1.0) / (kk + _col(rank0) + F.lit(1)).cast("double"))
 
 
 def gain(grade) -> Column:

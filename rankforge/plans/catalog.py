@@ -387,6 +387,69 @@ def q_lift_at_dim(spark, sf):
     return X.at_dimension(lift, 64, 2)
 
 
+def q_fusion_grid(spark, sf):
+    """EXP-2: fusion weights x rrf_k as data, all runs in one job."""
+    art = _art(spark, sf)
+    grid = [{"dense": 1.0, "splade": 0.5, "bm25": 0.3}, {"dense": 1.0, "splade": 0.7, "bm25": 0.3},
+            {"dense": 1.0, "splade": 0.5, "bm25": 0.2}]
+    runs = X.weight_grid_runs(("dense", "bm25", "splade"), 64, grid, (60, 10))
+    m = X.sweep_metrics(art, _retr(art), DEFAULT, runs=runs, model="Baseline")
+    return m.select(*[r6(c).alias(c) if c.startswith(("recall", "ndcg")) else F.col(c) for c in m.columns])
+
+
+# ------------------------------------------------------------------ heads, distinct, group flags
+def q_pairs_head(spark, sf):
+    """SRT-5: the first 5 rows of the pair table by example id (TakeOrdered)."""
+    return _pairs(spark, sf).orderBy("example_id").limit(5)
+
+
+def q_distinct_query_ids(spark, sf):
+    """DST-3."""
+    return prep.distinct_query_ids(_pairs(spark, sf))
+
+
+def q_exact_flag(spark, sf):
+    """WIN-2: group-wise 'any E' broadcast back to every row."""
+    df = prep.any_over_group(_f2(spark, sf), ["product_locale", "query_id"],
+                             F.col("esci_label") == "E", "has_exact")
+    return df.select("example_id", "has_exact")
+
+
+# ------------------------------------------------------------------ user-model surfaces (UDF-1/2/4)
+def q_encoded_dense_topk(spark, sf):
+    """UDF-1: dense vectors from a user encoder (predict_batch_udf), then JN-9."""
+    from rankforge.config import QUERY_INSTRUCTION
+    from rankforge.functions.encoders import make_hashed_bow_encoder
+    art = _art(spark, sf)
+    queries = prep.gatekeep(art.queries, art.pairs, "broad")
+    pv = pl.encode_dense(art.products, "product_id", "product_text_dense",
+                         lambda: make_hashed_bow_encoder(64), dim=64)
+    qv = pl.encode_dense(queries.withColumn("query", F.coalesce("query", F.lit("None"))), "query_id", "query",
+                         lambda: make_hashed_bow_encoder(64, prefix=QUERY_INSTRUCTION), dim=64)
+    return _ranked_out(dense_search(qv, pv, DEFAULT.dense_top_k, 64))
+
+
+def q_encoded_sparse_topk(spark, sf):
+    """UDF-2: learned-sparse weights from a user encoder (mapInPandas), then JN-11."""
+    from rankforge.functions.encoders import log_tf_encoder
+    from rankforge.operators.learned_sparse import encode_sparse
+    art = _art(spark, sf)
+    queries = prep.gatekeep(art.queries, art.pairs, "broad")
+    docs = encode_sparse(art.products, "product_id", "product_text_dense", log_tf_encoder)
+    qw = (encode_sparse(queries.withColumn("query", F.coalesce("query", F.lit("None"))), "query_id", "query",
+                        log_tf_encoder).withColumnRenamed("doc_id", "query_id"))
+    return _ranked_out(sparse_search(qw, docs, DEFAULT.sparse_top_k))
+
+
+def q_rerank_model(spark, sf):
+    """UDF-4: rescoring with a user model through predict_batch_udf."""
+    from rankforge.functions.encoders import make_overlap_scorer
+    from rankforge.operators.rerank import model_scorer
+    _, c = _cands(spark, sf)
+    rr = rerank(c, scorer=model_scorer(make_overlap_scorer, batch_size=256), k=RERANK_K, spread=8)
+    return rr.select("query_id", "product_id", r6("ce_score").alias("ce_score"))
+
+
 # ------------------------------------------------------------------ names, sinks and sources
 def q_safe_metric_names(spark, sf):
     conv = table(spark, sf, "conversations")
@@ -491,6 +554,13 @@ def queries() -> dict[str, QueryFn]:
         "sweep_pivot": q_sweep_pivot,
         "lift_comparison": q_lift_comparison,
         "lift_at_dim": q_lift_at_dim,
+        "fusion_grid": q_fusion_grid,
+        "pairs_head": q_pairs_head,
+        "distinct_query_ids": q_distinct_query_ids,
+        "exact_flag": q_exact_flag,
+        "encoded_dense_topk": q_encoded_dense_topk,
+        "encoded_sparse_topk": q_encoded_sparse_topk,
+        "rerank_model": q_rerank_model,
         "safe_metric_names": q_safe_metric_names,
         "pairs_roundtrip": q_pairs_roundtrip,
         "metrics_csv_roundtrip": q_metrics_csv_roundtrip,

@@ -10,6 +10,7 @@ fusion plus metrics are grouped by run.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from typing import Mapping, Sequence
 
@@ -35,25 +36,63 @@ STRATEGIES: Mapping[str, tuple[str, ...]] = {
 # ---- end of fixed values ----
 
 
-def run_table(spark, strategies: Mapping[str, Sequence[str]], dims: Sequence[int]) -> DataFrame:
-    """(strategy, dimension, source, sources) for every run of the grid."""
-    rows = [(name, int(d), s, ",".join(srcs)) for name, srcs in strategies.items() for d in dims for s in srcs]
-    return spark.createDataFrame(rows, "strategy string, dimension int, source string, sources string")
+@dataclass(frozen=True)
+class Run:
+    """One retrieval setting of a sweep (EXP-2: fusion parameters are data)."""
+    name: str
+    dimension: int
+    sources: tuple[str, ...]
+    weights: Mapping[str, float]
+    rrf_k: int = 60
+
+
+def grid_runs(strategies: Mapping[str, Sequence[str]], dims: Sequence[int],
+              cfg: RetrievalConfig = RetrievalConfig()) -> list[Run]:
+    """EXP-1 grid: every strategy at every prefix dimension, config weights."""
+    return [Run(name, int(d), tuple(srcs), dict(cfg.weights), cfg.rrf_k)
+            for name, srcs in strategies.items() for d in dims]
+
+
+def weight_grid_runs(sources: Sequence[str], dim: int, weight_grid: Sequence[Mapping[str, float]],
+                     rrf_ks: Sequence[int] = (60,)) -> list[Run]:
+    """EXP-2 grid: fusion weights x rrf_k for one source set and dimension."""
+    runs = []
+    for w in weight_grid:
+        for k in rrf_ks:
+            label = " ".join(f"{s}={w.get(s, 0.0):g}" for s in sources) + f" k={k}"
+            runs.append(Run(label, int(dim), tuple(sources), dict(w), int(k)))
+    return runs
+
+
+def run_table(spark, runs: Sequence[Run]) -> DataFrame:
+    """(strategy, dimension, source, sources, weight, rrf_k): one row per
+    (run, source); its size is the grid the caller asked for."""
+    rows = [(r.name, r.dimension, s, ",".join(r.sources), float(r.weights.get(s, 0.0)), int(r.rrf_k))
+            for r in runs for s in r.sources]
+    return spark.createDataFrame(
+        rows, "strategy string, dimension int, source string, sources string, weight double, rrf_k int")
 
 
 def sweep_candidates(art: SplitArtifacts, retr: Retrievers, cfg: RetrievalConfig = RetrievalConfig(),
                      dims: Sequence[int] = (64, 32, 16, 8),
-                     strategies: Mapping[str, Sequence[str]] = STRATEGIES) -> DataFrame:
-    """EXP-1: fused candidates of every (strategy, dimension) run, one plan."""
+                     strategies: Mapping[str, Sequence[str]] = STRATEGIES,
+                     runs: Sequence[Run] | None = None) -> DataFrame:
+    """EXP-1 / EXP-2: fused candidates of every run, one plan.
+
+    Each retriever runs once (dense once per dimension used); the ranked
+    lists are tagged with their runs by a join with the run table, and each
+    tagged row carries its run's weight and rrf_k, so grids over fusion
+    parameters need no extra retrieval."""
     spark = art.pairs.sparkSession
+    runs = list(runs) if runs is not None else grid_runs(strategies, dims, cfg)
     queries = prep.gatekeep(art.queries, art.pairs, "broad")
     qids = queries.select("query_id")
-    used = {s for srcs in strategies.values() for s in srcs}
+    used = {s for r in runs for s in r.sources}
     lists = []
     if "dense" in used:
         qv = retr.query_vectors.join(qids, "query_id", "left_semi")
         pb, qb = retr.dense_blocks or (None, None)
-        for d in dims:
+        for d in sorted({r.dimension for r in runs if "dense" in r.sources}, reverse=True):
             lists.append(dense_search(qv, retr.product_vectors, cfg.dense_top_k, d, digits=cfg.score_digits,
                                       product_blocks=pb, query_blocks=qb)
                          .withColumn("dimension", F.lit(int(d))))
@@ -65,14 +104,14 @@ def sweep_candidates(art: SplitArtifacts, retr: Retrievers, cfg: RetrievalConfig
         lists.append(sparse_search(qw, retr.splade_docs, cfg.sparse_top_k, "splade", cfg.score_digits)
                      .withColumn("dimension", F.lit(None).cast("int")))
     ranked = reduce(DataFrame.unionByName, lists)
-    runs = F.broadcast(run_table(spark, strategies, dims))   # grid-sized, fixed by the caller
-    dense_runs = ranked.where(F.col("source") == "dense").join(runs, ["source", "dimension"])
+    table = run_table(spark, runs)
+    dense_runs = ranked.where(F.col("source") == "dense").join(F.broadcast(table), ["source", "dimension"])
     other_runs = (ranked.where(F.col("source") != "dense").drop("dimension")
-                  .join(runs, ["source"]))
+                  .join(F.broadcast(table), ["source"]))
     tagged = dense_runs.unionByName(other_runs).repartition("query_id")
     keys = ["strategy", "dimension", "sources"]
-    parts = [F.sum(F.when(F.col("source") == s, rrf_term("rank", cfg.rrf_k, cfg.weight(s)))).alias(f"__{s}")
-             for s in SOURCE_ORDER]
+    term = rrf_term("rank", F.col("rrf_k"), F.col("weight"))
+    parts = [F.sum(F.when(F.col("source") == s, term)).alias(f"__{s}") for s in SOURCE_ORDER]
     code = F.coalesce(*[F.when(F.col("source") == s, F.lit(i)) for i, s in enumerate(SOURCE_ORDER)])
     agg = tagged.groupBy(*keys, "query_id", "product_id").agg(
         *parts, F.min(F.struct(code.alias("src"), F.col("rank").alias("pos"))).alias("__first"))
@@ -95,10 +134,10 @@ def prep_grade_lookup(art: SplitArtifacts) -> DataFrame:
 def sweep_metrics(art: SplitArtifacts, retr: Retrievers, cfg: RetrievalConfig = RetrievalConfig(),
                   dims: Sequence[int] = (64, 32, 16, 8), strategies: Mapping[str, Sequence[str]] = STRATEGIES,
                   model: str = "Baseline", recall_ks: Sequence[int] = RECALL_KS,
-                  ndcg_ks: Sequence[int] = NDCG_KS) -> DataFrame:
+                  ndcg_ks: Sequence[int] = NDCG_KS, runs: Sequence[Run] | None = None) -> DataFrame:
     """SET-2: one metric row per run (model, strategy, dimension, sources,
     recall_k..., ndcg_k...)."""
-    cands = sweep_candidates(art, retr, cfg, dims, strategies)
+    cands = sweep_candidates(art, retr, cfg, dims, strategies, runs)
     keys = ["strategy", "dimension", "sources"]
     w = Window.partitionBy(*keys, "query_id").orderBy(F.col("rrf_score").desc(), F.col("product_id").asc())
     ranked = cands.withColumn("pos", F.row_number().over(w))

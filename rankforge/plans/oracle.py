@@ -177,7 +177,7 @@ def fuse_sql(lists: dict, top: int = 200, weights=WEIGHTS, rrf_k: int = 60) -> s
     union = " UNION ALL ".join(f"SELECT query_id, product_id, rank, '{s}' AS source FROM {name}"
                                for s, name in lists.items())
     terms = " + ".join(
-        f"coalesce(sum(CASE WHEN source = '{s}' THEN {weights[s]}{D} / (({rrf_k} + rank + 1){D}) END), 0.0{D})"
+        f"coalesce(sum(CASE WHEN source = '{s}' THEN {weights.get(s, 0.0)}{D} * (1.0{D} / (({rrf_k} + rank + 1){D})) END), 0.0{D})"
         for s in ("dense", "splade", "bm25"))
     code = "CASE source " + " ".join(f"WHEN '{s}' THEN {c}" for s, c in SRC_CODE.items()) + " END"
     return f"""SELECT * FROM (
@@ -243,34 +243,41 @@ def overlap_score(q: str, t: str) -> str:
     return OVERLAP_SCORE.format(q=ascii_tokens(f"coalesce({q}, 'None')"), t=ascii_tokens(f"coalesce({t}, '')"), D=D)
 
 
-def sweep_ctes(prefix: str, model: str) -> str:
-    lists = [dense_ctes(f"{prefix}dn", SWEEP_DIMS, 500, model),
+def default_runs():
+    """(name, dim, sources, weights, rrf_k) of the strategy x dimension grid."""
+    return [(name, d, srcs, WEIGHTS, 60) for name, srcs in STRATS for d in SWEEP_DIMS]
+
+
+def sweep_ctes(prefix: str, model: str, runs=None) -> str:
+    runs = runs if runs is not None else default_runs()
+    dims = sorted({r[1] for r in runs}, reverse=True)
+    lists = [dense_ctes(f"{prefix}dn", dims, 500, model),
              bm25_ctes(f"{prefix}bm", TITLE_DOCS, "SELECT query_id, query FROM gq", ascii_tokens, True, 500)]
-    runs = []
-    for name, srcs in STRATS:
-        for d in SWEEP_DIMS:
-            src_map = {"dense": f"{prefix}dn_{d}_list"}
-            if "bm25" in srcs:
-                src_map["bm25"] = f"{prefix}bm_list"
-            if "splade" in srcs:
-                src_map["splade"] = "sp_list"
-            runs.append(f"SELECT '{name}' AS strategy, {d} AS dimension, * FROM ({fuse_sql(src_map)}) x")
+    parts = []
+    for name, d, srcs, weights, k in runs:
+        src_map = {"dense": f"{prefix}dn_{d}_list"}
+        if "bm25" in srcs:
+            src_map["bm25"] = f"{prefix}bm_list"
+        if "splade" in srcs:
+            src_map["splade"] = "sp_list"
+        parts.append(f"SELECT {_q(name)} AS strategy, {d} AS dimension, {_q(','.join(srcs))} AS sources, * "
+                     f"FROM ({fuse_sql(src_map, weights=weights, rrf_k=k)}) x")
     body = f"""
-{prefix}runs AS ({' UNION ALL '.join(runs)}),
-{prefix}rc AS (SELECT r.strategy, r.dimension, r.query_id, r.product_id, r.rrf_score, coalesce(g.grade, 0.0{D}) AS grade,
+{prefix}runs AS ({' UNION ALL '.join(parts)}),
+{prefix}rc AS (SELECT r.strategy, r.dimension, r.sources, r.query_id, r.product_id, r.rrf_score, coalesce(g.grade, 0.0{D}) AS grade,
                row_number() OVER (PARTITION BY r.strategy, r.dimension, r.query_id ORDER BY r.rrf_score DESC, r.product_id) AS pos
             FROM {prefix}runs r LEFT JOIN glk g ON r.query_id = g.query_id AND r.product_id = g.product_id),
-{prefix}got AS (SELECT strategy, dimension, query_id,
+{prefix}got AS (SELECT strategy, dimension, sources, query_id,
     {", ".join(f"sum(CASE WHEN pos <= {k} AND grade >= 0.1{D} THEN 1 ELSE 0 END) AS hits_{k}" for k in (50, 100, 200))},
     {", ".join(f"coalesce(sum(CASE WHEN pos <= {k} THEN (pow(2.0{D}, grade) - 1.0{D}) / log2(pos + 1.0{D}) END), 0.0{D}) AS dcg_{k}" for k in (10, 20, 50))}
     FROM {prefix}rc GROUP BY ALL),
-{prefix}pq AS (SELECT g.strategy, g.dimension, g.query_id,
+{prefix}pq AS (SELECT g.strategy, g.dimension, g.sources, g.query_id,
     {", ".join(f"CASE WHEN n_rel > 0 THEN hits_{k}{D} / n_rel END AS recall_{k}" for k in (50, 100, 200))},
     {", ".join(f"CASE WHEN coalesce(n_pos, 0) > 0 THEN CASE WHEN idcg_{k} > 0 THEN dcg_{k} / idcg_{k} ELSE 0.0{D} END END AS ndcg_{k}" for k in (10, 20, 50))}
     FROM {prefix}got g JOIN (SELECT r.query_id, r.n_rel, i.* EXCLUDE (query_id) FROM rel r LEFT JOIN ideal i ON r.query_id = i.query_id) s
       ON g.query_id = s.query_id),
-{prefix}sweep AS (SELECT strategy, dimension, {MEANS.replace(', count(recall_50) AS n_recall_queries, count(ndcg_10) AS n_ndcg_queries', '')}
-    FROM {prefix}pq GROUP BY strategy, dimension)"""
+{prefix}sweep AS (SELECT strategy, dimension, sources, {MEANS.replace(', count(recall_50) AS n_recall_queries, count(ndcg_10) AS n_ndcg_queries', '')}
+    FROM {prefix}pq GROUP BY strategy, dimension, sources)"""
     return ",".join(lists) + "," + body
 
 
@@ -281,10 +288,10 @@ def sweep_base_ctes() -> str:
     return splade_ctes(500) + ",\n" + keep
 
 
-def sweep_sql(select: str, models=("a",)) -> str:
+def sweep_sql(select: str, models=("a",), runs=None) -> str:
     ctes = sweep_base_ctes()
     for m in models:
-        ctes += "," + sweep_ctes(f"s{m}_", m)
+        ctes += "," + sweep_ctes(f"s{m}_", m, runs)
     return pairs_sql(select, ctes)
 
 
@@ -465,8 +472,21 @@ sc AS (SELECT f.query_id, f.rank, p.product_title,
         "\naq AS (SELECT query_id, query FROM fx_queries)," + sq)
 
     q["sweep_metrics"] = sweep_sql(f"""SELECT 'Baseline' AS model, strategy, CAST(dimension AS INTEGER) AS dimension,
-        {", ".join(f"CASE strategy " + " ".join(f"WHEN '{n}' THEN '{','.join(s)}'" for n, s in STRATS) + " END AS sources" for _ in [0])},
-        {SWEEP_COLS} FROM sa_sweep""")
+        sources, {SWEEP_COLS} FROM sa_sweep""")
+    grid = [{"dense": 1.0, "splade": 0.5, "bm25": 0.3}, {"dense": 1.0, "splade": 0.7, "bm25": 0.3},
+            {"dense": 1.0, "splade": 0.5, "bm25": 0.2}]
+    srcs = ("dense", "bm25", "splade")
+    grid_runs = [(" ".join(f"{x}={w.get(x, 0.0):g}" for x in srcs) + f" k={k}", 64, srcs, w, k)
+                 for w in grid for k in (60, 10)]
+    q["fusion_grid"] = sweep_sql(f"""SELECT 'Baseline' AS model, strategy, CAST(dimension AS INTEGER) AS dimension,
+        sources, {SWEEP_COLS} FROM sa_sweep""", runs=grid_runs)
+    q["pairs_head"] = pairs_sql("SELECT * FROM pairs ORDER BY example_id LIMIT 5")
+    q["distinct_query_ids"] = pairs_sql("SELECT DISTINCT query_id FROM pairs")
+    q["exact_flag"] = pairs_sql("""SELECT example_id, max(CASE WHEN esci_label = 'E' THEN 1 ELSE 0 END)
+        OVER (PARTITION BY product_locale, query_id) = 1 AS has_exact FROM f2""")
+    q["encoded_dense_topk"] = pairs_sql(ranked_sel.format(src="dense", lst="dn_64_list"), dense_ctes("dn", (64,)))
+    q["encoded_sparse_topk"] = q["learned_sparse_topk"]
+    q["rerank_model"] = q["rerank_overlap"]
     piv = ", ".join(f"max(CASE WHEN strategy = '{n}' THEN recall_200 END) AS {n.lower().replace(' + ', '_').replace(' ', '_')}"
                     for n, _ in STRATS)
     q["sweep_pivot"] = sweep_sql(f"SELECT CAST(dimension AS INTEGER) AS dimension, {piv} FROM sa_sweep GROUP BY dimension")
