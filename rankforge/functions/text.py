@@ -173,12 +173,19 @@ def stem_dictionary(words: DataFrame, word_col: str = "word") -> DataFrame:
 
 def analyze(df: DataFrame, id_cols, text_col: str, stem: bool = True,
             null_as: str | None = "") -> DataFrame:
-    """Term counts per row: (id_cols..., term, tf).
-
-    Whole texts are tokenised in the JVM; counts are combined map-side before
-    the shuffle; stems come from the distinct-vocabulary dictionary."""
+    """Term counts per row: (id_cols..., term, tf), clustered by the ids.
+
+    Whole texts are tokenised (helper + JVM regexp), then the per-row token
+    arrays are exchanged once on the ids. Counting per (id, word), the stem
+    dictionary join (when the planner broadcasts it) and any later per-id
+    window or aggregate then run on that clustering with no further shuffle
+    of the token stream. ``explode_outer`` + a null filter keeps Catalyst
+    from inferring a 'non-empty' filter below the exchange, which would
+    evaluate the tokenizer twice."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    words = df.select(*ids, F.explode(word_tokens(text_col, null_as)).alias("word"))
+    toks = df.select(*ids, word_tokens(text_col, null_as).alias("__toks")).repartition(*ids)
+    words = (toks.select(*ids, F.explode_outer("__toks").alias("word"))
+             .where(F.col("word").isNotNull()))
     counts = words.groupBy(*ids, "word").agg(F.count(F.lit(1)).alias("tf"))
     if not stem:
         return counts.withColumnRenamed("word", "term")

@@ -359,7 +359,7 @@ UNION ALL SELECT 'split', split, count(DISTINCT query_id) FROM pairs GROUP BY sp
     q["bm25_doc_freq"] = pairs_sql("SELECT term, df FROM bm_df", bm)
     q["bm25_stats"] = pairs_sql(
         "SELECT CAST(n AS BIGINT) AS n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM bm_df) AS n_terms FROM bm_st", bm)
-    q["bm25_weights"] = pairs_sql(f"""SELECT t.doc_id, t.term, t.tf, l.dl, f.df,
+    q["bm25_weights"] = pairs_sql(f"""SELECT t.doc_id, t.term, t.tf, CAST(l.dl AS BIGINT) AS dl, f.df,
         round((t.tf{D} * 2.5{D}) / (t.tf{D} + 1.5{D} * (0.25{D} + 0.75{D} * l.dl{D} / greatest(s.avgdl, 1e-9{D})))
               * ln((s.n - f.df{D} + 0.5{D}) / (f.df{D} + 0.5{D}) + 1.0{D}), 6) AS weight
         FROM bm_tf t JOIN bm_dl l ON t.doc_id = l.doc_id JOIN bm_df f ON f.term = t.term CROSS JOIN bm_st s""", bm)

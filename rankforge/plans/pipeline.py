@@ -137,8 +137,7 @@ def build_retrievers(art: SplitArtifacts, sources=("dense", "bm25", "splade"), d
             df = getattr(r, name)
             if df is not None:
                 setattr(r, name, df.persist())
-        if r.bm25 is not None:
-            r.bm25.persist()
+        # the BM25 index is already written once (checkpointed) when built
     if r.product_vectors is not None:
         # one job sizes the dense blocks (and fills the cache when persisted)
         r.dense_blocks = block_counts(art.pairs.sparkSession, r.product_vectors.count(),
