@@ -38,11 +38,19 @@ def dcg(grade_col: str, pos1_col: str, k: int):
     return F.sum(F.when(F.col(pos1_col) <= k, gain(grade_col) / discount(pos1_col)))
 
 
-def _ranked(cands: DataFrame, score: str | None = None) -> DataFrame:
+def _ranked(cands: DataFrame, score: str | None = None, depth: int | None = None) -> DataFrame:
+    """Candidates with their 1-based position by score (ties by product id).
+    Metrics only read positions <= max K, so ``depth`` keeps just those: a
+    partial WindowGroupLimit, so a query with a huge candidate list ships
+    ``depth`` rows per task."""
     score = score or score_column(cands)
-    w = Window.partitionBy("query_id").orderBy(F.col(score).desc(), F.col("product_id").asc())
-    return cands.select("query_id", "product_id", F.coalesce(F.col("grade").cast("double"), F.lit(0.0)).alias("grade"),
-                        F.row_number().over(w).alias("pos"))
+    base = cands.select("query_id", "product_id", F.col(score).alias("__s"),
+                        F.coalesce(F.col("grade").cast("double"), F.lit(0.0)).alias("grade"))
+    order = [F.col("__s").desc(), F.col("product_id").asc()]
+    if depth is not None:
+        return top_k(base, "query_id", order, depth, rank_name="pos", zero_based=False).drop("__s")
+    w = Window.partitionBy("query_id").orderBy(*order)
+    return base.withColumn("pos", F.row_number().over(w)).drop("__s")
 
 
 def judged_summary(pairs: DataFrame, ks: Sequence[int]) -> DataFrame:
@@ -71,7 +79,7 @@ def per_query_metrics(cands: DataFrame, pairs: DataFrame, recall_ks: Sequence[in
     judgments (JN-8). Recall is null for queries without a relevant
     judgment, nDCG null for queries without a positive grade, so they stay
     out of the means."""
-    r = _ranked(cands, score)
+    r = _ranked(cands, score, depth=max([*recall_ks, *ndcg_ks], default=1))
     got = r.groupBy("query_id").agg(
         *[F.sum(F.when((F.col("pos") <= k) & (F.col("grade") >= BROAD_MIN_GRADE), 1).otherwise(0))
           .alias(f"hits_{k}") for k in recall_ks],
@@ -123,5 +131,5 @@ def ndcg_self_ideal(cands: DataFrame, ks: Sequence[int] = NDCG_KS, score: str |
 
 def dcg_at_k(cands: DataFrame, ks: Sequence[int] = NDCG_KS, score: str | None = None) -> DataFrame:
     """AGG-11 per query: DCG of the retrieved grades at each cut-off."""
-    r = _ranked(cands, score)
+    r = _ranked(cands, score, depth=max(ks))
     return r.groupBy("query_id").agg(*[F.coalesce(dcg("grade", "pos", k), F.lit(0.0)).alias(f"dcg_{k}") for k in ks])
