@@ -24,7 +24,7 @@ from rankforge.operators import prep
 from rankforge.operators.dense import dense_search
 from rankforge.operators.bm25 import bm25_search
 from rankforge.operators.learned_sparse import sparse_search
-from rankforge.plans.pipeline import Retrievers, SplitArtifacts, attach_lookups
+from rankforge.plans.pipeline import Retrievers, SplitArtifacts, grade_lookup
 
 # ---- fixed values: the strategy grid of the reference experiments ----
 STRATEGIES: Mapping[str, tuple[str, ...]] = {
@@ -121,16 +121,11 @@ def sweep_candidates(art: SplitArtifacts, retr: Retrievers, cfg: RetrievalConfig
                                                      F.col("__first.pos"))
     top = (fused.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= cfg.candidate_top_k)
            .drop("__rn", "__first"))
-    grades = prep_grade_lookup(art)
+    grades = grade_lookup(art.pairs)
     return (top.join(grades, ["query_id", "product_id"], "left")
             .withColumn("grade", F.coalesce(F.col("grade"), F.lit(0.0))))
 
 
-def prep_grade_lookup(art: SplitArtifacts) -> DataFrame:
-    from rankforge.plans.pipeline import grade_lookup
-    return grade_lookup(art.pairs)
-
-
 def sweep_metrics(art: SplitArtifacts, retr: Retrievers, cfg: RetrievalConfig = RetrievalConfig(),
                   dims: Sequence[int] = (64, 32, 16, 8), strategies: Mapping[str, Sequence[str]] = STRATEGIES,
                   model: str = "Baseline", recall_ks: Sequence[int] = RECALL_KS,
