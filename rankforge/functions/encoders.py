@@ -25,11 +25,31 @@ def token_bucket(t: Column, dim: int, model: str = "a") -> Column:
 
 
 def hashed_bow_vector(text, dim: int = 64, model: str = "a", null_as: str = "") -> Column:
-    """array<double>[dim]: count of the text's word tokens per bucket."""
-    toks = word_tokens_jvm(text, null_as=null_as)
-    return F.transform(
+    """array<double>[dim]: count of the text's word tokens per bucket.
+
+    Self-contained column form (tokens re-derived per bucket); for tables use
+    :func:`hashed_bow_table`, which tokenises once."""
+    return hashed_bow_from_tokens(word_tokens_jvm(text, null_as=null_as), dim, model)
+
+
+def hashed_bow_from_tokens(tokens, dim: int = 64, model: str = "a") -> Column:
+    """array<double>[dim] from an array<string> column of tokens: bucket
+    each token once, then count per bucket."""
+    toks = F.col(tokens) if isinstance(tokens, str) else tokens
+    buckets = F.transform(toks, lambda t: token_bucket(t, dim, model))
+    return F.transform(F.sequence(F.lit(0), F.lit(int(dim) - 1)),
+                       lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
+
+
+def hashed_bow_table(df, id_col: str, text, dim: int = 64, model: str = "a", null_as: str = ""):
+    """(id, embedding) for a table: tokenise once into a column (Arrow-batched
+    NFKD helper + JVM regexp), bucket once per token, count per bucket."""
+    from rankforge.functions.text import word_tokens
+    toks = df.select(id_col, word_tokens(text, null_as=null_as).alias("__toks"))
+    buckets = toks.select(id_col, F.transform("__toks", lambda t: token_bucket(t, dim, model)).alias("__b"))
+    return buckets.select(id_col, F.transform(
         F.sequence(F.lit(0), F.lit(int(dim) - 1)),
-        lambda i: F.size(F.filter(toks, lambda t: token_bucket(t, dim, model) == i)).cast("double"))
+        lambda i: F.size(F.filter("__b", lambda b: b == i)).cast("double")).alias("embedding"))
 
 
 # ---------------------------------------------------------------- Python forms

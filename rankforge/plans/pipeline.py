@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankforge.config import BM25Params, RetrievalConfig
-from rankforge.functions.encoders import hashed_bow_vector
+from rankforge.functions.encoders import hashed_bow_table
 from rankforge.operators import prep
 from rankforge.operators.bm25 import BM25Index, bm25_search, build_bm25_index
 from rankforge.operators.dense import block_counts, dense_search
@@ -76,8 +76,8 @@ def split_artifacts(pairs: DataFrame, split: str = "test", materialize: bool = T
 def encode_hashed(art: SplitArtifacts, dim: int = 64, model: str = "a") -> tuple[DataFrame, DataFrame]:
     """Stand-in dense encoder (column expressions): products encode their
     dense text, queries the instructed query (PRJ-5)."""
-    pv = art.products.select("product_id", hashed_bow_vector("product_text_dense", dim, model).alias("embedding"))
-    qv = art.queries.select("query_id", hashed_bow_vector(prep.instructed_query(), dim, model).alias("embedding"))
+    pv = hashed_bow_table(art.products, "product_id", F.col("product_text_dense"), dim, model)
+    qv = hashed_bow_table(art.queries, "query_id", prep.instructed_query(), dim, model)
     return pv, qv
 
 
@@ -210,8 +210,7 @@ def search_batch(query_table: DataFrame, art: SplitArtifacts, retr: Retrievers,
     q = query_table.select("query_id", "query")
     adhoc = Retrievers(product_vectors=retr.product_vectors, bm25=retr.bm25, splade_docs=retr.splade_docs)
     if retr.product_vectors is not None:
-        adhoc.query_vectors = q.select("query_id", hashed_bow_vector(prep.instructed_query(), 64, model)
-                                       .alias("embedding"))
+        adhoc.query_vectors = hashed_bow_table(q, "query_id", prep.instructed_query(), 64, model)
     if retr.splade_docs is not None:
         adhoc.splade_queries = (log_tf_weights(q, "query_id", "query", null_as="None")
                                 .withColumnRenamed("doc_id", "query_id"))
