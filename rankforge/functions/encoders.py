@@ -36,9 +36,14 @@ def hashed_bow_from_tokens(tokens, dim: int = 64, model: str = "a") -> Column:
     """array<double>[dim] from an array<string> column of tokens: bucket
     each token once, then count per bucket."""
     toks = F.col(tokens) if isinstance(tokens, str) else tokens
-    buckets = F.transform(toks, lambda t: token_bucket(t, dim, model))
+    return _bucket_counts(F.transform(toks, lambda t: token_bucket(t, dim, model)), dim)
+
+
+def _bucket_counts(buckets: Column, dim: int) -> Column:
+    # count per bucket with the native array_remove (higher-order lambdas are
+    # interpreted, so one lambda call per bucket instead of per token x bucket)
     return F.transform(F.sequence(F.lit(0), F.lit(int(dim) - 1)),
-                       lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
+                       lambda i: (F.size(buckets) - F.size(F.array_remove(buckets, i))).cast("double"))
 
 
 def hashed_bow_table(df, id_col: str, text, dim: int = 64, model: str = "a", null_as: str = ""):
@@ -47,9 +52,7 @@ def hashed_bow_table(df, id_col: str, text, dim: int = 64, model: str = "a", nul
     from rankforge.functions.text import word_tokens
     toks = df.select(id_col, word_tokens(text, null_as=null_as).alias("__toks"))
     buckets = toks.select(id_col, F.transform("__toks", lambda t: token_bucket(t, dim, model)).alias("__b"))
-    return buckets.select(id_col, F.transform(
-        F.sequence(F.lit(0), F.lit(int(dim) - 1)),
-        lambda i: F.size(F.filter("__b", lambda b: b == i)).cast("double")).alias("embedding"))
+    return buckets.select(id_col, _bucket_counts(F.col("__b"), dim).alias("embedding"))
 
 
 # ---------------------------------------------------------------- Python forms

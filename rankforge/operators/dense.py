@@ -6,9 +6,11 @@ Exact search must score every query against every product, but it need not
 queries into ``query_blocks`` blocks; each query row is replicated once per
 product block and each product row once per query block (explode of a small
 sequence, no join), and ``cogroup(...).applyInPandas`` receives one
-(query block, product block) cell: a numpy matrix product followed by a local
-top-k per query. Only k rows per query per cell leave the task; the final
-top-k is a window with a partial WindowGroupLimit before its shuffle.
+(query block, product block) cell: numpy matrix products over query chunks
+(bounded memory) followed by a local top-k per query. Only k rows per query
+per cell leave the task; the final top-k is a window with a partial
+WindowGroupLimit before its shuffle. Products are split only as memory
+requires, queries supply the remaining parallelism (fewer emitted rows).
 
 Nothing passes through the driver and no group holds more than one block of
 each side, so memory per task is bounded by the block sizes, whatever the
@@ -30,39 +32,49 @@ from rankforge.operators.ranking import top_k
 _CELL_SCHEMA = "query_id {qt}, product_id {pt}, score double"
 
 
+# score-matrix entries scored at once inside a cell (bounds task memory)
+CHUNK_ENTRIES = 1 << 23
+
+
+def _chunk_topk(S: np.ndarray, kk: int) -> np.ndarray:
+    """Column indices of the kk best entries per row, ordered by score desc
+    and, among equal scores, by column (columns are in ascending id order)."""
+    n = S.shape[1]
+    if n <= 4096 or kk >= n:
+        return np.argsort(-S, axis=1, kind="stable")[:, :kk]
+    # large rows: keep everything >= the kk-th value (ties at the boundary
+    # included), then a stable sort of that candidate set per row
+    thresh = -np.partition(-S, kk - 1, axis=1)[:, kk - 1:kk]
+    out = np.empty((S.shape[0], kk), dtype=np.int64)
+    for i in range(S.shape[0]):
+        cols = np.nonzero(S[i] >= thresh[i, 0])[0]
+        out[i] = cols[np.argsort(-S[i, cols], kind="stable")[:kk]]
+    return out
+
+
 def _cell_topk(k: int, digits: int | None):
     def run(products: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if products.empty or queries.empty:
             return pd.DataFrame({"query_id": queries["query_id"].iloc[:0],
                                  "product_id": products["product_id"].iloc[:0],
                                  "score": np.empty(0, dtype=np.float64)})
-        P = np.vstack(products["vec"].to_numpy()).astype(np.float64, copy=False)
-        Q = np.vstack(queries["vec"].to_numpy()).astype(np.float64, copy=False)
-        S = Q @ P.T                                   # (nq, np)
-        if digits is not None:
-            S = np.round(S, digits)
         pids = products["product_id"].to_numpy()
-        kk = min(k, S.shape[1])
-        # order by (score desc, product id asc): sort ids once, then a stable
-        # argsort on -score keeps id order among equal scores
         id_order = np.argsort(pids, kind="stable")
-        S_sorted = S[:, id_order]
-        if kk < S.shape[1]:
-            # cheap pre-cut: everything >= the kk-th largest score survives
-            thresh = -np.partition(-S_sorted, kk - 1, axis=1)[:, kk - 1:kk]
-            mask = S_sorted >= thresh
-        else:
-            mask = np.ones_like(S_sorted, dtype=bool)
-        q_out, p_out, s_out = [], [], []
+        P = np.vstack(products["vec"].to_numpy()).astype(np.float64, copy=False)[id_order]
+        pids = pids[id_order]
+        Q = np.vstack(queries["vec"].to_numpy()).astype(np.float64, copy=False)
         qids = queries["query_id"].to_numpy()
-        for i in range(S_sorted.shape[0]):
-            cols = np.nonzero(mask[i])[0]
-            vals = S_sorted[i, cols]
-            order = np.argsort(-vals, kind="stable")[:kk]
-            sel = cols[order]
-            q_out.append(np.full(len(sel), qids[i]))
-            p_out.append(pids[id_order[sel]])
-            s_out.append(S_sorted[i, sel])
+        kk = min(k, P.shape[0])
+        step = max(1, CHUNK_ENTRIES // P.shape[0])
+        q_out, p_out, s_out = [], [], []
+        for start in range(0, Q.shape[0], step):
+            S = Q[start:start + step] @ P.T                       # (chunk, n_products)
+            if digits is not None:
+                S = np.round(S, digits)
+            top = _chunk_topk(S, kk)
+            q_out.append(np.repeat(qids[start:start + step], kk))
+            p_out.append(pids[top].ravel())
+            s_out.append(np.take_along_axis(S, top, axis=1).ravel())
         return pd.DataFrame({"query_id": np.concatenate(q_out),
                              "product_id": np.concatenate(p_out),
                              "score": np.concatenate(s_out)})
@@ -74,11 +86,18 @@ def _blocks(n_rows: int, rows_per_block: int, minimum: int) -> int:
 
 
 def block_counts(spark, n_products: int, n_queries: int, rows_per_block: int = 50_000) -> tuple[int, int]:
-    """(product_blocks, query_blocks) for the given input sizes: at most
-    ``rows_per_block`` rows of a side per cell, and at least one product
-    block per core so small catalogues still use the whole cluster."""
-    return (_blocks(n_products, rows_per_block, spark.sparkContext.defaultParallelism),
-            _blocks(n_queries, rows_per_block, 1))
+    """(product_blocks, query_blocks) for the given input sizes.
+
+    Each cell emits k rows per query per *product* block, so products are
+    split only as far as memory needs (``rows_per_block``); the remaining
+    parallelism comes from splitting the queries, which replicates the
+    product block instead of multiplying the emitted rows."""
+    pb = _blocks(n_products, rows_per_block, 1)
+    qb = _blocks(n_queries, rows_per_block, 1)
+    cores = spark.sparkContext.defaultParallelism
+    if pb * qb < cores:
+        qb = max(qb, min(int(math.ceil(cores / pb)), max(int(n_queries), 1)))
+    return pb, qb
 
 
 def dense_search(queries: DataFrame, products: DataFrame, k: int, dim: int | None = None,

@@ -120,3 +120,14 @@ def test_learned_sparse_and_activation(spark):
     qw = spark.createDataFrame([(7, "a", 1.0), (7, "b", 3.0)], "query_id long, term string, weight double")
     got = sorted((r.rank, r.product_id, r.score) for r in sparse_search(qw, docs, 10).collect())
     assert got == [(0, 2, 5.0), (1, 1, 1.0)]
+
+
+@pytest.mark.parametrize("n_cols,kk", [(50, 7), (5000, 40), (9000, 9000)])
+def test_chunk_topk_orders_by_score_then_column(n_cols, kk):
+    from rankforge.operators.dense import _chunk_topk
+    rng = np.random.default_rng(7)
+    S = np.round(rng.random((6, n_cols)), 2)          # many exact ties
+    got = _chunk_topk(S, kk)
+    for i in range(S.shape[0]):
+        want = sorted(range(n_cols), key=lambda j: (-S[i, j], j))[:kk]
+        assert list(got[i]) == want
