@@ -215,14 +215,18 @@ def label_distribution(df: DataFrame, col: str = "esci_label") -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(col))
 
 
-def distinct_query_counts(df: DataFrame) -> DataFrame:
+def distinct_query_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
     """AGG-3: distinct queries in total, per locale and per split, long form
-    (scope, key, queries). Exact ``count(distinct)`` per group."""
-    total = df.agg(F.count_distinct("query_id").alias("queries")).select(
-        F.lit("total").alias("scope"), F.lit("all").alias("key"), "queries")
-    per_locale = df.groupBy("product_locale").agg(F.count_distinct("query_id").alias("queries")).select(
+    (scope, key, queries). Exact ``count(distinct)`` per group, or a
+    HyperLogLog++ sketch (``approximate``) when the id sets are huge."""
+    def n():
+        if approximate:
+            return F.approx_count_distinct("query_id").cast("long").alias("queries")
+        return F.count_distinct("query_id").alias("queries")
+    total = df.agg(n()).select(F.lit("total").alias("scope"), F.lit("all").alias("key"), "queries")
+    per_locale = df.groupBy("product_locale").agg(n()).select(
         F.lit("locale").alias("scope"), F.col("product_locale").alias("key"), "queries")
-    per_split = df.groupBy("split").agg(F.count_distinct("query_id").alias("queries")).select(
+    per_split = df.groupBy("split").agg(n()).select(
         F.lit("split").alias("scope"), F.col("split").alias("key"), "queries")
     return reduce(DataFrame.unionByName, [total, per_locale, per_split])
 

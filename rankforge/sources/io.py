@@ -97,11 +97,12 @@ def write_artifacts(spark: SparkSession, path: str, model: str, split: str, prod
     partition overwrite replaces only this model/split, so runs of different
     models never mix and nothing has to be deleted first."""
     base = path.rstrip("/")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     for name, df in (("product_vectors", product_vectors), ("query_vectors", query_vectors)):
         (df.withColumn("model", F.lit(model)).withColumn("split", F.lit(split))
-         .write.mode("overwrite").partitionBy("model", "split").parquet(f"{base}/{name}"))
-    pairs.write.mode("overwrite").partitionBy("split").parquet(f"{base}/pairs")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("model", "split").parquet(f"{base}/{name}"))
+    (pairs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("split").parquet(f"{base}/pairs"))
 
 
 def write_bm25_index(index: BM25Index, path: str) -> None:
@@ -114,6 +115,11 @@ def write_bm25_index(index: BM25Index, path: str) -> None:
     index.stats().write.mode("overwrite").parquet(f"{base}/stats")
 
 
+def metrics_csv_path(out_dir: str, dim: int, sources, kind: str = "candidates") -> str:
+    """SNK-4 naming: one file per run, named by dimension and sources."""
+    return f"{out_dir.rstrip('/')}/{kind}_dim{int(dim)}_{'_'.join(sources)}.csv"
+
+
 def write_metrics_csv(metrics: DataFrame, path: str) -> None:
     """SNK-4: a small metric table as one CSV file with a header."""
     metrics.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
