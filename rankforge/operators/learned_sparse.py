@@ -3,7 +3,9 @@
 Documents and queries are sparse term-weight vectors held in long form
 (id, term, weight). Scoring is the same inverted-index join as BM25: the
 query side joins the document-weight scan (broadcast by the planner only
-below the broadcast size threshold, re-checked by AQE), sums per (query, doc) and a top-k with a partial limit per task.
+below the broadcast size threshold, re-checked by AQE), partial sums per
+(query, doc) are combined map-side, and the top-k keeps k rows per query per
+task before its exchange.
 """
 
 from __future__ import annotations
