@@ -64,13 +64,23 @@ class BM25Index:
         re-reads them from shared storage."""
         spark = self.postings.sparkSession
         checkpoint_dir(spark)
-        self.postings = self.postings.checkpoint(eager=True)
-        self.doc_freq = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        postings = self.postings.checkpoint(eager=True)
+        self.doc_freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         self.n_docs_value = float(self.docs.count())
-        total = self.postings.agg(F.sum("tf")).first()[0]
+        total = postings.agg(F.sum("tf")).first()[0]
         self.total_len_value = float(total or 0)
+        # the weight of every posting, once (the planner broadcasts the
+        # vocabulary when it is small); searches then multiply by qtf only
+        self.postings = self._with_weights(postings).checkpoint(eager=True)
+        self.doc_freq = self.postings.select("term", "df").distinct()
         return self
 
+    def _with_weights(self, postings: DataFrame) -> DataFrame:
+        p = self.params
+        w = bm25_tf_part("tf", "dl", self.avgdl, p.k1, p.b) * bm25_idf(self.n_docs, "df")
+        return (postings.join(self.doc_freq, "term")
+                .select("doc_id", "term", "tf", "dl", "df", w.alias("weight")))
+
     def stats(self) -> DataFrame:
         """One-row table (n_docs, avgdl, n_terms) -- what SRC-5 checks."""
         return self.doc_freq.agg(F.count(F.lit(1)).alias("n_terms")).select(
@@ -78,10 +88,9 @@ class BM25Index:
 
     def weights(self) -> DataFrame:
         """AGG-8: (doc_id, term, tf, dl, df, weight) for every posting."""
-        p = self.params
-        joined = self.postings.join(self.doc_freq, "term")
-        w = bm25_tf_part("tf", "dl", self.avgdl, p.k1, p.b) * bm25_idf(self.n_docs, "df")
-        return joined.select("doc_id", "term", "tf", "dl", "df", w.alias("weight"))
+        if "weight" in self.postings.columns:
+            return self.postings.select("doc_id", "term", "tf", "dl", "df", "weight")
+        return self._with_weights(self.postings)
 
     def persist(self) -> "BM25Index":
         self.postings = self.postings.persist()
@@ -128,14 +137,22 @@ def bm25_search(index: BM25Index, queries: DataFrame, k: int, query_col: str = "
     qtf = term_counts(q, "query_id", "query", p.stem, null_as="None").withColumnRenamed("tf", "qtf")
     # no hint: the planner broadcasts the query side only below
     # spark.sql.autoBroadcastJoinThreshold, and AQE re-checks with runtime sizes
-    qside = qtf.join(index.doc_freq, "term")
-    idf = bm25_idf(index.n_docs, "df")
-    contrib = (F.col("qtf").cast("double")
-               * (bm25_tf_part("tf", "dl", index.avgdl, p.k1, p.b) * idf))
-    scores = (index.postings.join(qside, "term")
-              .groupBy("query_id", "doc_id").agg(F.sum(contrib).alias("score")))
+    if "weight" in index.postings.columns:
+        # materialized index: the join with the postings is the in-vocabulary
+        # filter, and each contribution is qtf * (stored posting weight)
+        scores = (index.postings.join(qtf, "term")
+                  .groupBy("query_id", "doc_id")
+                  .agg(F.sum(F.col("qtf").cast("double") * F.col("weight")).alias("score")))
+    else:
+        qside = qtf.join(index.doc_freq, "term")
+        idf = bm25_idf(index.n_docs, "df")
+        contrib = (F.col("qtf").cast("double")
+                   * (bm25_tf_part("tf", "dl", index.avgdl, p.k1, p.b) * idf))
+        scores = (index.postings.join(qside, "term")
+                  .groupBy("query_id", "doc_id").agg(F.sum(contrib).alias("score")))
     if pad_zero:
-        scores = pad_with_zero_scores(scores, index.docs, qside.select("query_id").distinct(), k)
+        known = qtf.join(index.doc_freq, "term", "left_semi").select("query_id").distinct()
+        scores = pad_with_zero_scores(scores, index.docs, known, k)
     return ranked_list(scores, "query_id", "doc_id", "score", k, source, digits)
 
 
