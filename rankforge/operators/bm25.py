@@ -64,14 +64,18 @@ class BM25Index:
         re-reads them from shared storage."""
         spark = self.postings.sparkSession
         checkpoint_dir(spark)
-        postings = self.postings.checkpoint(eager=True)
-        self.doc_freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        postings = self.postings.persist()          # held only until the write below
         self.n_docs_value = float(self.docs.count())
         total = postings.agg(F.sum("tf")).first()[0]
         self.total_len_value = float(total or 0)
-        # the weight of every posting, once (the planner broadcasts the
-        # vocabulary when it is small); searches then multiply by qtf only
-        self.postings = self._with_weights(postings).checkpoint(eager=True)
+        # the weight of every posting, once: df by a window over the term
+        # (one exchange), then one reliable write; searches multiply by qtf
+        p = self.params
+        df = F.count(F.lit(1)).over(Window.partitionBy("term"))
+        w = bm25_tf_part("tf", "dl", self.avgdl, p.k1, p.b) * bm25_idf(self.n_docs, "df")
+        weighted = postings.withColumn("df", df).select("doc_id", "term", "tf", "dl", "df", w.alias("weight"))
+        self.postings = weighted.checkpoint(eager=True)
+        postings.unpersist()
         self.doc_freq = self.postings.select("term", "df").distinct()
         return self
 
