@@ -1,24 +1,24 @@
 """AGG-7 / AGG-8 / JN-10: BM25 as an inverted-index join.
 
-Index build (lazy):
-  * term counts per document from the JVM analyser (``analyze``), combined
-    map-side before their shuffle;
-  * document length ``dl`` as a window sum per document -- its shuffle leaves
-    the postings hash-partitioned by document, i.e. a *document-partitioned*
-    index, the standard layout of distributed search engines;
+Index build:
+  * term counts per document from the analyser (``analyze``): token arrays
+    are exchanged once on doc_id, then counted per (doc, term) on that
+    clustering -- the token stream is not reshuffled;
+  * document length ``dl`` as a window sum on the same doc_id clustering;
   * document frequency per term (partial + final aggregate);
-  * the postings are written once (reliable checkpoint, ``materialize``)
-    and N and avgdl taken as two numbers; unmaterialized indexes use scalar
-    subqueries instead (no cross join either way). Empty documents count in
-    N and in avgdl, as in the reference.
-
-Search: the (small) query-term table is joined with the document
-frequencies, then joined into the postings scan; Spark broadcasts it only
-when its size is under the broadcast threshold (checked again by AQE on
-runtime sizes), else it falls back to a shuffled join. Because postings are partitioned by document, the per-(query, doc) sum
-needs no shuffle, and the top-k keeps only k rows per query per task before
-the single shuffle on query_id. Frequent terms ("the") have long postings,
-but they are streamed, never shuffled.
+  * ``materialize`` takes N and avgdl as two numbers, adds df (a window over
+    the term) and each posting's weight, and writes the postings once with a
+    reliable checkpoint; unmaterialized indexes use scalar subqueries
+    instead (no cross join either way). Empty documents count in N and in
+    avgdl, as in the reference.
+
+Search: the (small) query-term table joins the postings scan; Spark
+broadcasts it only when its size is under the broadcast threshold (checked
+again by AQE on runtime sizes), else it falls back to a shuffled join. Each
+contribution is qtf * stored weight; partial sums per (query, doc) are
+combined map-side before their one exchange, and the top-k keeps only k rows
+per query per task before the shuffle on query_id. Frequent terms ("the")
+have long postings, but they are streamed, never shuffled.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from rankforge.session import checkpoint_dir
 
 @dataclass
 class BM25Index:
-    postings: DataFrame        # doc_id, term, tf, dl   (partitioned by doc_id)
+    postings: DataFrame        # doc_id, term, tf, dl [, df, weight once materialized]
     doc_freq: DataFrame        # term, df
     docs: DataFrame            # doc_id (every indexed document, empty ones too)
     params: BM25Params
