@@ -73,7 +73,9 @@ def _retr(art, sources=("dense", "bm25", "splade"), model="a"):
 
 
 def _ranked_out(df):
-    return df.select("query_id", "source", "product_id", r6("score").alias("score"), "rank")
+    # scores are already rounded once (9 digits) for ranking; rounding again
+    # would hit exact .5 ties where engines round differently
+    return df.select("query_id", "source", "product_id", "score", "rank")
 
 
 # ------------------------------------------------------------------ prep (API-1)

@@ -363,7 +363,7 @@ UNION ALL SELECT 'split', split, count(DISTINCT query_id) FROM pairs GROUP BY sp
         round((t.tf{D} * 2.5{D}) / (t.tf{D} + 1.5{D} * (0.25{D} + 0.75{D} * l.dl{D} / greatest(s.avgdl, 1e-9{D})))
               * ln((s.n - f.df{D} + 0.5{D}) / (f.df{D} + 0.5{D}) + 1.0{D}), 6) AS weight
         FROM bm_tf t JOIN bm_dl l ON t.doc_id = l.doc_id JOIN bm_df f ON f.term = t.term CROSS JOIN bm_st s""", bm)
-    ranked_sel = "SELECT query_id, '{src}' AS source, product_id, round(score, 6) AS score, rank FROM {lst}"
+    ranked_sel = "SELECT query_id, '{src}' AS source, product_id, score, rank FROM {lst}"
     q["bm25_topk"] = pairs_sql(ranked_sel.format(src="bm25", lst="bm_list"), bm)
     bmu = bm25_ctes("bm", TITLE_DOCS, "SELECT query_id, query FROM gq", ascii_tokens, False, 500)
     q["bm25_topk_unstemmed"] = pairs_sql(ranked_sel.format(src="bm25", lst="bm_list"), bmu)
@@ -383,7 +383,7 @@ UNION ALL SELECT 'split', split, count(DISTINCT query_id) FROM pairs GROUP BY sp
     q["vector_prefix_norm"] = with_fixtures(" UNION ALL ".join(vp), "fx_vec_products")
     for d in SWEEP_DIMS:
         q[f"dense_topk_{d}"] = with_fixtures(f"""
-SELECT query_id, 'dense' AS source, product_id, round(score, 6) AS score, rank FROM (
+SELECT query_id, 'dense' AS source, product_id, score, rank FROM (
   SELECT query_id, product_id, score,
          CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) - 1 AS INTEGER) AS rank
   FROM (SELECT q.query_id, p.product_id,
@@ -499,8 +499,11 @@ sc AS (SELECT f.query_id, f.rank, p.product_title,
     q["lift_comparison"] = sweep_sql(lift, ("a", "b"))
     lift2 = []
     for m in ("recall_200", "ndcg_20"):
-        lift2 += [f"round(a.{m}, 2) AS {m}_base", f"round(b.{m}, 2) AS {m}_tuned",
-                  f"round(round((b.{m} - a.{m}) / nullif(a.{m}, 0) * 100.0{D}, 6), 2) AS {m}_lift_pct"]
+        # round a 6-digit value to 2 through DECIMAL (half away from zero on
+        # the decimal digits), as Spark's round does
+        r2 = "CAST(round(CAST({x} AS DECIMAL(18, 6)), 2) AS DOUBLE)"
+        lift2 += [r2.format(x=f"a.{m}") + f" AS {m}_base", r2.format(x=f"b.{m}") + f" AS {m}_tuned",
+                  r2.format(x=f"round((b.{m} - a.{m}) / nullif(a.{m}, 0) * 100.0{D}, 6)") + f" AS {m}_lift_pct"]
     q["lift_at_dim"] = sweep_sql(
         f"SELECT a.strategy, CAST(a.dimension AS INTEGER) AS dimension, {', '.join(lift2)} "
         f"FROM sa_sweep a JOIN sb_sweep b ON a.strategy = b.strategy AND a.dimension = b.dimension "
