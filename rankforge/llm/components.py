@@ -51,16 +51,17 @@ def block_pairs(rows: DataFrame, sizes: DataFrame, key: str, member: str, block:
 
     ``sizes`` has (key, n) of the keys to keep. A key with n members is dealt
     into ceil(n / block) blocks by a hash of the member; a row goes once into
-    each pair of its block with another one.
+    each pair of its block with another one. ``own`` and ``parts`` tell a row's
+    block and how many there are.
     """
     parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64(member), F.col("_parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    own = F.pmod(F.xxhash64(member), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     return (rows.join(sizes, key)
-            .withColumn("_parts", parts).withColumn("_own", own).withColumn("_other", other)
-            .where("_parts = 1 OR _own <> _other")
-            .withColumn("lo", F.least("_own", "_other")).withColumn("hi", F.greatest("_own", "_other"))
-            .drop("_parts", "_own", "_other"))
+            .withColumn("parts", parts).withColumn("own", own).withColumn("_other", other)
+            .where("parts = 1 OR own <> _other")
+            .withColumn("lo", F.least("own", "_other")).withColumn("hi", F.greatest("own", "_other"))
+            .drop("n", "_other"))
 
 
 def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm import langid, minhash, packing, quality, sharding, toxicity
+from rankforge.llm import embeddings, langid, minhash, packing, quality, sharding, toxicity
 from rankforge.llm.common import held_out
 from rankforge.session import ship_package
 
@@ -31,6 +31,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=2048, closing_id=0, **tokenizer_files())
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
     return langid.predict(docs, langid.fit(docs), ["doc_id", "held_out"]).drop("rejected")
@@ -56,7 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_language_id, op6_sharding, op8_quality, op9_minhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_language_id, op6_sharding, op8_quality, op9_minhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
