@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm import embeddings, langid, minhash, packing, quality, sharding, suffix, toxicity
+from rankforge.llm import decontam, embeddings, langid, minhash, packing, quality, sharding, suffix, toxicity
 from rankforge.llm.common import held_out
 from rankforge.session import ship_package
 
@@ -44,6 +44,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), length=400)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "start_word", "n_words")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return sharding.assign(docs, "doc_id", SHARDS)
@@ -64,8 +69,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_language_id, op4_suffix_dedup, op6_sharding, op8_quality, op9_minhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_language_id, op4_suffix_dedup, op5_decontamination, op6_sharding, op8_quality, op9_minhash, op10_toxicity)}
+
+
+# Every window of every document that starts up to an item's length before one
+# of the item's shingles is compared with the item by counts.
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT doc_id, len(w) - 4 AS n, i AS pos, array_to_string(w[i + 1:i + 5], ' ') AS g
+       FROM (SELECT doc_id, w, unnest(range(len(w) - 4)) AS i FROM d WHERE len(w) >= 5)),
+bs AS (SELECT item_id, len(w) - 4 AS m, array_to_string(w[i + 1:i + 5], ' ') AS g
+       FROM (SELECT item_id, w, unnest(range(len(w) - 4)) AS i FROM b WHERE len(w) >= 5)),
+bc AS (SELECT item_id, m, g, count(*) AS c FROM bs GROUP BY ALL),
+h AS (SELECT doc_id, n, item_id, m, pos, g, c FROM ds JOIN bc USING (g)),
+s AS (SELECT DISTINCT doc_id, n, item_id, m, start FROM (
+        SELECT doc_id, n, item_id, m, unnest(range(greatest(0, least(pos - m + 1, n - m)), greatest(0, least(pos, n - m)) + 1)) AS start FROM h)),
+x AS (SELECT doc_id, n, item_id, m, start, g, least(count(*), c) AS common FROM s JOIN h USING (doc_id, n, item_id, m)
+      WHERE pos >= start AND pos < start + m GROUP BY doc_id, n, item_id, m, start, g, c),
+y AS (SELECT doc_id, item_id, start, least(m, n) AS k, m, sum(common) AS common FROM x GROUP BY doc_id, n, item_id, m, start),
+z AS (SELECT doc_id, item_id, start, k, common / (k + m - common) AS similarity FROM y),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS rn FROM z WHERE similarity >= 0.8)
+SELECT doc_id, item_id, similarity, CAST(start AS INTEGER) AS start_word, CAST(k + 4 AS INTEGER) AS n_words FROM r WHERE rn = 1
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": OP5_SQL}
