@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm import decontam, embeddings, langid, minhash, packing, quality, sharding, suffix, toxicity
+from rankforge.llm import decontam, embeddings, langid, minhash, packing, pii, quality, sharding, suffix, toxicity
 from rankforge.llm.common import held_out
 from rankforge.session import ship_package
 
@@ -54,6 +54,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(docs, "doc_id", SHARDS)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -69,7 +73,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_language_id, op4_suffix_dedup, op5_decontamination, op6_sharding, op8_quality, op9_minhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_language_id, op4_suffix_dedup, op5_decontamination, op6_sharding, op7_pii, op8_quality, op9_minhash, op10_toxicity)}
 
 
 # Every window of every document that starts up to an item's length before one
