@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankforge.llm import langid, minhash, packing
+from rankforge.llm import decontam, langid, minhash, packing, pii
 from rankforge.llm.common import Scratch
 from rankforge.llm.queries import table, tokenizer_files
 
@@ -32,12 +32,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return minhash.dedup(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold no passage of the benchmark."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, personal data in their texts replaced by its kind."""
+    return pii.mask(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in the sequences."""
     return packing.pack(docs, **tokenizer_files())
 
 
-STAGES = [("language_id", language_id), ("minhash", near_duplicates), ("pack", pack)]
+STAGES = [("language_id", language_id), ("minhash", near_duplicates), ("decontaminate", decontaminate),
+          ("pii", mask_pii), ("pack", pack)]
 
 # MinHash, byte-level BPE and the packing plan have no SQL form; the stages are
 # tested against brute force instead.
