@@ -34,7 +34,10 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){15,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # What may be an identifier after a context: six or more characters, two digits.
-INSTANCE = r"(?=[^\s0-9]*+[0-9][^\s0-9]*+[0-9])[A-Za-z0-9+](?:[A-Za-z0-9._%+@-]*[A-Za-z0-9])"
+# Cheap tests come first, so that the context is only looked up before such tokens.
+SEPARATOR = r"[\s=:\"'(]"
+TWO_DIGITS = r"(?=[^\s0-9]*+[0-9][^\s0-9]*+[0-9])"
+INSTANCE = r"[A-Za-z0-9+](?:[A-Za-z0-9._%+@-]*[A-Za-z0-9])"
 SPAN = "array<struct<start:int,end:int>>"
 
 
@@ -126,7 +129,8 @@ def context_regex(patterns: list[str]) -> str | None:
     if not patterns:
         return None
     quoted = "|".join(rf"\Q{p}\E" for p in patterns)
-    return rf"(?<=(?<![\p{{L}}\p{{N}}_])(?i:{quoted})[.,!?]?[\s=:\"'(]{{1,4}}){INSTANCE}"
+    context = rf"(?<=(?<![\p{{L}}\p{{N}}_])(?i:{quoted})[.,!?]?{SEPARATOR}{{1,4}})"
+    return rf"(?<={SEPARATOR}){TWO_DIGITS}{context}{INSTANCE}"
 
 
 # ------------------------------------------------------------- operator
