@@ -70,7 +70,8 @@ def _spread(texts: pa.Array):
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(lang, bucket array, count array) of each document."""
+    """(lang, buckets, counts) of each document; the lists as packed bytes,
+    because the driver collects them for the sample."""
     def count(batches):
         for batch in batches:
             for lo, hi, data, first in _spread(batch.column("text")):
@@ -78,13 +79,13 @@ def counted(docs: DataFrame) -> DataFrame:
                 ids, counts = [], []
                 for a, b in zip(first[:-1], first[1:]):
                     idx, n = np.unique(np.concatenate([g[a:max(a, b - k)] for g, k in zip(grams, ORDERS)]), return_counts=True)
-                    ids.append(idx.astype(np.int32))
-                    counts.append(n.astype(np.float32))
+                    ids.append(idx.astype("<i4").tobytes())
+                    counts.append(n.astype("<f4").tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("lang").slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32())),
-                     pa.array(counts, pa.list_(pa.float32()))], names=["lang", "ids", "counts"])
+                    [batch.column("lang").slice(lo, hi - lo), pa.array(ids, pa.binary()),
+                     pa.array(counts, pa.binary())], names=["lang", "ids", "counts"])
 
-    return docs.select("lang", "text").mapInArrow(count, "lang string, ids array<int>, counts array<float>")
+    return docs.select("lang", "text").mapInArrow(count, "lang string, ids binary, counts binary")
 
 
 # ------------------------------------------------------------- model
@@ -157,7 +158,7 @@ def fit(docs: DataFrame, per_language: int = 600, **options) -> Model | None:
     whose id is not held out. Collects only the sample's n-gram counts."""
     usable = docs.select("doc_id", "lang", "text").where(
         ~held_out() & F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
-    rows = [(r["lang"], np.array(r["ids"], np.int32), np.array(r["counts"], np.float32))
+    rows = [(r["lang"], np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<f4"))
             for r in counted(sample_by_hash(usable, "lang", per_language)).collect()]
     return train(rows, **options) if rows else None
 
