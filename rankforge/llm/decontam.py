@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from rankforge.llm.common import Scratch
 
 WORDS = 5
-BITMAP_LONGS = 1 << 15  # 2 ** 21 bits, whatever the size of the benchmark
+BITMAP_LONGS = 1 << 14  # 2 ** 20 bits, whatever the size of the benchmark
 RADIUS = 24  # of 64 bits: five standard deviations beyond a similarity of 0.8
 SMALL_ROWS = 200_000  # rows of (hash, item, length) that are broadcast at most: about 5 MB
 SPACE = r"[\x20\x09-\x0D]+"

@@ -153,7 +153,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], width: int = 16, epoch
                  float(min(1.5 / len(languages), np.quantile(sure, reject_share))))
 
 
-def fit(docs: DataFrame, per_language: int = 600, **options) -> Model | None:
+def fit(docs: DataFrame, per_language: int = 300, **options) -> Model | None:
     """Train on at most about ``per_language`` documents of each language
     whose id is not held out. Collects only the sample's n-gram counts."""
     usable = docs.select("doc_id", "lang", "text").where(
