@@ -115,9 +115,9 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 # ------------------------------------------------------------- planning
-def find_fill(avail: np.ndarray, gap: int) -> list[int] | None:
-    """One, two or three available lengths that add up to ``gap`` exactly,
-    the longest ones first."""
+def find_fill(avail: np.ndarray, gap: int, most: int = 3) -> list[int] | None:
+    """One to ``most`` (three) available lengths that add up to ``gap``
+    exactly, the longest ones first."""
     if gap <= 0:
         return None
     if avail[gap] > 0:
@@ -131,7 +131,9 @@ def find_fill(avail: np.ndarray, gap: int) -> list[int] | None:
         k = int(ok.argmax())
         return [int(a[k]), int(total - a[k])] if ok[k] else None
 
-    if found := pair(gap, gap):
+    if most < 2:
+        return None
+    if (found := pair(gap, gap)) or most < 3:
         return found
     for a in np.flatnonzero(avail[:gap - 1])[::-1]:
         a = int(a)
@@ -146,7 +148,15 @@ def find_fill(avail: np.ndarray, gap: int) -> list[int] | None:
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Patterns (how many sequences, [(length, how often in each)])."""
+    """Patterns (how many sequences, [(length, how often in each)]): of the
+    plans with single, up to pair and up to triple complements, the one with
+    the fewest sequences. Triples leave nothing open but may use up the short
+    pieces that long ones need."""
+    plans = [exact_fill(histogram, capacity, most) for most in (3, 2, 1)]
+    return min(plans, key=lambda p: sum(count for count, _ in p))
+
+
+def exact_fill(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[int, list[tuple[int, int]]]]:
     avail = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         avail[length] += n
@@ -154,7 +164,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple
     for length in range(capacity, 0, -1):
         while avail[length]:
             avail[length] -= 1
-            fill = [] if length == capacity else find_fill(avail, capacity - length)
+            fill = [] if length == capacity else find_fill(avail, capacity - length, most)
             avail[length] += 1
             if fill is None:
                 break  # no exact complement: left for best fit
