@@ -344,7 +344,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, most_classes: int = MOST_
     hits = sorted_in.mapInArrow(_sort_groups(length), RANGES)
     leaves = cut.where(F.col("classes") > most_classes).mapInArrow(_spell_out(length), LEAVES)
     twice = leaves.groupBy("f1", "f2").agg(F.sum("copies").alias("_n")).where("_n > 1").select("f1", "f2")
-    hot = (leaves.join(twice, ["f1", "f2"]).groupBy("hash", "digest").agg(F.sort_array(F.collect_set("start")).alias("first"))
+    # a class that occurs twice is whole anyway: only the others ask back
+    hot = (leaves.where("copies = 1").join(twice, ["f1", "f2"]).groupBy("hash", "digest").agg(F.sort_array(F.collect_set("start")).alias("first"))
            .select("hash", "digest", "first", F.col("first").alias("last")))
     hits = scratch.save(hits.unionByName(hot), "hits")
     # ---- back to the texts: whole ranges of classes that occur twice, parts of the others
