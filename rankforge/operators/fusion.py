@@ -33,7 +33,10 @@ def rrf_fuse(ranked: DataFrame, weights: Mapping[str, float], rrf_k: int = 60,
     """(query_id, product_id, rrf_score, rank) of the fused top ``top_n``.
 
     rrf = sum over sources of weight / (k + rank0 + 1). Equal scores keep the
-    order of first insertion: earlier source first, then its rank."""
+    order of first insertion: earlier source first, then its rank. Weighted
+    sources that ``source_order`` does not name follow it in the order of
+    ``weights``."""
+    source_order = [*source_order, *(s for s in weights if s not in source_order)]
     parts = [F.sum(F.when(F.col("source") == s, rrf_term("rank", rrf_k, float(weights.get(s, 0.0)))))
              .alias(f"__{s}") for s in source_order]
     order_code = F.coalesce(*[F.when(F.col("source") == s, F.lit(i)) for i, s in enumerate(source_order)],

@@ -162,7 +162,8 @@ def remove_train_test_overlap(df: DataFrame, by_locale: bool = False) -> DataFra
     flagged = overlap.select(*on).distinct().withColumn("__overlap", F.lit(True))
     # one pass over the rows: a left join to the (small) overlap id set
     out = df.join(flagged, on, "left")
-    drop = (F.col("split") == "train") & F.col("__overlap").isNotNull()
+    # a row with a null split is in neither split and stays
+    drop = F.coalesce((F.col("split") == "train") & F.col("__overlap").isNotNull(), F.lit(False))
     return out.where(~drop).drop("__overlap").select(*df.columns)
 
 

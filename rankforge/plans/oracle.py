@@ -74,7 +74,7 @@ ov AS (SELECT DISTINCT a.query_id
        FROM (SELECT DISTINCT query_id, product_locale FROM f3 WHERE split = 'train') a
        JOIN (SELECT DISTINCT query_id, product_locale FROM f3 WHERE split = 'test') b
          ON a.query_id = b.query_id AND a.product_locale = b.product_locale),
-f4 AS (SELECT * FROM f3 WHERE NOT (split = 'train' AND query_id IN (SELECT query_id FROM ov))),
+f4 AS (SELECT * FROM f3 WHERE NOT coalesce(split = 'train' AND query_id IN (SELECT query_id FROM ov), false)),
 cl AS (SELECT *, {_clean('product_title')} AS c_title, {_clean('product_brand')} AS c_brand,
               {_clean('product_bullet_point')} AS c_bullets FROM f4),
 pairs AS (
@@ -316,7 +316,7 @@ WITH tr AS (SELECT DISTINCT query_id, product_locale FROM fx_examples WHERE spli
      ov AS (SELECT DISTINCT tr.query_id, tr.product_locale FROM tr JOIN te
               ON tr.query_id = te.query_id AND tr.product_locale = te.product_locale)
 SELECT example_id, query_id, split FROM fx_examples e
-WHERE NOT (split = 'train' AND {cond})"""
+WHERE NOT coalesce(split = 'train' AND {cond}, false)"""
     q["overlap_removed"] = with_fixtures(overlap.format(cond="query_id IN (SELECT query_id FROM ov)"), "fx_examples")
     q["overlap_removed_by_locale"] = with_fixtures(overlap.format(
         cond="EXISTS (SELECT 1 FROM ov WHERE ov.query_id = e.query_id AND ov.product_locale = e.product_locale)"),

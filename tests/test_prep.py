@@ -47,3 +47,16 @@ def test_sampling_is_repeatable_and_whole_queries(spark):
     assert len(ids) == 3
     assert len(a) == sum(1 for i in range(50) if i % 7 in ids)
     assert prep.sample_queries(ex, 100).count() == 50
+
+
+def test_overlap_removal_keeps_null_split(spark):
+    from rankforge.operators import prep
+    rows = [(1, "us", "train"), (1, "us", "test"), (1, "us", None)]
+    df = spark.createDataFrame(rows, "query_id long, product_locale string, split string")
+    assert sorted(str(r["split"]) for r in prep.remove_train_test_overlap(df).collect()) == ["None", "test"]
+
+
+def test_fusion_counts_sources_named_by_weights_only(spark):
+    from rankforge.operators.fusion import rrf_fuse
+    df = spark.createDataFrame([(1, "ann", "a", 1.0, 0)], "query_id long, source string, product_id string, score double, rank int")
+    assert rrf_fuse(df, {"ann": 2.0}).first()["rrf_score"] > 0
