@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankforge.functions.names import safe_metric_name_py
+from rankforge.functions.names import safe_metric_name
 from rankforge.operators.bm25 import BM25Index
 from rankforge.config import BM25Params
 from rankforge.session import checkpoint_dir
@@ -133,12 +133,12 @@ def run_log(metrics: DataFrame, run_prefix: str, params: dict, metric_cols, key_
     name = F.concat_ws("__", F.lit(run_prefix), *[F.col(c).cast("string") for c in key_cols])
     p_items = []
     for k, v in params.items():
-        p_items += [F.lit(safe_metric_name_py(str(k))), F.lit(str(v))]
+        p_items += [safe_metric_name(F.lit(str(k))), F.lit(str(v))]
     for c in key_cols:
-        p_items += [F.lit(safe_metric_name_py(c)), F.col(c).cast("string")]
+        p_items += [safe_metric_name(F.lit(c)), F.col(c).cast("string")]
     m_items = []
     for c in metric_cols:
-        m_items += [F.lit(safe_metric_name_py(c)), F.col(c).cast("double")]
+        m_items += [safe_metric_name(F.lit(c)), F.col(c).cast("double")]
     return metrics.select(name.alias("run_name"),
                           F.lit(_dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)).alias("ts"),
                           F.create_map(*p_items).alias("params"),
