@@ -16,8 +16,9 @@ else in the corpus. The sorting is dealt out so that equal strings meet:
    by scanning the buckets of first bytes; adjacent common prefixes of
    ``length`` bytes are repeats.
 4. A group with more than ``most_classes`` classes is too hot for one task.
-   Its strings are spread by 128-bit fingerprints and counted instead; the
-   counts are summed before the shuffle.
+   Its strings are spread by 128-bit fingerprints and counted instead, first
+   in blocks of neighbouring starts and singly only at the edges of what
+   repeats; the counts are summed before the shuffle.
 
 Odd input: null or short text loses nothing (null counts as empty); repeated
 rows are copies and so lose everything if long enough; an empty table gives an
@@ -258,25 +259,63 @@ def _sort_groups(length: int):
     return run
 
 
-LEAVES = "hash long, digest long, copies long, start int, f1 long, f2 long"
+BLOCKS = (64, 8, 1)  # string starts in a block of a hot group, step by step
+PARTS = "hash long, digest long, copies long, first int, last int, h1 long, h2 long, c1 long, c2 long"
 
 
-def _spell_out(length: int):
-    """Every string of a class of a hot group, as a fingerprint."""
+def _spell_out(length: int, block: int):
+    """The wanted starts of a class in blocks, numbered from the anchor. A
+    block's hull holds the bytes of all its strings, its core the bytes that
+    they have in common (of the whole block, also where a class has only some
+    of it): equal strings lie in blocks with equal cores."""
     def run(batches):
-        one, two = Rolling(31, 4 * length), Rolling(32, 4 * length)
+        gram = min(GRAM, length)
+        pick, one, two = (Rolling(seed, 4 * length + 2) for seed in (21, 31, 32))
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("hash", "digest", "copies", "starts", "bytes")]
-            for h, d, copies, n, raw in zip(*cols):
-                data, start = np.frombuffer(raw, np.uint8), np.arange(n)
-                prints = [r.ranges(r.sums(data), start, start + length).view(np.int64) for r in (one, two)]
+            for h, d, raw, wanted in zip(*(batch.column(c).to_pylist() for c in ("hash", "digest", "bytes", "wanted"))):
+                data = np.frombuffer(raw, np.uint8)
+                at = np.arange(len(data) - gram + 1)
+                anchor = int(np.argmax(pick.ranges(pick.sums(data), at, at + gram).view(np.int64) == h))
+                start = np.concatenate([np.arange(w["first"], w["last"] + 1) for w in wanted])
+                copies = np.concatenate([np.full(w["last"] - w["first"] + 1, w["copies"]) for w in wanted])
+                number = (anchor - start) // block
+                head = np.flatnonzero(np.concatenate(([True], (number[1:] != number[:-1]) | (start[1:] != start[:-1] + 1))))
+                first, last = start[head], start[np.concatenate((head[1:], [len(start)])) - 1]
+                top = anchor - number[head] * block
+                bottom = top - block + 1
+                prints = [r.ranges(r.sums(data), x, y + length).view(np.int64) for x, y in ((first, last), (top, bottom)) for r in (one, two)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, x)) for x in (h, d, copies)] + [pa.array(start.astype(np.int32)), *map(pa.array, prints)],
-                    names=["hash", "digest", "copies", "start", "f1", "f2"])
+                    [pa.array(np.full(len(head), x)) for x in (h, d)] + [pa.array(copies[head])]
+                    + [pa.array(x.astype(np.int32)) for x in (first, last)] + [pa.array(x) for x in prints],
+                    names=["hash", "digest", "copies", "first", "last", "h1", "h2", "c1", "c2"])
 
     return run
 
 
+def _count_hot(cut: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """Repeated starts of the classes of hot groups that occur once: hash,
+    digest, first, last. A block whose hull occurs twice repeats whole, one
+    whose core occurs once repeats nowhere; blocks with equal cores in unequal
+    hulls are looked at in smaller blocks, one for each hull."""
+    core, hull = ["c1", "c2"], ["h1", "h2"]
+    wanted = cut.select("hash", "digest", "bytes", F.array(F.struct(
+        F.lit(0).alias("first"), (F.col("starts") - 1).alias("last"), "copies")).alias("wanted"))
+    found = None
+    for block in (b for b in BLOCKS if b == 1 or 4 * b <= length):
+        parts = scratch.save(wanted.mapInArrow(_spell_out(length, block), PARTS), f"blocks-{block}")
+        hulls = parts.groupBy(*core, *hull).agg(F.sum("copies").alias("copies"), F.min(F.struct("hash", "digest", "first", "last")).alias("r"))
+        hulls = scratch.save(hulls, f"hulls-{block}")
+        # a class that occurs twice is whole anyway: only the others ask back
+        hit = (parts.where("copies = 1").join(hulls.where("copies > 1").select(*core, *hull), core + hull, "left_semi")
+               .select("hash", "digest", "first", "last"))
+        found = hit if found is None else found.unionByName(hit)
+        several = hulls.groupBy(*core).agg(F.count("*").alias("_n")).where("_n > 1").select(*core)
+        smaller = (hulls.join(several, core, "left_semi").select("r.hash", "r.digest", F.struct("r.first", "r.last", "copies").alias("w"))
+                   .groupBy("hash", "digest").agg(F.sort_array(F.collect_list("w")).alias("wanted")))
+        wanted = cut.select("hash", "digest", "bytes").join(smaller, ["hash", "digest"])
+    return found
+
+
 KEPT = "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -342,11 +381,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, most_classes: int = MOST_
     # ---- suffix arrays; hot groups by fingerprints
     sorted_in = cut.where(F.col("classes") <= most_classes).repartition("hash").sortWithinPartitions("hash")
     hits = sorted_in.mapInArrow(_sort_groups(length), RANGES)
-    leaves = cut.where(F.col("classes") > most_classes).mapInArrow(_spell_out(length), LEAVES)
-    twice = leaves.groupBy("f1", "f2").agg(F.sum("copies").alias("_n")).where("_n > 1").select("f1", "f2")
-    # a class that occurs twice is whole anyway: only the others ask back
-    hot = (leaves.where("copies = 1").join(twice, ["f1", "f2"]).groupBy("hash", "digest").agg(F.sort_array(F.collect_set("start")).alias("first"))
-           .select("hash", "digest", "first", F.col("first").alias("last")))
+    hot = _count_hot(cut.where(F.col("classes") > most_classes).dropDuplicates(["hash", "digest"]), length, scratch)
+    hot = hot.groupBy("hash", "digest").agg(F.collect_list(F.struct("first", "last")).alias("s")).select("hash", "digest", "s.first", "s.last")
     hits = scratch.save(hits.unionByName(hot), "hits")
     # ---- back to the texts: whole ranges of classes that occur twice, parts of the others
     whole = classes.where("copies > 1").select("hash", "digest", F.lit(None).cast("array<int>").alias("first"), F.lit(None).cast("array<int>").alias("last"))

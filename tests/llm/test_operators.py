@@ -151,13 +151,13 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("most_classes", [1500, 2])
-def test_repeats_equal_brute_force(spark, most_classes):
+@pytest.mark.parametrize("most_classes, length", [(1500, 100), (2, 100), (1, 100), (1, 300), (1, 20)])
+def test_repeats_equal_brute_force(spark, most_classes, length):
     shared = words(60, 9)
     texts = [words(70, i) + " " + shared[i:] + " " + words(30, 100 + i) for i in range(12)] + [None, "", "é" * 300, words(70, 0), shared * 3, "ab" * 700]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, copies string")
-    got = sorted(tuple(r) for r in suffix.remove_repeats(docs, 100, most_classes).collect())
-    assert got == [(i, *x) for i, x in enumerate(brute_repeats(texts, 100))]
+    got = sorted(tuple(r) for r in suffix.remove_repeats(docs, length, most_classes).collect())
+    assert got == [(i, *x) for i, x in enumerate(brute_repeats(texts, length))]
     assert suffix.remove_repeats(docs.limit(0)).count() == 0
 
 
