@@ -5,7 +5,8 @@ of characters outside ``[a-z0-9-.#+]`` becomes one space, then word tokens
 ``\\b\\w+\\b``. After that normalisation the tokens are exactly the runs of
 ``[a-z0-9]``, so the whole analyser is expressed as JVM column expressions:
 
-* lower-case + NFKD in one Arrow-batched helper (ASCII rows pass through),
+* lower-case in the JVM; rows with another than an ASCII character go through
+  lower-case + NFKD in one Arrow-batched helper,
 * ``regexp_extract_all(text, '[a-z0-9]+')`` in the JVM.
 
 Accents thus split words ("crème" -> "cre me"), as NFKD + the separator rule
@@ -14,8 +15,8 @@ through an NFKD table built by rule from ``unicodedata`` (every code point
 whose lower-cased NFKD form holds an ASCII letter or digit); it gives the
 same tokens and serves inside higher-order functions.
 
-Stemming runs on the distinct vocabulary only (one pandas UDF call per
-distinct word), joined back to the occurrences.
+Terms are counted inside their row (sorted, cut where the word changes).
+Stemming sees the distinct words of a row, and a worker remembers the stems.
 """
 
 from __future__ import annotations
@@ -112,16 +113,18 @@ def _lower_nfkd_udf(texts: pd.Series) -> pd.Series:
 def word_tokens(c, null_as: str | None = "") -> Column:
     """SCL-1 + SCL-2: array of word tokens of a text column.
 
-    Lower-casing and NFKD run in one small Arrow-batched helper (Python's
-    C-implemented ``unicodedata``; ASCII rows return at once); the token
-    extraction is the JVM ``regexp_extract_all``. ``null_as`` is the text a
+    ASCII rows stay in the JVM. Only rows with another character send their
+    text to a small Arrow-batched helper (Python's C-implemented
+    ``unicodedata``) for lower-casing + NFKD. The token extraction is the JVM
+    ``regexp_extract_all``. ``null_as`` is the text a
     null becomes first ('' for fields, 'None' for raw query strings, as
     ``str(None)``). Not usable inside a higher-order lambda: put the tokens
     in a column first."""
     text = _col(c).cast("string")
     if null_as is not None:
         text = F.coalesce(text, F.lit(null_as))
-    return F.regexp_extract_all(_lower_nfkd_udf(text), F.lit(TOKEN_PATTERN), 0)
+    other = _lower_nfkd_udf(F.when(text.rlike(NON_ASCII_PATTERN), text))
+    return F.regexp_extract_all(F.coalesce(other, F.lower(text)), F.lit(TOKEN_PATTERN), 0)
 
 
 def word_tokens_jvm(c, null_as: str | None = "") -> Column:
@@ -150,38 +153,61 @@ def normalize_sparse_text(c) -> Column:
     return F.array_join(word_tokens(c), " ")
 
 
-@F.pandas_udf(T.StringType())
-def _stem_udf(words: pd.Series) -> pd.Series:
-    return words.map(porter_stem)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _stems_udf(words: pd.Series) -> pd.Series:
+    """UDF-3: the stems of a row's distinct words; a worker stems a word once
+    as long as it is among the last million."""
+    return words.map(lambda row: [] if row is None else [_cached_stem(w) for w in row])
+
 
+@lru_cache(maxsize=1 << 20)
+def _cached_stem(word: str) -> str:
+    return porter_stem(word)
 
-def stem_dictionary(words: DataFrame, word_col: str = "word") -> DataFrame:
-    """UDF-3: (word, term) for every distinct word; Python runs once per word."""
-    vocab = words.select(word_col).where(F.col(word_col).isNotNull()).distinct()
-    return vocab.select(word_col, _stem_udf(F.col(word_col)).alias("term"))
+
+def _summed(df: DataFrame, ids: list, pairs: str) -> DataFrame:
+    """(ids, pairs) with the (term, tf) pairs of every row summed by term, in
+    the row: sorted, cut where the term changes. Linear after the sort."""
+    df = df.select(*ids, F.sort_array(pairs).alias("__s"), F.size(pairs).alias("__n"))
+    heads = F.filter(F.sequence(F.lit(0), F.greatest(F.col("__n") - 1, F.lit(0))), lambda i: (F.col("__n") > 0) & (
+        (i == 0) | (F.get("__s", i)["term"] != F.get("__s", i - 1)["term"])))
+    df = df.select(*ids, "__s", "__n", heads.alias("__h"))
+    ends = F.concat(F.slice("__h", 2, F.greatest(F.size("__h"), F.lit(1))), F.array("__n"))
+    ends = F.slice(ends, 1, F.size("__h"))  # none for a row without tokens
+    # zip_with takes the ends as an argument: inside a lambda they would be built anew for every element
+    runs = F.zip_with("__h", ends, lambda h, e: F.struct(
+        F.get("__s", h)["term"].alias("term"),
+        F.aggregate(F.slice("__s", h + 1, e - h), F.lit(0).cast("long"), lambda acc, x: acc + x["tf"]).alias("tf")))
+    return df.select(*ids, runs.alias(pairs))
+
+
+def row_term_counts(df: DataFrame, id_cols, text_col: str, stem: bool = True,
+                    null_as: str | None = "") -> DataFrame:
+    """(id_cols..., term, tf) of every row, counted inside the row: no
+    exchange. Rows that share their ids are not added up."""
+    ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
+    one = F.transform("__t", lambda w: F.struct(w.alias("term"), F.lit(1).cast("long").alias("tf")))
+    rows = df.select(*ids, word_tokens(text_col, null_as).alias("__t")).select(*ids, one.alias("__p"))
+    rows = _summed(rows, ids, "__p")
+    if stem:
+        rows = rows.select(*ids, "__p", _stems_udf(F.col("__p.term")).alias("__w"))
+        rows = rows.select(*ids, F.zip_with("__w", "__p", lambda w, p: F.struct(w.alias("term"), p["tf"].alias("tf"))).alias("__p"))
+        rows = _summed(rows, ids, "__p")
+    # inline_outer: a plain inline would infer a "not empty" filter and push all of the above below the scan's projection
+    return rows.select(*ids, F.inline_outer("__p")).where(F.col("term").isNotNull())
 
 
 def analyze(df: DataFrame, id_cols, text_col: str, stem: bool = True,
-            null_as: str | None = "") -> DataFrame:
-    """Term counts per row: (id_cols..., term, tf), clustered by the ids.
-
-    Whole texts are tokenised (helper + JVM regexp), then the per-row token
-    arrays are exchanged once on the ids. Counting per (id, word), the stem
-    dictionary join (when the planner broadcasts it) and any later per-id
-    window or aggregate then run on that clustering with no further shuffle
-    of the token stream. ``explode_outer`` + a null filter keeps Catalyst
-    from inferring a 'non-empty' filter below the exchange, which would
-    evaluate the tokenizer twice."""
+            null_as: str | None = "", partitions: int | None = None) -> DataFrame:
+    """Term counts per id: (id_cols..., term, tf), clustered by the ids.
+
+    Texts are tokenised, stemmed and counted inside their row; only the counts
+    are exchanged, once, on the ids (into ``partitions`` if given). Rows that
+    share their ids are then added up on that clustering."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    toks = df.select(*ids, word_tokens(text_col, null_as).alias("__toks")).repartition(*ids)
-    words = (toks.select(*ids, F.explode_outer("__toks").alias("word"))
-             .where(F.col("word").isNotNull()))
-    counts = words.groupBy(*ids, "word").agg(F.count(F.lit(1)).alias("tf"))
-    if not stem:
-        return counts.withColumnRenamed("word", "term")
-    dictionary = stem_dictionary(counts, "word")
-    stemmed = counts.join(dictionary, "word")
-    return stemmed.groupBy(*ids, "term").agg(F.sum("tf").alias("tf"))
+    counts = row_term_counts(df, ids, text_col, stem, null_as)
+    counts = counts.repartition(partitions, *ids) if partitions else counts.repartition(*ids)
+    return counts.groupBy(*ids, "term").agg(F.sum("tf").alias("tf"))
 
 
 def token_count(c) -> Column:

@@ -1,29 +1,28 @@
-"""AGG-7 / AGG-8 / JN-10: BM25 as an inverted-index join.
+"""AGG-7 / AGG-8 / JN-10: BM25 as an inverted index clustered by document.
 
 Index build:
-  * term counts per document from the analyser (``analyze``): token arrays
-    are exchanged once on doc_id, then counted per (doc, term) on that
-    clustering -- the token stream is not reshuffled;
-  * document length ``dl`` as a window sum on the same doc_id clustering;
-  * document frequency per term (partial + final aggregate);
-  * ``materialize`` takes N and avgdl as two numbers, adds df (a window over
-    the term) and each posting's weight, and writes the postings once with a
-    reliable checkpoint; unmaterialized indexes use scalar subqueries
-    instead (no cross join either way). Empty documents count in N and in
-    avgdl, as in the reference.
-
-Search: the (small) query-term table joins the postings scan; Spark
-broadcasts it only when its size is under the broadcast threshold (checked
-again by AQE on runtime sizes), else it falls back to a shuffled join. Each
-contribution is qtf * stored weight; partial sums per (query, doc) are
-combined map-side before their one exchange, and the top-k keeps only k rows
-per query per task before the shuffle on query_id. Frequent terms ("the")
-have long postings, but they are streamed, never shuffled.
+  * term counts are made inside each row (``analyze``); only the counts are
+    exchanged, once, on doc_id;
+  * document length ``dl`` as a window sum on that clustering;
+  * ``materialize`` writes the postings once, bucketed by doc_id, then takes
+    document frequencies (partial + final aggregate) and N and the total
+    length (two numbers) from the written table. Unmaterialized indexes use
+    scalar subqueries instead (no cross join either way). Empty documents
+    count in N and in avgdl, as in the reference.
+
+Search: the query terms with their idf are counted and joined to the postings
+as a broadcast of at most ``MAX_QUERY_TERMS`` rows; more queries are searched
+in batches. The postings are never exchanged: contributions are summed per
+(query, document) in the task that reads the document's bucket, and the
+partial top-k there leaves k rows per query and task for the one exchange on
+query_id. A term in a third of all documents is spread over all buckets.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,16 +31,29 @@ from rankforge.config import BM25Params
 from rankforge.functions.scoring import bm25_idf, bm25_tf_part
 from rankforge.functions.text import analyze
 from rankforge.operators.ranking import ranked_list
-from rankforge.session import checkpoint_dir
+from rankforge.session import checkpoint_dir, shuffle_partitions
+from rankforge.sources.clustered import write_clustered
+
+MAX_QUERY_TERMS = 500_000  # broadcast rows of a batch of queries
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet below the shared checkpoint folder (runs a job)."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/rankforge_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 @dataclass
 class BM25Index:
-    postings: DataFrame        # doc_id, term, tf, dl [, df, weight once materialized]
+    postings: DataFrame        # doc_id, term, tf, dl
     doc_freq: DataFrame        # term, df
     docs: DataFrame            # doc_id (every indexed document, empty ones too)
     params: BM25Params
     n_docs_value: float | None = None      # known once the index is materialized
     total_len_value: float | None = None
+    n_postings: int | None = None
+    buckets: int | None = None
 
     @property
     def n_docs(self) -> Column:
@@ -56,50 +68,36 @@ class BM25Index:
         total = self.postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("double")).scalar()
         return F.coalesce(F.try_divide(total, self.n_docs), F.lit(0.0))
 
-    def materialize(self) -> "BM25Index":
-        """Write the postings once with a reliable checkpoint (the session's
-        shared checkpoint folder) and take N and the total length as two
-        numbers. Every later search, statistic and weight reads the written
-        postings instead of re-tokenising the corpus, and a lost executor
+    def materialize(self, clustered: bool = False) -> "BM25Index":
+        """Write the postings once, bucketed by doc_id, and the document
+        frequencies; take N, the total length and the postings count as
+        numbers. Every search reads the written tables, and a lost executor
         re-reads them from shared storage."""
-        spark = self.postings.sparkSession
-        checkpoint_dir(spark)
-        postings = self.postings.persist()          # held only until the write below
+        self.buckets = shuffle_partitions(self.postings.sparkSession)
+        self.postings = write_clustered(self.postings, "doc_id", buckets=self.buckets, clustered=clustered)
+        self.doc_freq = written(self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+        return self.measure()
+
+    def measure(self) -> "BM25Index":
+        """Take N, the total length and the postings count (two jobs)."""
         self.n_docs_value = float(self.docs.count())
-        total = postings.agg(F.sum("tf")).first()[0]
+        total, self.n_postings = self.postings.agg(F.sum("tf"), F.count(F.lit(1))).first()
         self.total_len_value = float(total or 0)
-        # the weight of every posting, once: df by a window over the term
-        # (one exchange), then one reliable write; searches multiply by qtf
-        p = self.params
-        df = F.count(F.lit(1)).over(Window.partitionBy("term"))
-        w = bm25_tf_part("tf", "dl", self.avgdl, p.k1, p.b) * bm25_idf(self.n_docs, "df")
-        weighted = postings.withColumn("df", df).select("doc_id", "term", "tf", "dl", "df", w.alias("weight"))
-        self.postings = weighted.checkpoint(eager=True)
-        postings.unpersist()
-        self.doc_freq = self.postings.select("term", "df").distinct()
         return self
 
-    def _with_weights(self, postings: DataFrame) -> DataFrame:
-        p = self.params
-        w = bm25_tf_part("tf", "dl", self.avgdl, p.k1, p.b) * bm25_idf(self.n_docs, "df")
-        return (postings.join(self.doc_freq, "term")
-                .select("doc_id", "term", "tf", "dl", "df", w.alias("weight")))
-
     def stats(self) -> DataFrame:
         """One-row table (n_docs, avgdl, n_terms) -- what SRC-5 checks."""
         return self.doc_freq.agg(F.count(F.lit(1)).alias("n_terms")).select(
             self.n_docs.cast("long").alias("n_docs"), self.avgdl.alias("avgdl"), "n_terms")
 
+    def tf_part(self) -> Column:
+        """The factor of a posting's weight that its document decides."""
+        return bm25_tf_part("tf", "dl", self.avgdl, self.params.k1, self.params.b)
+
     def weights(self) -> DataFrame:
         """AGG-8: (doc_id, term, tf, dl, df, weight) for every posting."""
-        if "weight" in self.postings.columns:
-            return self.postings.select("doc_id", "term", "tf", "dl", "df", "weight")
-        return self._with_weights(self.postings)
-
-    def persist(self) -> "BM25Index":
-        self.postings = self.postings.persist()
-        self.doc_freq = self.doc_freq.persist()
-        return self
+        return (self.postings.join(self.doc_freq, "term")
+                .select("doc_id", "term", "tf", "dl", "df", (self.tf_part() * bm25_idf(self.n_docs, "df")).alias("weight")))
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, stem: bool, null_as: str | None = "") -> DataFrame:
@@ -109,13 +107,14 @@ def term_counts(df: DataFrame, id_col: str, text_col: str, stem: bool, null_as:
 
 def build_bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      params: BM25Params = BM25Params(), materialize: bool = True) -> BM25Index:
-    """AGG-7: postings, document frequencies and corpus statistics.
+    """AGG-7: postings, document frequencies and corpus statistics. Runs jobs
+    with ``materialize``, else lazy.
 
     A null text indexes as '' (PRJ-4). With ``min_df`` > 1 the rare terms are
     removed before document lengths are taken, as a vocabulary cut does."""
     ids = docs.select(F.col(id_col).alias("doc_id"))
-    tf = term_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
-                     "doc_id", "text", params.stem, null_as="")
+    tf = analyze(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
+                 "doc_id", "text", params.stem, null_as="", partitions=shuffle_partitions(docs.sparkSession))
     if params.min_df > 1:
         keep = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
                 .where(F.col("df") >= params.min_df).select("term"))
@@ -125,7 +124,24 @@ def build_bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                          dl.cast("long").alias("dl"))
     doc_freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     index = BM25Index(postings=postings, doc_freq=doc_freq, docs=ids, params=params)
-    return index.materialize() if materialize else index
+    return index.materialize(clustered=params.min_df <= 1) if materialize else index
+
+
+def sum_by_document(weights: DataFrame, query_terms: DataFrame, most_terms: int = MAX_QUERY_TERMS) -> DataFrame:
+    """(query_id, doc_id, score): the sum of qw * weight over shared terms.
+
+    ``weights``: (doc_id, term, weight), best clustered by doc_id;
+    ``query_terms``: (query_id, term, qw). Writes and counts the query terms,
+    which bounds what is broadcast; beyond ``most_terms`` the queries are
+    dealt into batches by a hash of their id."""
+    q = written(query_terms.select("query_id", "term", "qw"))
+    batches = max(1, -(-q.count() // most_terms))
+    parts = []
+    for b in range(batches):
+        mine = q if batches == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == b)
+        parts.append(weights.join(F.broadcast(mine), "term").groupBy("query_id", "doc_id")
+                     .agg(F.sum(F.col("qw") * F.col("weight")).alias("score")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def bm25_search(index: BM25Index, queries: DataFrame, k: int, query_col: str = "query_id",
@@ -135,28 +151,14 @@ def bm25_search(index: BM25Index, queries: DataFrame, k: int, query_col: str = "
 
     score(q, d) = sum over shared terms of qtf * w(t, d); repeated query terms
     count; a query with no in-vocabulary term gets an empty list. Only
-    positive scores are ranked unless ``pad_zero`` (T4)."""
-    p = index.params
+    positive scores are ranked unless ``pad_zero`` (T4). Writes the query
+    terms (see ``sum_by_document``); the rest is lazy."""
     q = queries.select(F.col(query_col).alias("query_id"), F.col(text_col).alias("query"))
-    qtf = term_counts(q, "query_id", "query", p.stem, null_as="None").withColumnRenamed("tf", "qtf")
-    # no hint: the planner broadcasts the query side only below
-    # spark.sql.autoBroadcastJoinThreshold, and AQE re-checks with runtime sizes
-    if "weight" in index.postings.columns:
-        # materialized index: the join with the postings is the in-vocabulary
-        # filter, and each contribution is qtf * (stored posting weight)
-        scores = (index.postings.join(qtf, "term")
-                  .groupBy("query_id", "doc_id")
-                  .agg(F.sum(F.col("qtf").cast("double") * F.col("weight")).alias("score")))
-    else:
-        qside = qtf.join(index.doc_freq, "term")
-        idf = bm25_idf(index.n_docs, "df")
-        contrib = (F.col("qtf").cast("double")
-                   * (bm25_tf_part("tf", "dl", index.avgdl, p.k1, p.b) * idf))
-        scores = (index.postings.join(qside, "term")
-                  .groupBy("query_id", "doc_id").agg(F.sum(contrib).alias("score")))
+    qtf = term_counts(q, "query_id", "query", index.params.stem, null_as="None").join(index.doc_freq, "term")
+    qside = qtf.select("query_id", "term", (F.col("tf").cast("double") * bm25_idf(index.n_docs, "df")).alias("qw"))
+    scores = sum_by_document(index.postings.select("doc_id", "term", index.tf_part().alias("weight")), qside)
     if pad_zero:
-        known = qtf.join(index.doc_freq, "term", "left_semi").select("query_id").distinct()
-        scores = pad_with_zero_scores(scores, index.docs, known, k)
+        scores = pad_with_zero_scores(scores, index.docs, qtf.select("query_id").distinct(), k)
     return ranked_list(scores, "query_id", "doc_id", "score", k, source, digits)
 
 

@@ -1,11 +1,10 @@
 """Learned-sparse retrieval (JN-11, SCL-13, UDF-2).
 
 Documents and queries are sparse term-weight vectors held in long form
-(id, term, weight). Scoring is the same inverted-index join as BM25: the
-query side joins the document-weight scan (broadcast by the planner only
-below the broadcast size threshold, re-checked by AQE), partial sums per
-(query, doc) are combined map-side, and the top-k keeps k rows per query per
-task before its exchange.
+(id, term, weight). Scoring is the same join as BM25 search: counted batches
+of query terms are broadcast to the document weights, and sums and partial
+top-k stay in the task when the weights are clustered by document
+(``build_sparse_index``).
 """
 
 from __future__ import annotations
@@ -18,8 +17,9 @@ from pyspark.sql import functions as F
 
 from rankforge.functions.scoring import sparse_activation
 from rankforge.functions.text import analyze
-from rankforge.operators.bm25 import pad_with_zero_scores
+from rankforge.operators.bm25 import pad_with_zero_scores, sum_by_document
 from rankforge.operators.ranking import ranked_list
+from rankforge.sources.clustered import write_clustered
 
 
 def activations(logits: DataFrame, id_col: str = "doc_id", term_col: str = "term",
@@ -65,6 +65,11 @@ def encode_sparse(df: DataFrame, id_col: str, text_col: str,
     return df.select(id_col, text_col).mapInPandas(run, schema=schema)
 
 
+def build_sparse_index(weights: DataFrame) -> DataFrame:
+    """The (doc_id, term, weight) rows written in buckets of doc_id (one job)."""
+    return write_clustered(weights.select("doc_id", "term", "weight"), "doc_id")
+
+
 def sparse_search(query_weights: DataFrame, doc_weights: DataFrame, k: int,
                   source: str = "splade", digits: int | None = 9, pad_zero: bool = False,
                   docs: DataFrame | None = None) -> DataFrame:
@@ -74,9 +79,7 @@ def sparse_search(query_weights: DataFrame, doc_weights: DataFrame, k: int,
     term, weight). A query sharing no term with any document gets no rows;
     ``pad_zero`` fills short lists with zero-score documents (needs ``docs``)."""
     q = query_weights.select("query_id", "term", F.col("weight").alias("qw"))
-    scores = (doc_weights.join(q, "term")
-              .groupBy("query_id", "doc_id")
-              .agg(F.sum(F.col("qw") * F.col("weight")).alias("score")))
+    scores = sum_by_document(doc_weights, q)
     if pad_zero:
         if docs is None:
             raise ValueError("pad_zero needs the document id table")

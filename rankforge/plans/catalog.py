@@ -434,10 +434,10 @@ def q_encoded_dense_topk(spark, sf):
 def q_encoded_sparse_topk(spark, sf):
     """UDF-2: learned-sparse weights from a user encoder (mapInPandas), then JN-11."""
     from rankforge.functions.encoders import log_tf_encoder
-    from rankforge.operators.learned_sparse import encode_sparse
+    from rankforge.operators.learned_sparse import build_sparse_index, encode_sparse
     art = _art(spark, sf)
     queries = prep.gatekeep(art.queries, art.pairs, "broad")
-    docs = encode_sparse(art.products, "product_id", "product_text_dense", log_tf_encoder)
+    docs = build_sparse_index(encode_sparse(art.products, "product_id", "product_text_dense", log_tf_encoder))
     qw = (encode_sparse(queries.withColumn("query", F.coalesce("query", F.lit("None"))), "query_id", "query",
                         log_tf_encoder).withColumnRenamed("doc_id", "query_id"))
     return _ranked_out(sparse_search(qw, docs, DEFAULT.sparse_top_k))
@@ -471,12 +471,32 @@ def q_metrics_csv_roundtrip(spark, sf):
     return io.read_metrics_csv(spark, path, ",".join(f"{c} {t}" for c, t in m.dtypes))
 
 
-def q_bm25_index_roundtrip(spark, sf):
-    idx = _title_index(_art(spark, sf))
+def _reread_search(spark, sf, stem):
+    """Search results of an index that was written and read again."""
+    art = _art(spark, sf)
     path = io.scratch_path(spark, "bm25")
-    io.write_bm25_index(idx, path)
-    back = io.read_bm25_index(spark, path)
-    return back.stats().select("n_docs", r6("avgdl").alias("avgdl"), "n_terms")
+    io.write_bm25_index(_title_index(art, stem), path)
+    queries = prep.gatekeep(art.queries, art.pairs, "broad")
+    return _ranked_out(bm25_search(io.read_bm25_index(spark, path), queries, DEFAULT.sparse_top_k))
+
+
+def q_bm25_index_roundtrip(spark, sf):
+    return _reread_search(spark, sf, True)
+
+
+def q_bm25_index_roundtrip_unstemmed(spark, sf):
+    return _reread_search(spark, sf, False)
+
+
+def q_sparse_index_roundtrip(spark, sf):
+    art = _art(spark, sf)
+    retr = _retr(art, ("splade",))
+    path = io.scratch_path(spark, "sparse")
+    io.write_sparse_index(retr.splade_docs, art.products.select(F.col("product_id").alias("doc_id")), path)
+    weights, _ = io.read_sparse_index(spark, path)
+    queries = prep.gatekeep(art.queries, art.pairs, "broad")
+    qw = retr.splade_queries.join(queries.select("query_id"), "query_id", "left_semi")
+    return _ranked_out(sparse_search(qw, weights, DEFAULT.sparse_top_k))
 
 
 def q_artifacts_roundtrip(spark, sf):
@@ -567,6 +587,8 @@ def queries() -> dict[str, QueryFn]:
         "pairs_roundtrip": q_pairs_roundtrip,
         "metrics_csv_roundtrip": q_metrics_csv_roundtrip,
         "bm25_index_roundtrip": q_bm25_index_roundtrip,
+        "bm25_index_roundtrip_unstemmed": q_bm25_index_roundtrip_unstemmed,
+        "sparse_index_roundtrip": q_sparse_index_roundtrip,
         "artifacts_roundtrip": q_artifacts_roundtrip,
         "run_log": q_run_log,
     }

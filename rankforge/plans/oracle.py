@@ -513,5 +513,7 @@ sc AS (SELECT f.query_id, f.rank, p.product_title,
     q["pairs_roundtrip"] = pairs_sql("SELECT example_id, query_id, product_id, product_locale, query, esci_label, "
                                      "grade, product_title, product_text_dense, split FROM tp")
     q["metrics_csv_roundtrip"] = q["sweep_metrics"]
-    q["bm25_index_roundtrip"] = q["bm25_stats"]
+    q["bm25_index_roundtrip"] = q["bm25_topk"]
+    q["bm25_index_roundtrip_unstemmed"] = q["bm25_topk_unstemmed"]
+    q["sparse_index_roundtrip"] = q["learned_sparse_topk"]
     return q

@@ -24,7 +24,7 @@ from rankforge.operators import prep
 from rankforge.operators.bm25 import BM25Index, bm25_search, build_bm25_index
 from rankforge.operators.dense import block_counts, dense_search
 from rankforge.operators.fusion import rrf_fuse, union_ranked
-from rankforge.operators.learned_sparse import log_tf_weights, sparse_search
+from rankforge.operators.learned_sparse import build_sparse_index, log_tf_weights, sparse_search
 from rankforge.operators.ranking import top_k
 from rankforge.operators.rerank import rerank, token_overlap_scorer
 from rankforge.session import checkpoint_dir
@@ -133,11 +133,13 @@ def build_retrievers(art: SplitArtifacts, sources=("dense", "bm25", "splade"), d
         r.splade_queries = (log_tf_weights(art.queries, "query_id", "query", null_as="None")
                             .withColumnRenamed("doc_id", "query_id"))
     if persist:
-        for name in ("product_vectors", "query_vectors", "splade_docs", "splade_queries"):
+        if r.splade_docs is not None:
+            r.splade_docs = build_sparse_index(r.splade_docs)
+        for name in ("product_vectors", "query_vectors", "splade_queries"):
             df = getattr(r, name)
             if df is not None:
                 setattr(r, name, df.persist())
-        # the BM25 index is already written once (checkpointed) when built
+        # the BM25 index is already written once when built
     if r.product_vectors is not None:
         # one job sizes the dense blocks (and fills the cache when persisted)
         r.dense_blocks = block_counts(art.pairs.sparkSession, r.product_vectors.count(),

@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from rankforge.functions.names import safe_metric_name
 from rankforge.operators.bm25 import BM25Index
 from rankforge.config import BM25Params
-from rankforge.session import checkpoint_dir
+from rankforge.session import checkpoint_dir, shuffle_partitions
+from rankforge.sources.clustered import read_clustered, write_clustered
 
 EXAMPLES_SCHEMA = T.StructType([
     T.StructField("example_id", T.LongType()), T.StructField("query", T.StringType()),
@@ -69,22 +70,36 @@ def read_artifacts(spark: SparkSession, path: str, model: str, split: str):
     return pv.drop("model", "split"), qv.drop("model", "split"), pairs
 
 
-def read_bm25_index(spark: SparkSession, path: str, params: BM25Params = BM25Params()) -> BM25Index:
-    """SRC-5: postings + document frequencies + document ids, with the
-    stats-row check that the index is complete (document count)."""
+def read_bm25_index(spark: SparkSession, path: str) -> BM25Index:
+    """SRC-5: postings, document frequencies, document ids and the parameters
+    they were built with. Raises if documents or postings are missing."""
     base = path.rstrip("/")
-    postings = spark.read.parquet(f"{base}/postings")
-    docs = spark.read.parquet(f"{base}/docs")
-    doc_freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    index = BM25Index(postings=postings, doc_freq=doc_freq, docs=docs, params=params)
-    stats = spark.read.parquet(f"{base}/stats").first()
-    n = docs.count()
-    if stats is None or int(stats["n_docs"]) != n:
-        raise ValueError(f"BM25 index at {path} is incomplete: {n} documents, stats say "
-                         f"{None if stats is None else stats['n_docs']}")
+    s = spark.read.parquet(f"{base}/stats").first()
+    if s is None:
+        raise ValueError(f"BM25 index at {path} has no stats row")
+    index = BM25Index(postings=read_clustered(spark, f"{base}/postings", s["buckets"]),
+                      doc_freq=spark.read.parquet(f"{base}/doc_freq"), docs=spark.read.parquet(f"{base}/docs"),
+                      params=BM25Params(k1=s["k1"], b=s["b"], min_df=s["min_df"], stem=s["stem"]),
+                      buckets=s["buckets"]).measure()
+    for what, got, told in (("documents", int(index.n_docs_value), s["n_docs"]), ("postings", index.n_postings, s["n_postings"])):
+        if got != told:
+            raise ValueError(f"BM25 index at {path} is incomplete: {got} {what}, {told} were written")
     return index
 
 
+def read_sparse_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """SRC-5, learned-sparse: (weights, document ids). Raises if rows are missing."""
+    base = path.rstrip("/")
+    s = spark.read.parquet(f"{base}/stats").first()
+    if s is None:
+        raise ValueError(f"sparse index at {path} has no stats row")
+    weights, docs = read_clustered(spark, f"{base}/weights", s["buckets"]), spark.read.parquet(f"{base}/docs")
+    for what, got, told in (("documents", docs.count(), s["n_docs"]), ("weights", weights.count(), s["n_weights"])):
+        if got != told:
+            raise ValueError(f"sparse index at {path} is incomplete: {got} {what}, {told} were written")
+    return weights, docs
+
+
 # ------------------------------------------------------------------ sinks
 def write_pairs(pairs: DataFrame, path: str) -> None:
     """SNK-1: pair table partitioned by split."""
@@ -106,13 +121,30 @@ def write_artifacts(spark: SparkSession, path: str, model: str, split: str, prod
 
 
 def write_bm25_index(index: BM25Index, path: str) -> None:
-    """SNK-3: postings clustered by term (sorted within files, so a term
-    lookup reads few row groups), the document ids, and a one-row stats table."""
-    base = path.rstrip("/")
-    index.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(
-        f"{base}/postings")
+    """SNK-3: postings in buckets of doc_id, document frequencies, document
+    ids, and a one-row table of counts and parameters."""
+    base, spark = path.rstrip("/"), index.postings.sparkSession
+    buckets = index.buckets or shuffle_partitions(spark)
+    written = BM25Index(write_clustered(index.postings, path=f"{base}/postings", buckets=buckets), index.doc_freq, index.docs,
+                        index.params).measure()
+    index.doc_freq.write.mode("overwrite").parquet(f"{base}/doc_freq")
     index.docs.write.mode("overwrite").parquet(f"{base}/docs")
-    index.stats().write.mode("overwrite").parquet(f"{base}/stats")
+    p = index.params
+    row = (int(written.n_docs_value), written.n_postings, float(p.k1), float(p.b), int(p.min_df), bool(p.stem), buckets)
+    (spark.createDataFrame([row], "n_docs long, n_postings long, k1 double, b double, min_df int, stem boolean, buckets int")
+     .write.mode("overwrite").parquet(f"{base}/stats"))
+
+
+def write_sparse_index(weights: DataFrame, docs: DataFrame, path: str) -> None:
+    """SNK-3, learned-sparse: (doc_id, term, weight) in buckets of doc_id, the
+    ids of all documents (also those without a weight), and a one-row table of
+    counts."""
+    base, spark = path.rstrip("/"), weights.sparkSession
+    buckets = shuffle_partitions(spark)
+    table = write_clustered(weights.select("doc_id", "term", "weight"), path=f"{base}/weights", buckets=buckets)
+    docs.select("doc_id").write.mode("overwrite").parquet(f"{base}/docs")
+    (spark.createDataFrame([(docs.count(), table.count(), buckets)], "n_docs long, n_weights long, buckets int")
+     .write.mode("overwrite").parquet(f"{base}/stats"))
 
 
 def metrics_csv_path(out_dir: str, dim: int, sources, kind: str = "candidates") -> str:
