@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -40,13 +41,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; it is used as is. Only when the
-    setting is missing (local tests) is a fresh scratch folder created.
+    A cluster names a shared folder there; it is used as is. Only a local
+    session without the setting (tests) gets a fresh scratch folder: other
+    machines would not see one.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         current = tempfile.mkdtemp(prefix="rankforge-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -76,10 +81,7 @@ def ship_package(spark: SparkSession) -> None:
     import os
     import zipfile
 
-    try:
-        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
-    except Exception:  # not settable on this Spark version: nothing to undo
-        pass
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     key = id(spark.sparkContext)
     if key in _SHIPPED:
         return
