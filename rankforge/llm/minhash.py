@@ -3,7 +3,7 @@
 Words are runs without ASCII white space after lower-casing A-Z; a document's
 set holds its distinct five-word shingles (fewer words: the whole sequence as
 one shingle; no words: the empty set, linked with nothing). Documents with
-100 * |intersection| >= 85 * |union| are linked.
+100 * |intersection| >= threshold * |union| are linked.
 
 1. One pass over the texts makes, per document, a digest of its set, a
    signature of minima under many universal hashes and its band keys.
@@ -37,14 +37,24 @@ from rankforge.llm.common import Scratch, slices
 from rankforge.llm.components import block_pairs, connected_components, forest
 
 WORDS = 5
-BANDS, ROWS = 24, 6
-SIGNATURE_SLACK = 0.17  # five standard errors of 144 minima at 0.85
+MISS = 1.2e-5  # probability that a pair at the threshold shares no band
+MINIMA = 150  # at most; bands get as many rows as that allows
+SIGNATURE_SLACK = 0.17  # five standard errors or more, of 144 minima at 0.85 and of 145 at 0.8
 BLOCK = 1500  # members of a bucket or family that are compared at once
 SLICE_BYTES = 1 << 20
 
 SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>, signature binary"
 
 
+def layout(threshold: int) -> tuple[int, int, float]:
+    """(bands, rows, signature slack) for links at ``threshold`` percent:
+    24 x 6 at 85, 29 x 5 at 80."""
+    t = min(max(threshold, 1), 99) / 100
+    fitting = [(int(np.ceil(np.log(MISS) / np.log1p(-t ** rows))), rows) for rows in range(1, 13)]
+    bands, rows = [x for x in fitting if x[0] * x[1] <= MINIMA or x[1] == 1][-1]
+    return bands, rows, max(SIGNATURE_SLACK, 5 * float(np.sqrt(t * (1 - t) / (bands * rows))))
+
+
 # ------------------------------------------------------------- shingles
 def _mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of a 64-bit word."""
@@ -112,7 +122,7 @@ class Shingler:
 class MinHasher:
     """Minima under ``bands * rows`` universal hash functions a*x + b mod 2^64."""
 
-    def __init__(self, bands: int = BANDS, rows: int = ROWS, seed: int = 29):
+    def __init__(self, bands: int, rows: int, seed: int = 29):
         rng = np.random.default_rng(seed)
         self.bands, self.rows = bands, rows
         self.a = rng.integers(0, 1 << 64, bands * rows, dtype=np.uint64) | np.uint64(1)
@@ -140,7 +150,7 @@ def _texts(batch: pa.RecordBatch, column: str):
         yield lo, hi, [x or b"" for x in raw.slice(lo, hi - lo).to_pylist()]
 
 
-def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """Per document: set size, set digest, band keys and signature."""
 
     def sign(batches):
@@ -212,14 +222,14 @@ def _confirm(threshold: int):
     return link
 
 
-def link(docs: DataFrame, threshold: int = 85, bands: int = BANDS, rows: int = ROWS,
-         block: int = BLOCK) -> DataFrame:
+def link(docs: DataFrame, threshold: int = 85, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept, set_id.
 
     Documents are linked where 100 * |intersection| >= ``threshold`` * |union|.
     Runs jobs and keeps its tables in the shared folder; the result is lazy.
     """
     scratch = Scratch(docs.sparkSession)
+    bands, rows, slack = layout(threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.save(signatures(docs, bands, rows), "signed")
     usable = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
@@ -231,7 +241,7 @@ def link(docs: DataFrame, threshold: int = 85, bands: int = BANDS, rows: int = R
     members = (block_pairs(keyed, sizes, "band", "rep", block)
                .join(usable.select(F.col("doc_id").alias("rep"), "n_shingles", "signature"), "rep"))
     found = (members.groupBy("band", "lo", "hi")
-             .applyInArrow(_families(SIGNATURE_SLACK, threshold), EDGES))
+             .applyInArrow(_families(slack, threshold), EDGES))
     family = scratch.save(connected_components(found, scratch, "family"), "families")
     scratch.drop("bands")
     texts = docs.join(family, docs.doc_id == family.node).select("node", "component", "text")
@@ -259,7 +269,7 @@ def _shingle_sets(batches):
                 names=["node", "component", "shingles"])
 
 
-def dedup(docs: DataFrame, threshold: int = 85) -> DataFrame:
+def dedup(docs: DataFrame, threshold: int = 80) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row
     with the smallest doc_id stays. Rows without an id all stay. Rows that
     repeat an id are one document; the one with the smallest text stays."""

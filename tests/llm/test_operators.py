@@ -313,6 +313,26 @@ def test_minhash_equals_brute_force(spark, odd, none, block):
     assert minhash.link(none).count() == 0 and minhash.dedup(none).count() == 0
 
 
+def test_minhash_stage_drops_copies_at_80(spark):
+    import corpus_pipeline as cp
+
+    assert minhash.layout(85)[:2] == (24, 6) and minhash.layout(80)[:2] == (29, 5)
+    for t in (50, 80, 85, 95):
+        bands, rows, slack = minhash.layout(t)
+        assert (1 - (t / 100) ** rows) ** bands <= minhash.MISS and slack >= 5 * (t / 100 * (1 - t / 100) / bands / rows) ** 0.5
+    texts = []
+    for k in range(30):  # two words in the middle: 86 of 106 shingles
+        base = words(100, 900 + k).split()
+        texts += [" ".join(base), " ".join([*base[:30], "edit", *base[31:70], "edit", *base[71:]])]
+    sets = [shingle_set(t) for t in texts]
+    near = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(texts), 2)]
+    assert all(0.8 <= x < 0.85 for x in near)
+    part = closure(len(texts), lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in cp.near_duplicates(spark, docs, SF).collect()) == sorted(set(part))
+    assert len(set(minhash.link(docs, 85).toPandas().component_id)) == len(texts)
+
+
 # ------------------------------------------------------------- SQL and pipeline
 def test_decontamination_sql(spark):
     import duckdb
