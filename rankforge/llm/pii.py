@@ -10,7 +10,8 @@ Spark scores the pattern-instance graph in rounds: a pattern is as good as the
 instances it extracts, an instance as good as the patterns that extract it.
 Patterns above ``confidence`` that were seen with ``support`` different seeds
 extract further identifiers anywhere (kind ``context``), unless they overlap a
-base span. At most ``most_patterns`` patterns, the best ones, are used.
+base span. However many patterns are accepted, they stay a table: each row's
+instances, with the words before them, are joined with it.
 
 Offsets count code points. Odd input: null text counts as empty and has no
 spans; repeated rows get equal spans; an empty table gives an empty result;
@@ -33,12 +34,15 @@ EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_DOMAIN}++(?:\.{_DOMAIN}++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){15,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-# What may be an identifier after a context: six or more characters, two digits.
-# Cheap tests come first, so that the context is only looked up before such tokens.
-SEPARATOR = r"[\s=:\"'(]"
-TWO_DIGITS = r"(?=[^\s0-9]*+[0-9][^\s0-9]*+[0-9])"
-INSTANCE = r"[A-Za-z0-9+](?:[A-Za-z0-9._%+@-]*[A-Za-z0-9])"
-SPAN = "array<struct<start:int,end:int>>"
+# What may be an identifier after a context: six or more characters, two digits
+# before the next separator. An instance holds no separator, so no instance
+# hides another one. The word before it ends within the last TAIL characters.
+_SEPARATORS = r"\s=:\"'(),;\[\]{}<>"
+TWO_DIGITS = rf"(?=[A-Za-z0-9+])(?=[^{_SEPARATORS}0-9]*+[0-9][^{_SEPARATORS}0-9]*+[0-9])"
+INSTANCE = rf"(?<=[{_SEPARATORS}]){TWO_DIGITS}[A-Za-z0-9+](?:[A-Za-z0-9._%+@-]*[A-Za-z0-9])"
+CONTEXT = rf"(?:^|[^\p{{L}}\p{{N}}_])([\p{{L}}_]{{1,30}})[.,!?]?[{_SEPARATORS}]{{1,8}}$"
+TAIL = 40  # a boundary, 30 letters, a mark and 8 separators
+SPAN = "array<struct<start:int,end:int,word:string,value:string>>"
 
 
 def _luhn(digits: Column) -> Column:
@@ -61,15 +65,19 @@ def _passes(kind: str, match: Column) -> Column:
 
 def spans_of(text: Column, pattern: str, kind: str) -> Column:
     """Spans of the matches that pass: the pieces between matches and the
-    matches themselves alternate, so their lengths give the offsets."""
+    matches themselves alternate, so their lengths give the offsets. ``word`` is
+    the word before the span in lower case, '' if there is none."""
     empty = F.array().cast(SPAN)
-    first = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), empty.alias("spans"))
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["piece"])
         end = start + F.length(pair["match"])
-        own = F.when(_passes(kind, pair["match"]), F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(empty)
-        return F.struct(end.alias("at"), F.concat(acc["spans"], own).alias("spans"))
+        before = F.substring(F.concat(acc["last"], pair["piece"]), -TAIL, TAIL)
+        span = F.struct(start.alias("start"), end.alias("end"), F.lower(F.regexp_extract(before, CONTEXT, 1)).alias("word"),
+                        pair["match"].alias("value"))
+        own = F.when(_passes(kind, pair["match"]), F.array(span)).otherwise(empty)
+        return F.struct(end.alias("at"), pair["match"].alias("last"), F.concat(acc["spans"], own).alias("spans"))
 
     pieces = lambda m: F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m))
     pairs = lambda m: F.arrays_zip(pieces(m).alias("piece"), m.alias("match"))
@@ -94,9 +102,10 @@ def _written(kind: str):
 
 
 # ------------------------------------------------------------- bootstrapping
-def context_patterns(docs: DataFrame, scratch: Scratch, rounds: int = 3, support: int = 5, confidence: float = 0.8,
-                     most_patterns: int = 200) -> list[str]:
-    """Context words that extract identifiers with high confidence."""
+def context_patterns(docs: DataFrame, scratch: Scratch, rounds: int = 3, support: int = 5,
+                     confidence: float = 0.8) -> DataFrame:
+    """Context words that extract identifiers with high confidence: pattern,
+    trust, seeds."""
     plain = F.regexp_replace(F.col("text"), r"[=:\"'(),;\[\]{}<>]", " ")
     tokens = docs.where(F.col("text").rlike("[0-9]")).select(F.split(plain, r"\s+").alias("w"))
     numbered = F.transform("w", lambda t, i: F.struct(t.alias("value"), i.alias("i")))
@@ -120,45 +129,52 @@ def context_patterns(docs: DataFrame, scratch: Scratch, rounds: int = 3, support
         # an instance is wrong only if every pattern that extracts it is
         instances = (edges.where("NOT seed").join(patterns, "pattern").groupBy("value")
                      .agg((1 - F.exp(F.sum(F.log(1 - F.least("trust", F.lit(0.99)))))).alias("worth")))
-    best = patterns.where(F.col("trust") >= confidence).orderBy(F.desc("trust"), F.desc("seeds"), "pattern").limit(most_patterns)
-    return [r["pattern"] for r in best.collect()]
-
-
-def context_regex(patterns: list[str]) -> str | None:
-    """An identifier right after one of the context words."""
-    if not patterns:
-        return None
-    quoted = "|".join(rf"\Q{p}\E" for p in patterns)
-    context = rf"(?<=(?<![\p{{L}}\p{{N}}_])(?i:{quoted})[.,!?]?{SEPARATOR}{{1,4}})"
-    return rf"(?<={SEPARATOR}){TWO_DIGITS}{context}{INSTANCE}"
+    return patterns.where(F.col("trust") >= confidence)
 
 
 # ------------------------------------------------------------- operator
-def find(docs: DataFrame, patterns: list[str], columns: list[str]) -> DataFrame:
-    """``columns`` of every row plus one span array per kind."""
+def annotate(docs: DataFrame, columns: list[str], scratch: Scratch) -> DataFrame:
+    """``columns`` of every row, a row number, one span array per base kind and
+    the instances that overlap no base span, as a written table: the row number
+    stays as it is."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = base_spans(text)
-    regex = context_regex(patterns)
-    found = spans_of(text, regex, "context") if regex else F.array().cast(SPAN)
-    found = F.when(text.rlike("[0-9]"), found).otherwise(F.array().cast(SPAN))
-    out = docs.select(*columns, *[c.alias(f"_rf_{k}") for k, c in base.items()], found.alias("_rf_raw"))
+    raw = F.when(text.rlike("[0-9]"), spans_of(text, INSTANCE, "context")).otherwise(F.array().cast(SPAN))
+    out = docs.select(*columns, F.monotonically_increasing_id().alias("_rf_row"), *[c.alias(f"_rf_{k}") for k, c in base.items()], raw.alias("_rf_raw"))
     others = F.concat(*[F.col(f"_rf_{k}") for k in base])
-    free = F.filter("_rf_raw", lambda s: (s["end"] - s["start"] >= 6) & ~F.exists(
+    free = F.filter("_rf_raw", lambda s: (s["end"] - s["start"] >= 6) & (s["word"] != "") & ~F.exists(
         others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
-    return out.withColumn("_rf_context", free).drop("_rf_raw")
+    return scratch.save(out.withColumn("_rf_free", free).drop("_rf_raw"), "rows")
+
+
+def find(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of every row plus one span array per kind."""
+    scratch = Scratch(docs.sparkSession)
+    rows = annotate(docs, columns, scratch)
+    patterns = context_patterns(_texts(docs), scratch)
+    hits = (rows.select("_rf_row", F.explode("_rf_free").alias("s")).join(patterns.select("pattern"), F.col("s.word") == F.col("pattern"))
+            .groupBy("_rf_row").agg(F.sort_array(F.collect_list("s")).alias("_rf_context")))
+    return (rows.drop("_rf_free").join(hits, "_rf_row", "left").drop("_rf_row")
+            .withColumn("_rf_context", F.coalesce("_rf_context", F.array().cast(SPAN))))
 
 
 def learn(docs: DataFrame) -> list[str]:
+    """The context words, best first, for a look at them; ``find`` does not
+    collect them."""
     scratch = Scratch(docs.sparkSession)
-    patterns = context_patterns(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), scratch)
+    best = context_patterns(_texts(docs), scratch).orderBy(F.desc("trust"), F.desc("seeds"), "pattern").collect()
     scratch.drop()
-    return patterns
+    return [r["pattern"] for r in best]
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, counts of the base kinds, digest of the base spans
     and all spans as text. Runs jobs to learn the contexts; the result is lazy."""
-    found = find(docs, learn(docs), ["doc_id"])
+    found = find(docs, ["doc_id"])
     base = [(k, F.col(f"_rf_{k}")) for k in KINDS[:4]]
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.size(s).cast("long").alias(f"n_{k}") for k, s in base],
                         F.sha2(joined(base), 256).alias("base_sha256"), joined([*base, ("context", F.col("_rf_context"))]).alias("spans"))
@@ -167,7 +183,7 @@ def report(docs: DataFrame) -> DataFrame:
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; n_chars, where
     the table has it, is counted anew. Null texts stay null."""
-    found = find(docs, learn(docs), docs.columns)
+    found = find(docs, docs.columns)
     marked = [F.transform(F.col(f"_rf_{k}"), _named(k)) for k in KINDS]
     text = F.col("text")
 

@@ -260,6 +260,16 @@ def test_pii_contexts_find_unseen_identifiers(spark):
     assert spans[30] == f"context:{at}:{at + 12}" and spans[31] == ""
 
 
+def test_pii_uses_every_accepted_context(spark):
+    names = [f"{a}{b}{c}" for a in "bdfg" for b in ("ar", "el", "in", "os", "um") for c in ("ka", "lo", "mi", "nu", "pe", "ra", "si", "to", "vu", "wy", "za", "qi", "xo")]
+    texts = [f"{name} u{k}.{i:02d}@mail.com" for k, name in enumerate(names) for i in range(10)] + [f"x {name}: AB12-77{k:03d}-XY" for k, name in enumerate(names)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(names) == 260 and len(pii.learn(docs)) == 260
+    spans = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
+    for i, t in enumerate(texts[2600:], 2600):
+        assert spans[i] == f"context:{t.index('AB12')}:{len(t)}"
+
+
 # ------------------------------------------------------------- 8 and 10 classifiers
 @pytest.mark.parametrize("module, target", [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers(spark, odd, none, module, target):
