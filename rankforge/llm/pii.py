@@ -4,12 +4,12 @@ Base patterns, leftmost and non-overlapping per kind (fixed values of the
 contract): email, ip (parts at most 255), card (16 to 19 digits, Luhn), phone
 (8 to 15 digits). Matches that fail their test are dropped.
 
-Bootstrapping: tokens with at least two digits are instances, the word before
-an instance is its pattern. Seeds are the instances that are base entities.
-Spark scores the pattern-instance graph in rounds: a pattern is as good as the
-instances it extracts, an instance as good as the patterns that extract it.
-Patterns above ``confidence`` that were seen with ``support`` different seeds
-extract further identifiers anywhere (kind ``context``), unless they overlap a
+Bootstrapping: base spans of all kinds are seeds, and other tokens with at least
+two digits are instances; the word before one is its pattern. Spark scores the
+pattern-instance graph in rounds: a pattern is as good as the instances it
+extracts, an instance as good as the patterns that extract it. Patterns above
+``confidence`` that were seen with ``support`` different seeds, or instances
+that earlier rounds found worth ``confidence``, extract further identifiers anywhere (kind ``context``), unless they overlap a
 base span. However many patterns are accepted, they stay a table: each row's
 instances, with the words before them, are joined with it.
 
@@ -102,29 +102,31 @@ def _written(kind: str):
 
 
 # ------------------------------------------------------------- bootstrapping
-def context_patterns(docs: DataFrame, scratch: Scratch, rounds: int = 3, support: int = 5,
+def edges_of(rows: DataFrame) -> DataFrame:
+    """Distinct (pattern, value, seed): the base spans and the free instances
+    of annotated rows, with the word before them. Spellings of one card or
+    phone number are one value."""
+    def edge(kind: str, seed: bool):
+        value = lambda s: F.regexp_replace(s["value"], "[^0-9]", "") if kind in ("card", "phone") else s["value"]
+        return lambda s: F.struct(s["word"].alias("pattern"), value(s).alias("value"), F.lit(seed).alias("seed"))
+
+    spans = [F.transform(f"_rf_{k}", edge(k, True)) for k in KINDS[:4]] + [F.transform("_rf_free", edge("context", False))]
+    return (rows.select(F.explode(F.concat(*spans)).alias("e")).select("e.*").where("pattern <> ''")
+            .groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
+
+
+def context_patterns(rows: DataFrame, scratch: Scratch, rounds: int = 3, support: int = 5,
                      confidence: float = 0.8) -> DataFrame:
     """Context words that extract identifiers with high confidence: pattern,
-    trust, seeds."""
-    plain = F.regexp_replace(F.col("text"), r"[=:\"'(),;\[\]{}<>]", " ")
-    tokens = docs.where(F.col("text").rlike("[0-9]")).select(F.split(plain, r"\s+").alias("w"))
-    numbered = F.transform("w", lambda t, i: F.struct(t.alias("value"), i.alias("i")))
-    digits = F.filter(numbered, lambda x: (x["i"] > 0) & (F.length(x["value"]) >= 6) & x["value"].rlike("[0-9].*[0-9]"))
-    edges = (tokens.select(F.explode(F.transform(digits, lambda x: F.struct(
-                F.lower(F.element_at(F.col("w"), x["i"])).alias("pattern"), F.rtrim(x["value"], F.lit(".,!?")).alias("value")))).alias("e"))
-             .select("e.pattern", "e.value").where(F.col("pattern").rlike(r"^[\p{L}_]{1,30}[.,!?]?$"))
-             .withColumn("pattern", F.regexp_replace("pattern", r"[.,!?]$", ""))
-             .groupBy("pattern", "value").count().drop("count"))
-    seed = (F.col("value").rlike(rf"^{_LOCAL}+@{_DOMAIN}+(\.{_DOMAIN}+)+$") | F.col("value").rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
-            | F.when(F.col("value").rlike("^[0-9]{16,19}$"), _luhn(F.col("value"))).otherwise(F.lit(False)))
-    edges = scratch.save(edges.withColumn("seed", seed), "edges")
+    trust, seeds (and instances as good as seeds)."""
+    edges = scratch.save(edges_of(rows), "edges")
     worth = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("worth", F.lit(0.0)))
     instances = None
     for k in range(rounds):
         known = edges.withColumn("worth", F.lit(0.0)) if instances is None else edges.join(instances, "value", "left")
         # two virtual bad instances keep rare patterns low
         patterns = known.groupBy("pattern").agg((F.sum(worth) / (F.count("*") + 2)).alias("trust"),
-                                                F.sum(F.col("seed").cast("int")).alias("seeds")).where(F.col("seeds") >= support)
+                                                F.sum((worth >= confidence).cast("int")).alias("seeds")).where(F.col("seeds") >= support)
         patterns = scratch.save(patterns, f"patterns-{k}")
         # an instance is wrong only if every pattern that extracts it is
         instances = (edges.where("NOT seed").join(patterns, "pattern").groupBy("value")
@@ -151,7 +153,7 @@ def find(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of every row plus one span array per kind."""
     scratch = Scratch(docs.sparkSession)
     rows = annotate(docs, columns, scratch)
-    patterns = context_patterns(_texts(docs), scratch)
+    patterns = context_patterns(rows, scratch)
     hits = (rows.select("_rf_row", F.explode("_rf_free").alias("s")).join(patterns.select("pattern"), F.col("s.word") == F.col("pattern"))
             .groupBy("_rf_row").agg(F.sort_array(F.collect_list("s")).alias("_rf_context")))
     return (rows.drop("_rf_free").join(hits, "_rf_row", "left").drop("_rf_row")
@@ -162,15 +164,11 @@ def learn(docs: DataFrame) -> list[str]:
     """The context words, best first, for a look at them; ``find`` does not
     collect them."""
     scratch = Scratch(docs.sparkSession)
-    best = context_patterns(_texts(docs), scratch).orderBy(F.desc("trust"), F.desc("seeds"), "pattern").collect()
+    best = context_patterns(annotate(docs, [], scratch), scratch).orderBy(F.desc("trust"), F.desc("seeds"), "pattern").collect()
     scratch.drop()
     return [r["pattern"] for r in best]
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-
-
 def report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, counts of the base kinds, digest of the base spans
     and all spans as text. Runs jobs to learn the contexts; the result is lazy."""

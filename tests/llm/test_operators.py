@@ -270,6 +270,25 @@ def test_pii_uses_every_accepted_context(spark):
         assert spans[i] == f"context:{t.index('AB12')}:{len(t)}"
 
 
+def test_pii_bootstrap_spreads_from_all_kinds(spark):
+    ids = [f"QX-{1000 + 37 * i}-Z{i}" for i in range(40)]
+    cards = [d for d in (str(4111_0000_0000_0000 + 7 * i) for i in range(400)) if luhn(d)][:20]
+    texts = [f"dial +44 20 7946 {i:04d}" for i in range(30)] + ["paid " + " ".join(c[j:j + 4] for j in (0, 4, 8, 12)) for c in cards]
+    texts += [f"mailto {''.join(chr(97 + int(d)) for d in str(1000 + i))}@mail.com" for i in range(30)]
+    texts += ["dial AB12-3456", "paid AB12-3457"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert set(pii.learn(docs)) >= {"dial", "paid", "mailto"}
+    few = spark.createDataFrame([(k, f"member {x}") for k, x in enumerate(ids)] + [(100 + k, f"mailto {x}") for k, x in enumerate(ids)]
+                                + [(1000 + i, f"mailto {''.join(chr(97 + int(d)) for d in str(1000 + i))}@mail.com") for i in range(400)],
+                                "doc_id long, text string")
+    assert set(pii.learn(few)) == {"mailto", "member"}
+    spans = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
+    n = len(texts)
+    assert spans[n - 2] == "context:5:14" and spans[n - 1] == "context:5:14"
+    found = {r["doc_id"]: r["spans"] for r in pii.report(few).collect()}
+    assert all(found[k] == f"context:7:{7 + len(x)}" for k, x in enumerate(ids))
+
+
 # ------------------------------------------------------------- 8 and 10 classifiers
 @pytest.mark.parametrize("module, target", [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers(spark, odd, none, module, target):
