@@ -11,7 +11,9 @@
    follows the logarithm of the number of representatives, so that buckets do
    not grow with the corpus, and the number of tables follows from the width
    so that a pair at the threshold is missed in all of them with probability
-   ``miss``. Buckets hold representatives of one label.
+   ``miss``; how often its bits agree is taken from the centred norms of the
+   sample, because centring widens angles where vectors share a direction.
+   Buckets hold representatives of one label.
 4. Rerank: members of a bucket are compared by cosine in double precision, in
    blocks of bounded size. A block gives link counts and spanning-forest edges,
    never its pairs; a pair counts only in the first table that holds it.
@@ -37,6 +39,9 @@ from rankforge.llm.common import Scratch
 from rankforge.llm.components import block_pairs, connected_components
 
 SAMPLE_VALUES = 2_000_000  # numbers in the sample that the rotation is learned on
+LOW_NORM = 0.01  # quantile of the centred square norms that the tables are made for
+MANY_TABLES = 48  # 42 are needed for 30 bits at 0.98 without a common direction
+ROW_COST = 250  # comparisons that take as long as moving one vector to a bucket
 BLOCK = 2000  # members of a bucket that are compared at once
 TILE = 128
 
@@ -92,11 +97,23 @@ def learn(unit: np.ndarray, width: int, tables: int, rounds: int = 30, seed: int
     return Quantiser(mean, np.concatenate(planes, axis=1)[:, :width * tables], width, tables)
 
 
+def centred_cosine(unit: np.ndarray, mean: np.ndarray, threshold: float) -> float:
+    """Cosine that a pair at the threshold has after centring, for vectors whose
+    centred square norm is the sample's low quantile: centring keeps distances."""
+    low = np.quantile(((unit - mean) ** 2).sum(axis=1), LOW_NORM)
+    return float(np.clip(1 - (1 - threshold) / max(low, 1e-9), 0.0, min(threshold, 1.0)))
+
+
 def layout(n: int, threshold: float, miss: float) -> tuple[int, int]:
-    """(bits per table, tables) for n representatives."""
+    """(bits per table, tables) for n representatives; ``threshold`` is the
+    cosine of the vectors that give the bits. Where more than ``MANY_TABLES``
+    would be needed, fewer bits may cost less: larger buckets, fewer tables."""
     agree = 1 - np.arccos(min(threshold, 1.0)) / np.pi  # of one bit, at the threshold
     width = int(np.clip(np.ceil(np.log2(max(n, 2))) - 2, 8, 30))
-    return width, max(4, int(np.ceil(np.log(miss) / np.log1p(-agree ** width))))
+    needed = lambda w: max(4, int(np.ceil(np.log(miss) / np.log1p(-min(agree ** w, 1 - 1e-9)))))
+    if needed(width) > MANY_TABLES:
+        width = min(range(4, width + 1), key=lambda w: needed(w) * (ROW_COST + n / 2 ** w))
+    return width, needed(width)
 
 
 # ------------------------------------------------------------- rerank
@@ -151,7 +168,6 @@ def link(vectors: DataFrame, threshold: float = 0.98, miss: float = 0.002, block
     classes = scratch.save(usable.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
     stats = classes.agg(F.count("*"), F.max(F.size("vector"))).first()
     count, dim = stats[0], stats[1] or 1
-    width, tables = layout(count, threshold, miss)
     wanted = max(2, min(count, SAMPLE_VALUES // dim))
     pick = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, wanted / max(count, 1)))
     sample = classes.where(pick).select("vector").limit(2 * wanted).collect()
@@ -161,8 +177,11 @@ def link(vectors: DataFrame, threshold: float = 0.98, miss: float = 0.002, block
         return unit_rows(np.pad(x, ((0, 0), (0, dim - x.shape[1]))))
 
     if len(sample) > 1:
-        quantiser = learn(padded(pa.array([r["vector"] for r in sample], pa.list_(pa.float64()))), width, tables)
+        unit = padded(pa.array([r["vector"] for r in sample], pa.list_(pa.float64())))
+        width, tables = layout(count, centred_cosine(unit, unit.mean(axis=0), threshold), miss)
+        quantiser = learn(unit, width, tables)
     else:
+        width, tables = layout(count, threshold, miss)
         quantiser = Quantiser(np.zeros(dim), np.eye(dim, width * tables), width, tables)
 
     def encode(batches):

@@ -125,6 +125,32 @@ def test_embeddings_equal_brute_force(spark):
     assert embeddings.link(table.limit(0)).count() == 0
 
 
+def test_embeddings_with_a_common_direction(spark):
+    rng = np.random.default_rng(8)
+    common = np.zeros(32)
+    common[0] = 3.0  # square norm of the mean about 0.9
+
+    def pair():
+        """Two vectors at cosine 0.98 to 0.985."""
+        a = common + rng.normal(size=32) / np.sqrt(32)
+        step = rng.normal(size=32)
+        lo, hi = 0.0, 3.0
+        for _ in range(40):
+            mid = (lo + hi) / 2
+            x, y = embeddings.unit_rows(np.array([a, a + mid * step]))
+            lo, hi = (mid, hi) if x @ y > 0.981 else (lo, mid)
+        return a, a + lo * step
+
+    vecs = embeddings.unit_rows(np.array([v for _ in range(1500) for v in pair()]))
+    assert (vecs.mean(axis=0) ** 2).sum() > 0.8
+    near = vecs @ vecs.T >= 0.98
+    want = near.sum(axis=1) - 1
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.link(table).collect()}
+    recall = sum(got.values()) / want.sum()
+    assert 1 >= recall >= 0.99, recall
+
+
 # ------------------------------------------------------------- 3 language id
 def test_language_id(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
