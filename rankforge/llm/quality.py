@@ -9,8 +9,12 @@ both are calibrated on labelled documents kept aside and their calibrated log
 odds are combined by a small logistic model fitted there.
 
 Only documents whose crc32(doc_id as text) mod 5 is not 0 are learned from: at
-most about ``per_class`` of each label and ``pool`` unlabelled ones. All
-documents are scored on their whole texts.
+most about ``per_class`` of each label, and all unlabelled ones. Their views are
+a table that Spark scores in every round; the confident share is cut out by a
+histogram over all of it, and the classifiers are fitted from summed gradients
+and Hessians. What was handed over weighs at most as much as the labels, so that
+a large corpus does not drown them. All documents are scored on their whole
+texts.
 
 Odd input: null text counts as empty; null metadata is a value of its own;
 repeated rows get equal scores; rows with a null label are unlabelled; empty
@@ -107,32 +111,137 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.joint.log_odds(both), -30, 30)))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, more_text: np.ndarray, more_meta: np.ndarray,
-             rounds: int = 5, share: float = 0.05) -> tuple[Logistic, Logistic]:
-    """Each round, each view hands the other the ``share`` of the unlabelled
-    rows it is surest about, positives and negatives as among the labels."""
-    views, more = (text, meta), (more_text, more_meta)
-    own = [(views[v], y) for v in (0, 1)]
-    given = [np.zeros(len(more_text), bool), np.zeros(len(more_text), bool)]
-    models = [Logistic().fit(*own[v]) for v in (0, 1)]
-    for _ in range(rounds):
-        add = []
+# ------------------------------------------------------------- co-training on all unlabelled rows
+BIN, BINS = 0.01, 3000  # the histogram of log odds: width, and bins on each side of 0
+
+
+def _bins(odds: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(odds / BIN), -BINS, BINS - 1).astype(int)
+
+
+def _lists(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def taught(history: list, views: tuple[np.ndarray, np.ndarray], u: np.ndarray) -> list[np.ndarray]:
+    """Per view the labels that rows got from the other view in the rounds of
+    ``history``, -1: none. ``u`` decides in the bin where the share ends."""
+    labels = [np.full(len(u), -1.0), np.full(len(u), -1.0)]
+    for models, cuts in history:
         for v in (0, 1):
-            odds, free = models[v].log_odds(more[v]), ~given[1 - v]
-            n = int(share * len(odds))
-            top = [i for i in np.argsort(-odds) if free[i] and odds[i] > 0][:round(n * y.mean())]
-            low = [i for i in np.argsort(odds) if free[i] and odds[i] < 0][:round(n * (1 - y.mean()))]
-            add.append((np.array([*top, *low], int), np.r_[np.ones(len(top)), np.zeros(len(low))]))
-        for v in (0, 1):  # what view 1 - v is sure about teaches view v
-            rows, label = add[1 - v]
-            given[v][rows] = True
-            own[v] = (np.r_[own[v][0], more[v][rows]], np.r_[own[v][1], label])
-            models[v] = Logistic().fit(*own[v])
-    return models[0], models[1]
-
-
-def train(text, meta, y, aside, more_text, more_meta) -> Model:
-    first, second = co_train(text[~aside], meta[~aside], y[~aside], more_text, more_meta)
+            odds, free = models[v].log_odds(views[v]), labels[1 - v] < 0
+            at, (top, top_part, low, low_part) = _bins(odds), cuts[v]
+            labels[1 - v][free & (odds > 0) & ((at > top) | (at == top) & (u < top_part))] = 1.0
+            labels[1 - v][free & (odds < 0) & ((at < low) | (at == low) & (u < low_part))] = 0.0
+    return labels
+
+
+def summed(rows: DataFrame, size: int, measure) -> np.ndarray:
+    """Sum of ``measure(views, u)``, an array of ``size``, over all rows."""
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += measure((_lists(batch.column("text")), _lists(batch.column("meta"))), batch.column("u").to_numpy())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["k", "x"])
+
+    out = np.zeros(size)
+    for r in rows.select("text", "meta", "u").mapInArrow(run, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
+        out[r["k"]] = r["x"]
+    return out
+
+
+def _cut(counts: np.ndarray, wanted: int) -> tuple[int, float]:
+    """Index of the bin, best first, where ``wanted`` rows are reached, and the
+    part of that bin to take."""
+    total = np.cumsum(counts)
+    if not len(total) or wanted <= 0 or total[-1] <= wanted:
+        return (len(counts), 0.0) if wanted > 0 else (-1, 0.0)
+    k = int(np.searchsorted(total, wanted))
+    return k, float((wanted - (total[k] - counts[k])) / counts[k])
+
+
+def cutoffs(rows: DataFrame, history: list, models, n: int, positive: float) -> list[tuple]:
+    """Per view the bins that hold the ``n`` rows it is surest about among the
+    rows it has not handed over yet."""
+    def measure(views, u):
+        given, out = taught(history, views, u), []
+        for v in (0, 1):
+            odds = models[v].log_odds(views[v])
+            out.append(np.bincount(_bins(odds[(given[1 - v] < 0) & (odds != 0)]) + BINS, minlength=2 * BINS))
+        return np.concatenate(out)
+
+    out = []
+    for counts in summed(rows, 4 * BINS, measure).reshape(2, 2 * BINS):
+        top, top_part = _cut(counts[:BINS - 1:-1], round(n * positive))
+        low, low_part = _cut(counts[:BINS], round(n * (1 - positive)))
+        out.append((BINS - 1 - top, top_part, low - BINS, low_part))
+    return out
+
+
+def fit_both(views, y: np.ndarray, rows: DataFrame, history: list, start) -> list[Logistic]:
+    """Both classifiers on the labelled rows and what ``history`` hands over."""
+    wide = [x.shape[1] for x in views]
+    ends = np.cumsum([0, *[1 + 2 * d for d in wide]])
+
+    def moments(x, y, v):
+        return np.concatenate(([len(y)], x.sum(axis=0), (x * x).sum(axis=0)))
+
+    def remote(size, each):
+        def measure(views, u):
+            label = taught(history, views, u)
+            return np.concatenate([each(views[v][label[v] >= 0], label[v][label[v] >= 0], v) for v in (0, 1)])
+
+        return summed(rows, size, measure)
+
+    far, weight, models = remote(ends[-1], moments), [0.0, 0.0], [Logistic(), Logistic()]
+    for v in (0, 1):
+        part = far[ends[v]:ends[v + 1]]
+        weight[v] = min(1.0, len(y) / max(part[0], 1.0))
+        n, one, two = np.split(moments(views[v], y, v) + weight[v] * part, [1, 1 + wide[v]])
+        models[v].mean = one / n
+        models[v].scale = np.sqrt(np.maximum(two / n - models[v].mean ** 2, 0.0)) + 1e-9
+        models[v].w = start[v].w.copy()
+
+    def slope(x, y, v):
+        """Gradient and Hessian without the ridge."""
+        z = np.c_[np.clip((x - models[v].mean) / models[v].scale, -8, 8), np.ones(len(x))]
+        p = 1 / (1 + np.exp(-np.clip(z @ models[v].w, -30, 30)))
+        return np.concatenate((z.T @ (y - p), ((z.T * (p * (1 - p) + 1e-6)) @ z).ravel()))
+
+    ends = np.cumsum([0, *[(d + 1) * (d + 2) for d in wide]])
+    for _ in range(models[0].steps):
+        far, moved = remote(ends[-1], slope), 0.0
+        for v in (0, 1):
+            total = slope(views[v], y, v) + weight[v] * far[ends[v]:ends[v + 1]]
+            d = wide[v] + 1
+            penalty = np.full(d, models[v].ridge)
+            penalty[-1] = 1e-6
+            step = np.linalg.solve(total[d:].reshape(d, d) + np.diag(penalty), total[:d] - penalty * models[v].w)
+            models[v].w = models[v].w + step
+            moved = max(moved, np.abs(step).max())
+        if moved < 1e-6:
+            break
+    return models
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rows: DataFrame,
+             rounds: int = 5, share: float = 0.05) -> tuple[list[Logistic], list]:
+    """Each round, each view hands the other the ``share`` of the unlabelled
+    ``rows`` it is surest about, positives and negatives as among the labels.
+    Gives the classifiers and what was handed over in the rounds."""
+    views, history = (text, meta), []
+    models = [Logistic().fit(views[v], y) for v in (0, 1)]
+    n = int(share * rows.count())
+    for _ in range(rounds if n else 0):
+        history = [*history, (models, cutoffs(rows, history, models, n, y.mean()))]
+        models = fit_both(views, y, rows, history, models)
+    return models, history
+
+
+def train(text, meta, y, aside, rows) -> Model:
+    (first, second), _ = co_train(text[~aside], meta[~aside], y[~aside], rows)
     held = aside if len(set(y[aside])) > 1 else ~aside
     odds = (first.log_odds(text[held])[:, None], second.log_odds(meta[held])[:, None])
     calibration = tuple(Logistic(ridge=0.01).fit(o, y[held]) for o in odds)
@@ -140,37 +249,43 @@ def train(text, meta, y, aside, more_text, more_meta) -> Model:
     return Model(first, second, calibration, Logistic(ridge=0.01).fit(both, y[held]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, pool: int = 4000) -> Model | None:
-    """Co-train on bounded samples; ``labels``: doc_id, quality. Collects only
-    the feature rows of the samples."""
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, u (a hash of it from 0 to 1) and both views."""
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                text, meta = _views(part)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("u"), pa.array(list(text), pa.list_(pa.float64())),
+                     pa.array(list(meta), pa.list_(pa.float64()))], names=["doc_id", "u", "text", "meta"])
+
+    u = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 20)) / float(1 << 20)
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), *COLUMNS[1:], u.alias("u"))
+            .mapInArrow(run, "doc_id long, u double, text array<double>, meta array<double>"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Model | None:
+    """Co-train on a bounded sample of the labels and all unlabelled rows;
+    ``labels``: doc_id, quality. Collects only the feature rows of the sample."""
     docs = docs.select(*COLUMNS).where(F.col("doc_id").isNotNull() & ~held_out())
     known = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
              .groupBy("doc_id").agg((F.max("quality") > 0).cast("int").alias("label")))
-    picked = sample_by_hash(known.where(~held_out()), "label", per_class)
-    unlabelled = sample_by_hash(docs.select("doc_id").join(known, "doc_id", "left_anti").withColumn("label", F.lit(-1)),
-                                "label", pool)
-    # both samples are bounded by the parameters: small enough to broadcast
-    wanted = picked.select("doc_id", "label").unionByName(unlabelled)
+    # bounded by the parameter: small enough to broadcast
     scratch = Scratch(docs.sparkSession)
-    sample = scratch.save(docs.join(F.broadcast(wanted), "doc_id").limit(8 * (per_class + pool)), "sample")
-
-    def measure(batches):
-        for batch in batches:
-            text, meta = _views(batch)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array(list(text), pa.list_(pa.float64())),
-                 pa.array(list(meta), pa.list_(pa.float64()))], names=["doc_id", "label", "text", "meta"])
-
-    rows = sample.mapInArrow(measure, "doc_id long, label int, text array<double>, meta array<double>").collect()
-    scratch.drop()
-    known_rows, rest = [r for r in rows if r["label"] >= 0], [r for r in rows if r["label"] < 0]
-    y = np.array([r["label"] for r in known_rows], float)
+    picked = scratch.save(sample_by_hash(known.where(~held_out()), "label", per_class).select("doc_id", "label"), "picked")
+    sample = scratch.save(docs.join(F.broadcast(picked), "doc_id", "left_semi").limit(16 * per_class), "sample")
+    label = {r["doc_id"]: r["label"] for r in picked.collect()}
+    known_rows = measured(sample).collect()
+    y = np.array([label[r["doc_id"]] for r in known_rows], float)
     aside = np.array([zlib.crc32(b"aside%d" % r["doc_id"]) % 5 == 0 for r in known_rows], bool)
     if len(set(y[~aside])) < 2:
+        scratch.drop()
         return None
-    wide = len(known_rows[0]["text"]), len(known_rows[0]["meta"])
-    return train(np.array([r["text"] for r in known_rows]), np.array([r["meta"] for r in known_rows]), y, aside,
-                 np.array([r["text"] for r in rest]).reshape(-1, wide[0]), np.array([r["meta"] for r in rest]).reshape(-1, wide[1]))
+    rest = scratch.save(measured(docs).join(known, "doc_id", "left_anti"), "rest")
+    model = train(np.array([r["text"] for r in known_rows]), np.array([r["meta"] for r in known_rows]), y, aside, rest)
+    scratch.drop()
+    return model
 
 
 # ------------------------------------------------------------- operator

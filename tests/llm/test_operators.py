@@ -331,6 +331,29 @@ def test_classifiers(spark, odd, none, module, target):
     assert module.fit(docs, labels.limit(0)) is None and module.score(none, None).count() == 0
 
 
+def test_quality_co_trains_on_all_unlabelled_rows(spark):
+    rng = np.random.default_rng(2)
+    n = 9000
+
+    def rows_of(n):
+        truth = rng.random(n) < 0.4
+        return truth, rng.normal(size=(n, 3)) + truth[:, None], rng.normal(size=(n, 2)) + 1.5 * truth[:, None]
+
+    y, text, meta = rows_of(4000)
+    _, more_text, more_meta = rows_of(n)
+    u = rng.random(n)
+    rows = spark.createDataFrame([(i, float(u[i]), more_text[i].tolist(), more_meta[i].tolist()) for i in range(n)],
+                                 "doc_id long, u double, text array<double>, meta array<double>").persist()
+    models, history = quality.co_train(text, meta, y.astype(float), rows)
+    labels = quality.taught(history, (more_text, more_meta), u)
+    for v, (own, more) in enumerate(((text, more_text), (meta, more_meta))):
+        got = labels[v] >= 0
+        assert 0.95 * 5 * 450 <= got.sum() <= 1.05 * 5 * 450
+        assert abs(labels[v][got].mean() - y.mean()) < 0.03
+        want = quality.Logistic().fit(np.r_[own, more[got]], np.r_[y, labels[v][got]])
+        assert np.allclose(models[v].w, want.w, atol=1e-5) and np.allclose(models[v].scale, want.scale)
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(0)
     x = rng.normal(size=500)
