@@ -21,6 +21,7 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -45,7 +46,8 @@ class ByteBpe:
     Texts are encoded from the rank file, which holds the same vocabulary as
     the JSON file and is several times faster; texts with a very long unbroken
     run go through the JSON tokenizer, whose merge cost does not grow with the
-    square of the run. Both give the same ids (see tests).
+    square of the run, and so do texts that hold an added token's literal, which
+    only the JSON file knows. Both give the same ids otherwise (see tests).
     """
 
     def __init__(self, json_path: str, rank_path: str, pattern: str):
@@ -55,14 +57,15 @@ class ByteBpe:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._json_path, self._slow = json_path, None
+        with open(json_path, encoding="utf-8") as f:
+            self._added = [t["content"] for t in json.load(f).get("added_tokens") or []]
 
     def ids(self, text: str) -> list[int]:
-        if len(text) > LONG_RUN and self._longest_run(text) > LONG_RUN:
+        if any(t in text for t in self._added) or len(text) > LONG_RUN and self._longest_run(text) > LONG_RUN:
             if self._slow is None:
                 from tokenizers import Tokenizer
 
                 self._slow = Tokenizer.from_file(self._json_path)
-                self._slow.encode_special_tokens = True
             return self._slow.encode(text, add_special_tokens=False).ids
         return self._fast.encode_ordinary(text)
 

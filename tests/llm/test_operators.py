@@ -81,6 +81,17 @@ def test_packing_round_trip(odd, none):
     assert packing.pack(none, **files).count() == 0
 
 
+def test_packing_ids_equal_the_plain_tokenizer():
+    from tokenizers import Tokenizer
+
+    files = queries.tokenizer_files()
+    plain, bpe = Tokenizer.from_file(files["json_path"]), packing.ByteBpe(**files)
+    literal = "<|endoftext|>"
+    assert plain.token_to_id(literal) in plain.encode(literal, add_special_tokens=False).ids
+    for text in (literal, f"one{literal} two {literal}", f"{'a' * 9000} {literal}x", "<|endoftext", words(50, 7), "b" * 9000):
+        assert bpe.ids(text) == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_plan_is_tight():
     rng = np.random.default_rng(0)
     for capacity, n in ((50, 400), (2048, 5000), (7, 30)):
