@@ -16,7 +16,9 @@ whose lower-cased NFKD form holds an ASCII letter or digit); it gives the
 same tokens and serves inside higher-order functions.
 
 Terms are counted inside their row (sorted, cut where the word changes).
-Stemming sees the distinct words of a row, and a worker remembers the stems.
+Stemming sees each distinct word of a row once, after the counts left their
+array, and a worker remembers the stems. ``operators/stems.py`` is the
+dictionary job: every distinct word of the corpus stemmed once and joined back.
 """
 
 from __future__ import annotations
@@ -153,11 +155,11 @@ def normalize_sparse_text(c) -> Column:
     return F.array_join(word_tokens(c), " ")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stems_udf(words: pd.Series) -> pd.Series:
-    """UDF-3: the stems of a row's distinct words; a worker stems a word once
-    as long as it is among the last million."""
-    return words.map(lambda row: [] if row is None else [_cached_stem(w) for w in row])
+@F.pandas_udf(T.StringType())
+def stem_udf(words: pd.Series) -> pd.Series:
+    """UDF-3: the stem of every word. A worker remembers the stems of the last
+    million words, so a frequent word is stemmed once per worker."""
+    return words.map(_cached_stem, na_action="ignore")
 
 
 @lru_cache(maxsize=1 << 20)
@@ -181,18 +183,13 @@ def _summed(df: DataFrame, ids: list, pairs: str) -> DataFrame:
     return df.select(*ids, runs.alias(pairs))
 
 
-def row_term_counts(df: DataFrame, id_cols, text_col: str, stem: bool = True,
-                    null_as: str | None = "") -> DataFrame:
-    """(id_cols..., term, tf) of every row, counted inside the row: no
-    exchange. Rows that share their ids are not added up."""
+def row_term_counts(df: DataFrame, id_cols, text_col: str, null_as: str | None = "") -> DataFrame:
+    """(id_cols..., term, tf) of every row, unstemmed, counted inside the row:
+    no exchange. Rows that share their ids are not added up."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     one = F.transform("__t", lambda w: F.struct(w.alias("term"), F.lit(1).cast("long").alias("tf")))
     rows = df.select(*ids, word_tokens(text_col, null_as).alias("__t")).select(*ids, one.alias("__p"))
     rows = _summed(rows, ids, "__p")
-    if stem:
-        rows = rows.select(*ids, "__p", _stems_udf(F.col("__p.term")).alias("__w"))
-        rows = rows.select(*ids, F.zip_with("__w", "__p", lambda w, p: F.struct(w.alias("term"), p["tf"].alias("tf"))).alias("__p"))
-        rows = _summed(rows, ids, "__p")
     # inline_outer: a plain inline would infer a "not empty" filter and push all of the above below the scan's projection
     return rows.select(*ids, F.inline_outer("__p")).where(F.col("term").isNotNull())
 
@@ -201,11 +198,16 @@ def analyze(df: DataFrame, id_cols, text_col: str, stem: bool = True,
             null_as: str | None = "", partitions: int | None = None) -> DataFrame:
     """Term counts per id: (id_cols..., term, tf), clustered by the ids.
 
-    Texts are tokenised, stemmed and counted inside their row; only the counts
-    are exchanged, once, on the ids (into ``partitions`` if given). Rows that
-    share their ids are then added up on that clustering."""
+    Texts are tokenised and counted inside their row, the terms of the counts
+    are stemmed one by one, and only the counts are exchanged, once, on the
+    ids (into ``partitions`` if given). Terms with one stem, and rows that
+    share their ids, are then added up on that clustering. The stems never
+    stand inside a lambda or a sort: Catalyst merges neighbouring projections
+    and would evaluate those again for every element."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    counts = row_term_counts(df, ids, text_col, stem, null_as)
+    counts = row_term_counts(df, ids, text_col, null_as)
+    if stem:
+        counts = counts.select(*ids, stem_udf("term").alias("term"), "tf")
     counts = counts.repartition(partitions, *ids) if partitions else counts.repartition(*ids)
     return counts.groupBy(*ids, "term").agg(F.sum("tf").alias("tf"))
 

@@ -20,7 +20,6 @@ query_id. A term in a third of all documents is spread over all buckets.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -31,19 +30,12 @@ from rankforge.config import BM25Params
 from rankforge.functions.scoring import bm25_idf, bm25_tf_part
 from rankforge.functions.text import analyze
 from rankforge.operators.ranking import ranked_list
-from rankforge.session import checkpoint_dir, shuffle_partitions
-from rankforge.sources.clustered import write_clustered
+from rankforge.session import shuffle_partitions
+from rankforge.sources.clustered import write_clustered, written
 
 MAX_QUERY_TERMS = 500_000  # broadcast rows of a batch of queries
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet below the shared checkpoint folder (runs a job)."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/rankforge_{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @dataclass
 class BM25Index:
     postings: DataFrame        # doc_id, term, tf, dl

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from rankforge.config import BM25Params, RetrievalConfig
 from rankforge.functions.names import safe_metric_name
-from rankforge.functions.text import word_tokens
+from rankforge.functions.text import row_term_counts, word_tokens
 from rankforge.functions.vectors import l2_norm, prefix_normalized
 from rankforge.operators import metrics as M
 from rankforge.operators import prep
@@ -25,6 +25,7 @@ from rankforge.operators.dense import dense_search
 from rankforge.operators.fusion import rrf_fuse, union_ranked
 from rankforge.operators.learned_sparse import activations, sparse_search
 from rankforge.operators.rerank import rerank
+from rankforge.operators.stems import apply_dictionary, stem_dictionary
 from rankforge.plans import experiment as X
 from rankforge.plans import pipeline as pl
 from rankforge.session import ship_package
@@ -214,6 +215,17 @@ def q_bm25_docs_stemmed_topk(spark, sf):
     return _ranked_out(bm25_search(idx, fixture(spark, sf, "fx_doc_queries"), DOC_TOP_K))
 
 
+def q_stem_dictionary(spark, sf):
+    """UDF-3: every distinct word of the documents with its stem."""
+    return stem_dictionary(row_term_counts(table(spark, sf, "documents"), "doc_id", "text"))
+
+
+def q_stemmed_counts(spark, sf):
+    """UDF-3 joined back: stemmed term counts of every document by the dictionary."""
+    counts = row_term_counts(table(spark, sf, "documents"), "doc_id", "text")
+    return apply_dictionary(counts, stem_dictionary(counts), "doc_id")
+
+
 def q_doc_term_counts(spark, sf):
     """SCL-1/2/4 on whole documents: token counts per document."""
     docs = table(spark, sf, "documents")
@@ -554,6 +566,8 @@ def queries() -> dict[str, QueryFn]:
         "bm25_topk_unstemmed": q_bm25_topk_unstemmed,
         "bm25_docs_topk": q_bm25_docs_topk,
         "bm25_docs_stemmed_topk": q_bm25_docs_stemmed_topk,
+        "stem_dictionary": q_stem_dictionary,
+        "stemmed_counts": q_stemmed_counts,
         "doc_term_counts": q_doc_term_counts,
         "vector_prefix_norm": q_vector_prefix_norm,
         **{f"dense_topk_{d}": _dense_q(d) for d in SWEEP_DIMS},

@@ -52,6 +52,80 @@ def stem_case(col: str) -> str:
     return f"CASE WHEN {col} = 'large' THEN 'larg' ELSE {col} END"
 
 
+# ------------------------------------------------------------------ stems in SQL
+# ---- fixed values: suffix rules of the published algorithm, in its order ----
+SQL_STEP2 = ("ational ate,tional tion,enci ence,anci ance,izer ize,bli ble,alli al,entli ent,eli e,ousli ous,ization ize,"
+             "ation ate,ator ate,alism al,iveness ive,fulness ful,ousness ous,aliti al,iviti ive,biliti ble,fulli ful")
+SQL_STEP3 = "icate ic,ative ,alize al,iciti ic,ical ic,ful ,ness "
+SQL_STEP4 = "al,ance,ence,er,ic,able,ible,ant,ement,ment,ent,ion,ou,ism,ate,iti,ous,ive,ize"
+SQL_IRREGULAR = ("sky sky,skies sky,dying die,lying lie,tying tie,news news,innings inning,inning inning,outings outing,"
+                 "outing outing,cannings canning,canning canning,howe howe,proceed proceed,exceed exceed,succeed succeed")
+# ---- end of fixed values ----
+
+
+def sql_form(w: str) -> str:
+    """The word with every vowel as 'v' and every consonant as '#': a y counts
+    as a consonant at the start and behind a vowel."""
+    y = f"regexp_replace(regexp_replace(regexp_replace({w}, '^y', 'Y'), '([aeiou])y', '\\1Y', 'g'), 'yy', 'yY', 'g')"
+    return f"regexp_replace(regexp_replace({y}, '[^aeiouy]', '#', 'g'), '[aeiouy]', 'v', 'g')"
+
+
+def stem_ctes(prefix: str, words: str) -> str:
+    """CTEs ending in {prefix}_stem(t, w): the stem w of every word t of the
+    table ``words``. One CTE per step; f is the form of w, so the form of a
+    stem of w is a prefix of f and its measure counts 'v#' in it."""
+    def left(cut: int) -> str:
+        return f"left(f, length(w) - {cut})"
+
+    def m(cut: int) -> str:
+        return f"((length({left(cut)}) - length(replace({left(cut)}, 'v#', ''))) / 2)"
+
+    def cvc(cut: int) -> str:
+        return (f"(({left(cut)} LIKE '%#v#' AND left(w, length(w) - {cut}) NOT SIMILAR TO '.*[wxy]') OR {left(cut)} = 'v#')")
+
+    def rules(text: str, least: int) -> str:
+        out = []
+        for rule in text.split(","):
+            suffix, _, repl = rule.partition(" ")
+            ok = f"{m(len(suffix))} > {least}"
+            if rule == "ion":
+                ok += " AND left(w, length(w) - 3) SIMILAR TO '.*[st]'"
+            out.append(f"WHEN w LIKE '%{suffix}' THEN CASE WHEN {ok} THEN left(w, length(w) - {len(suffix)}) || '{repl}' ELSE w END")
+        return " ".join(out)
+
+    def base(name: str, cut: int) -> str:
+        return f"w LIKE '%{name}' AND contains({left(cut)}, 'v')"
+
+    step2 = rules(SQL_STEP2, 0)
+    steps = [
+        "CASE WHEN w LIKE '%ies' AND length(w) = 4 THEN left(w, 1) || 'ie' WHEN w LIKE '%sses' OR w LIKE '%ies' THEN left(w, length(w) - 2) "
+        "WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END",
+        # what is left of -ed and -ing goes on in the next step, marked by a blank
+        f"CASE WHEN w LIKE '%ied' THEN left(w, length(w) - 3) || CASE WHEN length(w) = 4 THEN 'ie' ELSE 'i' END "
+        f"WHEN w LIKE '%eed' THEN CASE WHEN {m(3)} > 0 THEN left(w, length(w) - 1) ELSE w END "
+        f"WHEN {base('ed', 2)} THEN left(w, length(w) - 2) || ' ' WHEN {base('ing', 3)} THEN left(w, length(w) - 3) || ' ' ELSE w END",
+        f"CASE WHEN w NOT LIKE '% ' THEN w WHEN w SIMILAR TO '.*(at|bl|iz) ' THEN left(w, length(w) - 1) || 'e' "
+        f"WHEN right({left(1)}, 2) = '##' AND substr(w, length(w) - 1, 1) = substr(w, length(w) - 2, 1) "
+        f"THEN left(w, length(w) - CASE WHEN substr(w, length(w) - 1, 1) IN ('l', 's', 'z') THEN 1 ELSE 2 END) "
+        f"WHEN {m(1)} = 1 AND {cvc(1)} THEN left(w, length(w) - 1) || 'e' ELSE left(w, length(w) - 1) END",
+        f"CASE WHEN w LIKE '%y' AND length(w) > 2 AND {left(1)} LIKE '%#' THEN left(w, length(w) - 1) || 'i' ELSE w END",
+        # -alli becomes -al first and step 2 begins again
+        f"CASE WHEN w LIKE '%alli' AND {m(4)} > 0 THEN left(w, length(w) - 2) ELSE w END",
+        f"CASE {step2} WHEN w LIKE '%logi' THEN CASE WHEN {m(3)} > 0 THEN left(w, length(w) - 1) ELSE w END ELSE w END",
+        f"CASE {rules(SQL_STEP3, 0)} ELSE w END",
+        f"CASE {rules(SQL_STEP4, 1)} ELSE w END",
+        f"CASE WHEN w LIKE '%e' AND ({m(1)} > 1 OR ({m(1)} = 1 AND NOT {cvc(1)})) THEN left(w, length(w) - 1) ELSE w END",
+        f"CASE WHEN w LIKE '%ll' AND {m(1)} > 1 THEN left(w, length(w) - 1) ELSE w END",
+    ]
+    irregular = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in (x.split(" ") for x in SQL_IRREGULAR.split(",")))
+    parts = [f"{prefix}_s0 AS (SELECT DISTINCT w AS t, w FROM {words})"]
+    for i, step in enumerate(steps):
+        parts.append(f"{prefix}_s{i + 1} AS (SELECT t, {step} AS w FROM (SELECT t, w, {sql_form('w')} AS f FROM {prefix}_s{i}) x)")
+    parts.append(f"{prefix}_stem AS (SELECT t, CASE t {irregular} ELSE CASE WHEN length(t) <= 2 THEN t ELSE w END END AS w "
+                 f"FROM {prefix}_s{len(steps)})")
+    return ",\n".join(parts)
+
+
 # ------------------------------------------------------------------ pair table chain
 def _clean(c: str) -> str:
     t = f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
@@ -101,20 +175,28 @@ def pairs_sql(body: str, extra_ctes: str = "") -> str:
 
 
 # ------------------------------------------------------------------ retrieval pieces (test split)
-def bm25_ctes(prefix: str, docs_sql: str, queries_sql: str, tokens, stem: bool, k: int) -> str:
+def bm25_ctes(prefix: str, docs_sql: str, queries_sql: str, tokens, stem, k: int) -> str:
     """CTEs {prefix}_list(query_id, product_id, score, rank) of a BM25 search."""
-    st = stem_case("w") if stem else "w"
+    st, stems = "w", ""
+    if stem == "closed":  # closed vocabulary of the part names
+        st = stem_case("w")
+    elif stem:
+        stems = f"""
+{prefix}_words AS (SELECT w FROM {prefix}_dt UNION SELECT w FROM {prefix}_qt),
+{stem_ctes(prefix, prefix + '_words')},"""
+    dt = f"(SELECT d.doc_id, s.w FROM {prefix}_dt d JOIN {prefix}_stem s ON s.t = d.w)" if stems else f"{prefix}_dt"
+    qt = f"(SELECT d.query_id, s.w FROM {prefix}_qt d JOIN {prefix}_stem s ON s.t = d.w)" if stems else f"{prefix}_qt"
     return f"""
 {prefix}_docs AS ({docs_sql}),
 {prefix}_dt AS (SELECT doc_id, unnest({tokens('text')}) AS w FROM {prefix}_docs),
-{prefix}_tf AS (SELECT doc_id, {st} AS term, count(*) AS tf FROM {prefix}_dt GROUP BY ALL),
+{prefix}_qs AS ({queries_sql}),
+{prefix}_qt AS (SELECT query_id, unnest({tokens("coalesce(query, 'None')")}) AS w FROM {prefix}_qs),{stems}
+{prefix}_tf AS (SELECT doc_id, {st} AS term, count(*) AS tf FROM {dt} x GROUP BY ALL),
 {prefix}_dl AS (SELECT doc_id, sum(tf) AS dl FROM {prefix}_tf GROUP BY doc_id),
 {prefix}_df AS (SELECT term, count(*) AS df FROM {prefix}_tf GROUP BY term),
 {prefix}_st AS (SELECT count(*){D} AS n,
                   coalesce((SELECT sum(tf) FROM {prefix}_tf), 0){D} / count(*){D} AS avgdl FROM {prefix}_docs),
-{prefix}_qs AS ({queries_sql}),
-{prefix}_qt AS (SELECT query_id, unnest({tokens("coalesce(query, 'None')")}) AS w FROM {prefix}_qs),
-{prefix}_qtf AS (SELECT query_id, {st} AS term, count(*) AS qtf FROM {prefix}_qt GROUP BY ALL),
+{prefix}_qtf AS (SELECT query_id, {st} AS term, count(*) AS qtf FROM {qt} x GROUP BY ALL),
 {prefix}_sc AS (
   SELECT q.query_id, t.doc_id AS product_id,
          round(sum(q.qtf{D} * ((t.tf{D} * 2.5{D}) / (t.tf{D} + 1.5{D} * (0.25{D} + 0.75{D} * l.dl{D} / greatest(s.avgdl, 1e-9{D})))
@@ -193,7 +275,7 @@ TITLE_DOCS = "SELECT product_id AS doc_id, coalesce(product_title, '') AS text F
 def candidate_ctes() -> str:
     return ",".join([
         dense_ctes("dn", (64,)),
-        bm25_ctes("bm", TITLE_DOCS, "SELECT query_id, query FROM gq", ascii_tokens, True, 500),
+        bm25_ctes("bm", TITLE_DOCS, "SELECT query_id, query FROM gq", ascii_tokens, "closed", 500),
         splade_ctes(500),
         f"""
 fused AS ({fuse_sql({'dense': 'dn_64_list', 'bm25': 'bm_list', 'splade': 'sp_list'})}),
@@ -252,7 +334,7 @@ def sweep_ctes(prefix: str, model: str, runs=None) -> str:
     runs = runs if runs is not None else default_runs()
     dims = sorted({r[1] for r in runs}, reverse=True)
     lists = [dense_ctes(f"{prefix}dn", dims, 500, model),
-             bm25_ctes(f"{prefix}bm", TITLE_DOCS, "SELECT query_id, query FROM gq", ascii_tokens, True, 500)]
+             bm25_ctes(f"{prefix}bm", TITLE_DOCS, "SELECT query_id, query FROM gq", ascii_tokens, "closed", 500)]
     parts = []
     for name, d, srcs, weights, k in runs:
         src_map = {"dense": f"{prefix}dn_{d}_list"}
@@ -355,7 +437,7 @@ UNION ALL SELECT 'split', split, count(DISTINCT query_id) FROM pairs GROUP BY sp
     q["gatekeeper"] = pairs_sql("SELECT query_id FROM gq")
     q["grade_lookup"] = pairs_sql("SELECT * FROM glk")
 
-    bm = bm25_ctes("bm", TITLE_DOCS, "SELECT query_id, query FROM gq", ascii_tokens, True, 500)
+    bm = bm25_ctes("bm", TITLE_DOCS, "SELECT query_id, query FROM gq", ascii_tokens, "closed", 500)
     q["bm25_doc_freq"] = pairs_sql("SELECT term, df FROM bm_df", bm)
     q["bm25_stats"] = pairs_sql(
         "SELECT CAST(n AS BIGINT) AS n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM bm_df) AS n_terms FROM bm_st", bm)
@@ -370,7 +452,14 @@ UNION ALL SELECT 'split', split, count(DISTINCT query_id) FROM pairs GROUP BY sp
     bd = bm25_ctes("bd", "SELECT doc_id, coalesce(text, '') AS text FROM documents",
                    "SELECT item_id AS query_id, text AS query FROM benchmark", any_tokens, False, 100)
     q["bm25_docs_topk"] = f"WITH {bd}\n" + ranked_sel.format(src="bm25", lst="bd_list")
+    bs = bm25_ctes("bd", "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+                   "SELECT item_id AS query_id, text AS query FROM benchmark", any_tokens, True, 100)
+    q["bm25_docs_stemmed_topk"] = f"WITH {bs}\n" + ranked_sel.format(src="bm25", lst="bd_list")
     doc_toks = any_tokens("coalesce(text, '')")
+    q["stem_dictionary"] = (f"WITH dw AS (SELECT doc_id, unnest({doc_toks}) AS w FROM documents),\n{stem_ctes('dw', 'dw')}\n"
+                            "SELECT t AS term, s.w AS stem, count(DISTINCT doc_id) AS n_rows FROM dw JOIN dw_stem s ON s.t = dw.w GROUP BY ALL")
+    q["stemmed_counts"] = (f"WITH dw AS (SELECT doc_id, unnest({doc_toks}) AS w FROM documents),\n{stem_ctes('dw', 'dw')}\n"
+                           "SELECT doc_id, s.w AS term, count(*) AS tf FROM dw JOIN dw_stem s ON s.t = dw.w GROUP BY ALL")
     q["doc_term_counts"] = (f"SELECT doc_id, CAST(len(tk) AS INTEGER) AS n_tokens, CAST(len(list_distinct(tk)) AS INTEGER) AS n_distinct "
                             f"FROM (SELECT doc_id, {doc_toks} AS tk FROM documents) t")
 
@@ -416,7 +505,7 @@ FROM lg GROUP BY doc_id, term HAVING max(ln(1.0{D} + greatest(logit, 0.0{D}))) >
     q["learned_sparse_topk"] = pairs_sql(ranked_sel.format(src="splade", lst="sp_list"), splade_ctes(500))
 
     two = ",".join([dense_ctes("dn", (64,)),
-                    bm25_ctes("bm", TITLE_DOCS, "SELECT query_id, query FROM gq", ascii_tokens, True, 500)])
+                    bm25_ctes("bm", TITLE_DOCS, "SELECT query_id, query FROM gq", ascii_tokens, "closed", 500)])
     q["rrf_two"] = pairs_sql(
         f"SELECT query_id, product_id, round(rrf_score, 9) AS rrf_score, rank FROM ({fuse_sql({'dense': 'dn_64_list', 'bm25': 'bm_list'})}) f", two)
     three = two + "," + splade_ctes(500)
@@ -457,7 +546,7 @@ SELECT '2. Reranking', {", ".join(f"round(coalesce(avg(ndcg_{k}), 0.0{D}), 6)" f
     # API-5: all fixture queries as ad-hoc strings against the test products
     sq = ",".join([
         dense_ctes("dn", (64,), 200).replace("FROM gq)", "FROM aq)"),
-        bm25_ctes("bm", TITLE_DOCS, "SELECT query_id, query FROM aq", ascii_tokens, True, 200),
+        bm25_ctes("bm", TITLE_DOCS, "SELECT query_id, query FROM aq", ascii_tokens, "closed", 200),
         splade_ctes(200).replace("FROM gq)", "FROM aq)"),
         f"""
 fused AS ({fuse_sql({'dense': 'dn_64_list', 'bm25': 'bm_list', 'splade': 'sp_list'}, top=50,

@@ -20,6 +20,14 @@ def _name() -> str:
     return f"rankforge_{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet below the shared checkpoint folder (runs a job): cuts
+    lineage, prunes columns when read, survives lost executors."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{_name()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_clustered(df: DataFrame, key: str = "doc_id", path: str | None = None,
                     buckets: int | None = None, clustered: bool = False) -> DataFrame:
     """Write ``df`` in buckets of ``key`` (default: below the shared checkpoint
