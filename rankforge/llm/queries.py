@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm import decontam, embeddings, langid, minhash, packing, pii, quality, sharding, suffix, toxicity
+from rankforge.llm import decontam, embeddings, langid, linededup, minhash, packing, pii, quality, sharding, suffix, toxicity
 from rankforge.llm.common import held_out
 from rankforge.session import ship_package
 
@@ -72,8 +72,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"), at_least=3, least_length=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_language_id, op4_suffix_dedup, op5_decontamination, op6_sharding, op7_pii, op8_quality, op9_minhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_language_id, op4_suffix_dedup, op5_decontamination, op6_sharding, op7_pii, op8_quality, op9_minhash, op10_toxicity, op13_line_dedup)}
 
 
 # Every window of every document that starts up to an item's length before one
@@ -98,5 +102,18 @@ SELECT doc_id, item_id, similarity, CAST(start AS INTEGER) AS start_word, CAST(k
 """
 
 
+# Lines as a list per document, so that their order can be kept.
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT rid, doc_id, unnest(range(len(lines))) AS i, unnest(lines) AS line FROM d),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS keep FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.rid, k.doc_id, k.i, k.line, c.keep IS NOT NULL AND k.doc_id < c.keep AS gone FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY rid, doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL}
+    return {"op5_decontamination": OP5_SQL, "op13_line_dedup": OP13_SQL}
