@@ -3,12 +3,13 @@ whole table with production parameters, and DuckDB SQL where SQL can say it."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm import decontam, embeddings, langid, linededup, minhash, packing, pii, quality, sharding, suffix, toxicity
+from rankforge.llm import decontam, embeddings, langid, linededup, minhash, packing, periodic, pii, quality, sharding, suffix, toxicity
 from rankforge.llm.common import held_out
 from rankforge.session import ship_package
 
@@ -72,12 +73,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def repeated_from(doc_id: int | None, words: list) -> list:
+    """The words of every tenth document repeat from a word on: a = g % n,
+    period 1 + (n - a) // (3 + g % 8), with g from the crc32 of the id."""
+    h, n = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    period = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + period] * ((n - a) // period + 1))[:n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"), least=12, prepare=repeated_from)
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"), at_least=3, least_length=20)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_language_id, op4_suffix_dedup, op5_decontamination, op6_sharding, op7_pii, op8_quality, op9_minhash, op10_toxicity, op13_line_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_language_id, op4_suffix_dedup, op5_decontamination, op6_sharding, op7_pii, op8_quality, op9_minhash, op10_toxicity, op11_periodic_runs, op13_line_dedup)}
 
 
 # Every window of every document that starts up to an item's length before one
