@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm import decontam, embeddings, langid, linededup, minhash, packing, periodic, pii, quality, sharding, suffix, toxicity
+from rankforge.llm import alignment, decontam, embeddings, langid, linededup, minhash, packing, periodic, pii, quality, sharding, suffix, toxicity
 from rankforge.llm.common import held_out
 from rankforge.session import ship_package
 
@@ -89,12 +89,18 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(table(spark, sf_dir, "documents"), least=12, prepare=repeated_from)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    return alignment.Alignment(table(spark, sf_dir, "documents"), **tokenizer_files(), piece_path=P.path("piece_bpe_32k.model")).documents()
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"), at_least=3, least_length=20)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_language_id, op4_suffix_dedup, op5_decontamination, op6_sharding, op7_pii, op8_quality, op9_minhash, op10_toxicity, op11_periodic_runs, op13_line_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_embedding_dedup, op3_language_id, op4_suffix_dedup, op5_decontamination, op6_sharding, op7_pii, op8_quality, op9_minhash, op10_toxicity, op11_periodic_runs, op12_alignment, op13_line_dedup)}
 
 
 # Every window of every document that starts up to an item's length before one
