@@ -1,7 +1,7 @@
 """Model-free text encoders written as column expressions.
 
 They stand in for a trained dense encoder in tests and fixtures (a real model
-plugs in through ``plans.pipeline.encode_dense`` with a user callable). The
+plugs in through ``functions.models.DenseEncoder``). The
 hashed bag-of-words vector puts each word token in one of ``dim`` buckets by
 a simple character rule, counts, and is then sliced and normalised like any
 embedding. Everything stays in the JVM (higher-order array functions).
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rankforge.functions.text import word_tokens_jvm
+from rankforge.functions.text import word_tokens
 
 # ---- fixed values: bucket rule multipliers of the two stand-in models ----
 HASH_MODELS = {"a": (31, 7), "b": (17, 13)}
@@ -24,21 +24,6 @@ def token_bucket(t: Column, dim: int, model: str = "a") -> Column:
     return (F.ascii(t) * m1 + F.length(t) * m2 + F.ascii(F.reverse(t))) % F.lit(int(dim))
 
 
-def hashed_bow_vector(text, dim: int = 64, model: str = "a", null_as: str = "") -> Column:
-    """array<double>[dim]: count of the text's word tokens per bucket.
-
-    Self-contained column form (tokens re-derived per bucket); for tables use
-    :func:`hashed_bow_table`, which tokenises once."""
-    return hashed_bow_from_tokens(word_tokens_jvm(text, null_as=null_as), dim, model)
-
-
-def hashed_bow_from_tokens(tokens, dim: int = 64, model: str = "a") -> Column:
-    """array<double>[dim] from an array<string> column of tokens: bucket
-    each token once, then count per bucket."""
-    toks = F.col(tokens) if isinstance(tokens, str) else tokens
-    return _bucket_counts(F.transform(toks, lambda t: token_bucket(t, dim, model)), dim)
-
-
 def _bucket_counts(buckets: Column, dim: int) -> Column:
     # count per bucket with the native array_remove (higher-order lambdas are
     # interpreted, so one lambda call per bucket instead of per token x bucket)
@@ -49,7 +34,6 @@ def _bucket_counts(buckets: Column, dim: int) -> Column:
 def hashed_bow_table(df, id_col: str, text, dim: int = 64, model: str = "a", null_as: str = ""):
     """(id, embedding) for a table: tokenise once into a column (Arrow-batched
     NFKD helper + JVM regexp), bucket once per token, count per bucket."""
-    from rankforge.functions.text import word_tokens
     toks = df.select(id_col, word_tokens(text, null_as=null_as).alias("__toks"))
     buckets = toks.select(id_col, F.transform("__toks", lambda t: token_bucket(t, dim, model)).alias("__b"))
     return buckets.select(id_col, _bucket_counts(F.col("__b"), dim).alias("embedding"))
@@ -57,8 +41,8 @@ def hashed_bow_table(df, id_col: str, text, dim: int = 64, model: str = "a", nul
 
 # ---------------------------------------------------------------- Python forms
 # The same stand-in models as plain Python callables, for the batch-inference
-# surfaces (UDF-1/2/4) that take a user model: they run inside
-# predict_batch_udf / mapInPandas exactly where a real model would.
+# surfaces (UDF-1/2/4) that take a user model: they run in the worker
+# exactly where a real model would.
 def make_hashed_bow_encoder(dim: int = 64, model: str = "a", prefix: str = ""):
     """Factory for ``encode(texts) -> (n, dim)`` counts of hashed tokens."""
     import numpy as np

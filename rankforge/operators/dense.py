@@ -1,133 +1,188 @@
 """JN-9 / SRT-1: exact dense retrieval (inner product on normalised prefixes,
-top-k per query).
+top-k per query) as one streaming scan of the products.
 
 Exact search must score every query against every product, but it need not
-*emit* every pair. Products are hashed into ``product_blocks`` blocks and
-queries into ``query_blocks`` blocks; each query row is replicated once per
-product block and each product row once per query block (explode of a small
-sequence, no join), and ``cogroup(...).applyInPandas`` receives one
-(query block, product block) cell: numpy matrix products over query chunks
-(bounded memory) followed by a local top-k per query. Only k rows per query
-per cell leave the task; the final top-k is a window with a partial
-WindowGroupLimit before its shuffle. Products are split only as memory
-requires, queries supply the remaining parallelism (fewer emitted rows).
-
-Nothing passes through the driver and no group holds more than one block of
-each side, so memory per task is bounded by the block sizes, whatever the
-catalogue size. Block counts grow with the inputs (``rows_per_block``).
+emit, replicate or even exchange the products. A batch of queries, bounded by
+``QUERY_BATCH_BYTES``, is broadcast; ``mapInArrow`` streams the products past
+it where they lie, one numpy matrix product per Arrow batch, and each task
+keeps one running top-k per query. Exactly k rows per query and *task* leave
+the scan; the final top-k is a window with a partial WindowGroupLimit.
+
+More queries than a batch holds are dealt into batches by a hash of their id;
+each batch is one more scan, and its list is written before the next begins, so
+neither the driver nor a task ever holds more than one batch.
+
+Vectors that are null or hold null or non-finite components are not ranked and
+do not rank; vectors narrower than the prefix, or of another width than the
+queries', raise. A zero vector scores 0.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from rankforge.functions.vectors import prefix_normalized
+from rankforge.functions.vectors import NORM_FLOOR, prefix
 from rankforge.operators.ranking import top_k
-
-_CELL_SCHEMA = "query_id {qt}, product_id {pt}, score double"
-
-
-# score-matrix entries scored at once inside a cell (bounds task memory)
-CHUNK_ENTRIES = 1 << 23
-
-
-def _chunk_topk(S: np.ndarray, kk: int) -> np.ndarray:
-    """Column indices of the kk best entries per row, ordered by score desc
-    and, among equal scores, by column (columns are in ascending id order)."""
-    n = S.shape[1]
-    if n <= 4096 or kk >= n:
-        return np.argsort(-S, axis=1, kind="stable")[:, :kk]
-    # large rows: keep everything >= the kk-th value (ties at the boundary
-    # included), then a stable sort of that candidate set per row
-    thresh = -np.partition(-S, kk - 1, axis=1)[:, kk - 1:kk]
-    out = np.empty((S.shape[0], kk), dtype=np.int64)
-    for i in range(S.shape[0]):
-        cols = np.nonzero(S[i] >= thresh[i, 0])[0]
-        out[i] = cols[np.argsort(-S[i, cols], kind="stable")[:kk]]
-    return out
-
-
-def _cell_topk(k: int, digits: int | None):
-    def run(products: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if products.empty or queries.empty:
-            return pd.DataFrame({"query_id": queries["query_id"].iloc[:0],
-                                 "product_id": products["product_id"].iloc[:0],
-                                 "score": np.empty(0, dtype=np.float64)})
-        pids = products["product_id"].to_numpy()
-        id_order = np.argsort(pids, kind="stable")
-        P = np.vstack(products["vec"].to_numpy()).astype(np.float64, copy=False)[id_order]
-        pids = pids[id_order]
-        Q = np.vstack(queries["vec"].to_numpy()).astype(np.float64, copy=False)
-        qids = queries["query_id"].to_numpy()
-        kk = min(k, P.shape[0])
-        step = max(1, CHUNK_ENTRIES // P.shape[0])
-        q_out, p_out, s_out = [], [], []
-        for start in range(0, Q.shape[0], step):
-            S = Q[start:start + step] @ P.T                       # (chunk, n_products)
-            if digits is not None:
-                S = np.round(S, digits)
-            top = _chunk_topk(S, kk)
-            q_out.append(np.repeat(qids[start:start + step], kk))
-            p_out.append(pids[top].ravel())
-            s_out.append(np.take_along_axis(S, top, axis=1).ravel())
-        return pd.DataFrame({"query_id": np.concatenate(q_out),
-                             "product_id": np.concatenate(p_out),
-                             "score": np.concatenate(s_out)})
-    return run
-
-
-def _blocks(n_rows: int, rows_per_block: int, minimum: int) -> int:
-    return max(int(minimum), int(math.ceil(n_rows / float(rows_per_block))), 1)
-
-
-def block_counts(spark, n_products: int, n_queries: int, rows_per_block: int = 50_000) -> tuple[int, int]:
-    """(product_blocks, query_blocks) for the given input sizes.
-
-    Each cell emits k rows per query per *product* block, so products are
-    split only as far as memory needs (``rows_per_block``); the remaining
-    parallelism comes from splitting the queries, which replicates the
-    product block instead of multiplying the emitted rows."""
-    pb = _blocks(n_products, rows_per_block, 1)
-    qb = _blocks(n_queries, rows_per_block, 1)
-    cores = spark.sparkContext.defaultParallelism
-    if pb * qb < cores:
-        qb = max(qb, min(int(math.ceil(cores / pb)), max(int(n_queries), 1)))
-    return pb, qb
+from rankforge.sources.clustered import written
+
+QUERY_BATCH_BYTES = 64 << 20  # vectors and running lists of the queries of one scan
+SCORES_AT_ONCE = 1 << 22      # entries of a score matrix (bounds task memory)
+WIDEST = 4096                 # width assumed for sizing a batch before a vector was seen
+
+
+# ------------------------------------------------------------- Arrow to numpy
+def vector_rows(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix of unit rows, row numbers) of the usable vectors of an Arrow
+    list column. Rows of another width than ``width`` raise."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = np.diff(column.offsets.to_numpy())
+    usable = np.array(column.is_valid()) if column.null_count else np.ones(len(column), bool)
+    if len(sizes) and width is None and usable.any():
+        width = int(sizes[usable][0])
+    if (sizes[usable] != width).any():
+        raise ValueError(f"vector of {int(sizes[usable][sizes[usable] != width][0])} components, {width} expected")
+    rows = np.flatnonzero(usable)
+    if not len(rows):
+        return np.zeros((0, width or 0)), rows
+    flat = column.take(pa.array(rows)).flatten() if column.null_count else column.flatten()
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(rows), width)
+    finite = np.isfinite(values).all(axis=1)  # a null component arrives as NaN
+    if not finite.all():
+        values, rows = values[finite], rows[finite]
+    norms = np.sqrt(np.einsum("ij,ij->i", values, values))
+    return values / np.maximum(norms, NORM_FLOOR)[:, None], rows
+
+
+def id_array(column) -> np.ndarray:
+    """Ids as an array that numpy can sort."""
+    values = column.to_numpy(zero_copy_only=False)
+    return values.astype(str) if values.dtype == object else values
+
+
+class RunningTopK:
+    """The k best (score desc, id asc) of every query over blocks of products."""
+
+    def __init__(self, n_queries: int, k: int, digits: int | None):
+        self.k, self.digits = k, digits
+        self.floor = np.full(n_queries, -np.inf)  # the k-th best score so far
+        self._parts, self._n = [], 0
+        self._most = max(1 << 18, 2 * n_queries * k)
+
+    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of the queries ``rows`` (matrix rows) for products ``ids``."""
+        if self.digits is not None:
+            scores = np.round(scores, self.digits)
+        floor, n = self.floor[rows], scores.shape[1]
+        if n > self.k:
+            floor = np.maximum(floor, np.partition(scores, n - self.k, axis=1)[:, n - self.k])
+        # a score that equals the k-th best stays: its id may be the lower one
+        q, p = np.nonzero(scores >= floor[:, None])
+        self._parts.append((rows[q], scores[q, p], ids[p]))
+        self._n += len(q)
+        if self._n > self._most:
+            self._cut()
+
+    def _cut(self) -> None:
+        rows, scores, ids = (np.concatenate(x) for x in zip(*self._parts))
+        order = np.lexsort((ids, -scores, rows))
+        rows, scores, ids = rows[order], scores[order], ids[order]
+        first = np.searchsorted(rows, rows)
+        keep = np.arange(len(rows)) - first < self.k
+        last = np.arange(len(rows)) - first == self.k - 1
+        self.floor[rows[last]] = scores[last]
+        self._parts, self._n = [(rows[keep], scores[keep], ids[keep])], int(keep.sum())
+
+    def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, score, id) of the best."""
+        if not self._parts:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self._cut()
+        return self._parts[0]
+
+
+# ------------------------------------------------------------- query batches
+def query_batches(queries: DataFrame, k: int, width: int | None, batch_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, unit vectors) of all queries (query_id, vec), at most about
+    ``batch_bytes`` at once. The first batch is only taken whole if nothing is
+    left behind it; otherwise the queries are counted and dealt out."""
+    most = max(1, batch_bytes // (8 * (width or WIDEST) + 24 * k))
+    got = queries.limit(most + 1).toArrow()
+    if got.num_rows <= most:
+        yield _batch(got, width)
+        return
+    batches = -(-queries.count() // most)
+    for b in range(batches):
+        yield _batch(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == b).toArrow(), width)
+
+
+def _batch(got: pa.Table, width: int | None) -> tuple[np.ndarray, np.ndarray]:
+    vectors, rows = vector_rows(got.column("vec"), width)
+    return id_array(got.column("query_id"))[rows], vectors
+
+
+def list_batch(query_ids: np.ndarray, best: RunningTopK, types: list[pa.DataType]) -> pa.RecordBatch:
+    """A task's lists as (query_id, product_id, score)."""
+    rows, scores, ids = best.lists()
+    return pa.RecordBatch.from_arrays([pa.array(query_ids[rows]).cast(types[0]), pa.array(ids).cast(types[1]), pa.array(scores)],
+                                      names=["query_id", "product_id", "score"])
+
+
+def list_schema(queries: DataFrame, products: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
+                         T.StructField("product_id", products.schema["product_id"].dataType), T.StructField("score", T.DoubleType())])
+
+
+def ranked_best(lists: list[DataFrame], k: int, source: str) -> DataFrame:
+    """(query_id, source, product_id, score, rank) of the tasks' lists."""
+    ranked = top_k(reduce(DataFrame.unionByName, lists), "query_id", [F.col("score").desc(), F.col("product_id").asc()], k)
+    return ranked.select("query_id", F.lit(source).alias("source"), "product_id", "score", "rank")
 
 
 def dense_search(queries: DataFrame, products: DataFrame, k: int, dim: int | None = None,
                  query_col: str = "query_id", product_col: str = "product_id",
                  query_vec: str = "embedding", product_vec: str = "embedding",
-                 source: str = "dense", digits: int | None = 9,
-                 product_blocks: int | None = None, query_blocks: int | None = None,
-                 rows_per_block: int = 50_000) -> DataFrame:
+                 source: str = "dense", digits: int | None = 9, batch_bytes: int = QUERY_BATCH_BYTES) -> DataFrame:
     """Ranked list (query_id, source, product_id, score, rank 0-based) of the
     k nearest products of every query by inner product of the L2-normalised
-    ``dim``-prefixes. Only real products are ranked (k > N gives N rows)."""
-    spark = queries.sparkSession
-    q = queries.select(F.col(query_col).alias("query_id"),
-                       prefix_normalized(query_vec, dim).alias("vec"))
-    p = products.select(F.col(product_col).alias("product_id"),
-                        prefix_normalized(product_vec, dim).alias("vec"))
-    if product_blocks is None or query_blocks is None:
-        # sizes unknown: count both sides (cheap on persisted vector tables)
-        pb_, qb_ = block_counts(spark, products.count(), queries.count(), rows_per_block)
-        product_blocks = product_blocks or pb_
-        query_blocks = query_blocks or qb_
-    pb, qb = int(product_blocks), int(query_blocks)
-    p = (p.withColumn("pblk", F.pmod(F.xxhash64("product_id"), F.lit(pb)).cast("int"))
-          .withColumn("qblk", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-    q = (q.withColumn("qblk", F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int"))
-          .withColumn("pblk", F.explode(F.sequence(F.lit(0), F.lit(pb - 1)))))
-    schema = _CELL_SCHEMA.format(qt=q.schema["query_id"].dataType.simpleString(),
-                                 pt=p.schema["product_id"].dataType.simpleString())
-    cells = (p.groupBy("qblk", "pblk")
-             .cogroup(q.groupBy("qblk", "pblk"))
-             .applyInPandas(_cell_topk(int(k), digits), schema=schema))
-    ranked = top_k(cells, "query_id", [F.col("score").desc(), F.col("product_id").asc()], k)
-    return ranked.select("query_id", F.lit(source).alias("source"), "product_id", "score", "rank")
+    ``dim``-prefixes. Only real products are ranked (k > N gives N rows).
+    Fetches the queries; the scan is lazy unless there are several batches."""
+    q = queries.select(F.col(query_col).alias("query_id"), prefix(query_vec, dim).alias("vec"))
+    p = products.select(F.col(product_col).alias("product_id"), prefix(product_vec, dim).alias("vec"))
+    schema = list_schema(q, p)
+    types, k = [to_arrow_type(f.dataType) for f in schema], int(k)
+
+    def scan(shared):
+        def run(batches):
+            ids, vectors = shared.value
+            best, at_once = RunningTopK(len(ids), k, digits), max(1, SCORES_AT_ONCE // 10_000)
+            for batch in batches if len(ids) else ():
+                products, rows = vector_rows(batch.column(1), vectors.shape[1])
+                names = id_array(batch.column(0))[rows]
+                for lo in range(0, len(ids) if len(rows) else 0, at_once):
+                    part = np.arange(lo, min(lo + at_once, len(ids)))
+                    best.add(part, vectors[part] @ products.T, names)
+            yield list_batch(ids, best, types)
+        return run
+
+    context = queries.sparkSession.sparkContext
+    lists = (p.mapInArrow(scan(context.broadcast(b)), schema) for b in query_batches(q, k, dim, batch_bytes))
+    return ranked_best(one_by_one(lists), k, source)
+
+
+def one_by_one(lists: Iterator[DataFrame]) -> list[DataFrame]:
+    """All lists; from the second on each is written when it is made, so that
+    the driver fetches a batch only after the one before is done."""
+    first = next(lists)
+    second = next(lists, None)
+    if second is None:
+        return [first]
+    return [written(first), written(second), *(written(x) for x in lists)]

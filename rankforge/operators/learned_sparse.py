@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.functions.scoring import sparse_activation
-from rankforge.functions.text import analyze
 from rankforge.operators.bm25 import pad_with_zero_scores, sum_by_document
 from rankforge.operators.ranking import ranked_list
 from rankforge.sources.clustered import write_clustered
@@ -32,14 +31,6 @@ def activations(logits: DataFrame, id_col: str = "doc_id", term_col: str = "term
             .where(F.col("weight") > 0))
 
 
-def log_tf_weights(df: DataFrame, id_col: str, text_col: str, null_as: str | None = "") -> DataFrame:
-    """Model-free term weights ln(1 + tf) of unstemmed tokens (the fixture
-    stand-in for a learned encoder)."""
-    tf = analyze(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
-                 "doc_id", "text", stem=False, null_as=null_as)
-    return tf.select("doc_id", "term", F.log1p(F.col("tf").cast("double")).alias("weight"))
-
-
 def encode_sparse(df: DataFrame, id_col: str, text_col: str,
                   encoder: Callable[[list], Iterable[dict]], batch_size: int = 128,
                   term_type: str = "string") -> DataFrame:

@@ -4,8 +4,8 @@ The top ``k`` candidates per query are cut with a window limit (partial per
 task, before the shuffle), spread over the cluster, and scored with
 
 * a JVM column expression (``token_overlap_scorer``, used in checks), or
-* a user model through ``predict_batch_udf``: the model is built once per
-  Python worker and fed Arrow batches of (query, text) pairs.
+* a user model in a pandas UDF: the model is loaded once per Python worker
+  (``functions/models.py``) and fed Arrow batches of (query, text) pairs.
 """
 
 from __future__ import annotations
@@ -13,9 +13,11 @@ from __future__ import annotations
 from typing import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankforge.functions.models import Model, loaded
 from rankforge.functions.text import word_tokens
 from rankforge.operators.ranking import top_k
 
@@ -29,25 +31,19 @@ def token_overlap_scorer(query: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(shared, F.size(q).cast("double")), F.lit(0.0)) + shared * F.lit(0.001)
 
 
-def model_scorer(make_predict_fn: Callable, batch_size: int = 2048):
-    """Wrap a model factory as a scorer over two string columns.
+def model_scorer(model: Model, batch_size: int = 2048):
+    """A user model as a scorer over two string columns: ``model.load`` gives
+    ``predict(queries: list, texts: list) -> scores``, once per Python worker."""
 
-    ``make_predict_fn()`` returns ``predict(queries: np.ndarray, texts:
-    np.ndarray) -> np.ndarray`` of scores; it runs once per worker."""
-    from pyspark.ml.functions import predict_batch_udf
-    from pyspark.sql.types import DoubleType
-
-    def factory():
-        predict = make_predict_fn()
-
-        def run(queries: np.ndarray, texts: np.ndarray) -> np.ndarray:
-            return np.asarray(predict(queries, texts), dtype=np.float64)
-        return run
-
-    udf = predict_batch_udf(factory, return_type=DoubleType(), batch_size=batch_size)
+    @F.pandas_udf("double")
+    def score(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        predict = loaded(model)
+        parts = [np.asarray(predict(queries[lo:lo + batch_size].tolist(), texts[lo:lo + batch_size].tolist()), np.float64)
+                 for lo in range(0, len(queries), batch_size)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     def scorer(query: Column, text: Column) -> Column:
-        return udf(F.coalesce(query.cast("string"), F.lit("None")), F.coalesce(text, F.lit("")))
+        return score(F.coalesce(query.cast("string"), F.lit("None")), F.coalesce(text, F.lit("")))
     return scorer
 
 

@@ -23,8 +23,9 @@ from rankforge.operators import prep
 from rankforge.operators.bm25 import bm25_search, build_bm25_index
 from rankforge.operators.dense import dense_search
 from rankforge.operators.fusion import rrf_fuse, union_ranked
-from rankforge.operators.learned_sparse import activations, sparse_search
-from rankforge.operators.rerank import rerank
+from rankforge.operators.ivf import build_ivf, ivf_search, recall_at_k
+from rankforge.operators.learned_sparse import activations, build_sparse_index, sparse_search
+from rankforge.operators.rerank import model_scorer, rerank
 from rankforge.operators.stems import apply_dictionary, stem_dictionary
 from rankforge.plans import experiment as X
 from rankforge.plans import pipeline as pl
@@ -255,6 +256,25 @@ def _dense_q(d):
     return run
 
 
+def q_ivf_all_probes(spark, sf):
+    """OPT-2 reading every cell: the exact list, from the inverted file."""
+    index = build_ivf(fixture(spark, sf, "fx_vec_products"), dim=64, k=VEC_TOP_K)
+    q = fixture(spark, sf, "fx_vec_queries")
+    return _ranked_out(ivf_search(index, q, VEC_TOP_K, 64, probes=len(index.centroids)))
+
+
+def q_ivf_recall(spark, sf):
+    """OPT-2 with tuned probes against the exact scan: every row whose id is
+    divisible by 20 as a query against all rows."""
+    emb = table(spark, sf, "embeddings")
+    products = emb.select(F.col("vec_id").alias("product_id"), "embedding")
+    q = emb.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    index = build_ivf(products, dim=64, k=VEC_TOP_K)
+    recall = recall_at_k(ivf_search(index, q, VEC_TOP_K, 64), dense_search(q, products, VEC_TOP_K, 64))
+    return recall.agg(F.count(F.lit(1)).alias("n_queries"), F.sum("n_exact").alias("n_exact"),
+                      (F.sum("n_found") >= 0.9 * F.sum("n_exact")).alias("recall_reached"))
+
+
 def q_dense_vector_metrics(spark, sf):
     """Dense-only retrieval on the embedding fixture, evaluated per query."""
     q = fixture(spark, sf, "fx_vec_queries")
@@ -430,37 +450,47 @@ def q_exact_flag(spark, sf):
 
 
 # ------------------------------------------------------------------ user-model surfaces (UDF-1/2/4)
+def _model_encoders():
+    """The stand-in models as user models: loaded in the workers."""
+    from rankforge.functions.encoders import log_tf_encoder, make_hashed_bow_encoder
+    from rankforge.functions.models import DenseEncoder, Model, SparseEncoder
+    return (DenseEncoder(Model("hashed-bow-64", lambda path: make_hashed_bow_encoder(64)), 64),
+            SparseEncoder(Model("log-tf-model", lambda path: log_tf_encoder)))
+
+
 def q_encoded_dense_topk(spark, sf):
-    """UDF-1: dense vectors from a user encoder (predict_batch_udf), then JN-9."""
-    from rankforge.config import QUERY_INSTRUCTION
-    from rankforge.functions.encoders import make_hashed_bow_encoder
+    """UDF-1: dense vectors from a user model, then JN-9."""
     art = _art(spark, sf)
     queries = prep.gatekeep(art.queries, art.pairs, "broad")
-    pv = pl.encode_dense(art.products, "product_id", "product_text_dense",
-                         lambda: make_hashed_bow_encoder(64), dim=64)
-    qv = pl.encode_dense(queries.withColumn("query", F.coalesce("query", F.lit("None"))), "query_id", "query",
-                         lambda: make_hashed_bow_encoder(64, prefix=QUERY_INSTRUCTION), dim=64)
-    return _ranked_out(dense_search(qv, pv, DEFAULT.dense_top_k, 64))
+    dense, _ = _model_encoders()
+    pv = dense.documents(art.products, "product_id", "product_text_dense")
+    return _ranked_out(dense_search(dense.queries(queries, "query_id", "query"), pv, DEFAULT.dense_top_k, 64))
 
 
 def q_encoded_sparse_topk(spark, sf):
-    """UDF-2: learned-sparse weights from a user encoder (mapInPandas), then JN-11."""
-    from rankforge.functions.encoders import log_tf_encoder
-    from rankforge.operators.learned_sparse import build_sparse_index, encode_sparse
+    """UDF-2: learned-sparse weights from a user model, then JN-11."""
     art = _art(spark, sf)
     queries = prep.gatekeep(art.queries, art.pairs, "broad")
-    docs = build_sparse_index(encode_sparse(art.products, "product_id", "product_text_dense", log_tf_encoder))
-    qw = (encode_sparse(queries.withColumn("query", F.coalesce("query", F.lit("None"))), "query_id", "query",
-                        log_tf_encoder).withColumnRenamed("doc_id", "query_id"))
-    return _ranked_out(sparse_search(qw, docs, DEFAULT.sparse_top_k))
+    _, sparse = _model_encoders()
+    docs = build_sparse_index(sparse.documents(art.products, "product_id", "product_text_dense"))
+    return _ranked_out(sparse_search(sparse.queries(queries, "query_id", "query"), docs, DEFAULT.sparse_top_k))
+
+
+def q_search_page_encoded(spark, sf):
+    """API-5 with user models: the retrievers encode the ad-hoc queries."""
+    art = _art(spark, sf)
+    dense, sparse = _model_encoders()
+    retr = pl.build_retrievers(art, dense_encoder=dense, sparse_encoder=sparse)
+    return pl.search_batch(fixture(spark, sf, "fx_queries").select("query_id", "query"), art, retr)
 
 
 def q_rerank_model(spark, sf):
-    """UDF-4: rescoring with a user model through predict_batch_udf."""
+    """UDF-4: rescoring with a user model."""
     from rankforge.functions.encoders import make_overlap_scorer
-    from rankforge.operators.rerank import model_scorer
+    from rankforge.functions.models import Model
     _, c = _cands(spark, sf)
-    rr = rerank(c, scorer=model_scorer(make_overlap_scorer, batch_size=256), k=RERANK_K, spread=8)
+    scorer = model_scorer(Model("token-overlap", lambda path: make_overlap_scorer()), batch_size=256)
+    rr = rerank(c, scorer=scorer, k=RERANK_K, spread=8)
     return rr.select("query_id", "product_id", r6("ce_score").alias("ce_score"))
 
 
@@ -513,7 +543,8 @@ def q_sparse_index_roundtrip(spark, sf):
 
 def q_artifacts_roundtrip(spark, sf):
     art = _art(spark, sf)
-    pv, qv = pl.encode_hashed(art)
+    retr = pl.build_retrievers(art, ("dense",))
+    pv, qv = retr.product_vectors, retr.query_vectors
     path = io.scratch_path(spark, "artifacts")
     io.write_artifacts(spark, path, "hash-a", "test", pv, qv, art.pairs)
     pv2, qv2, pairs2 = io.read_artifacts(spark, path, "hash-a", "test")
@@ -571,6 +602,8 @@ def queries() -> dict[str, QueryFn]:
         "doc_term_counts": q_doc_term_counts,
         "vector_prefix_norm": q_vector_prefix_norm,
         **{f"dense_topk_{d}": _dense_q(d) for d in SWEEP_DIMS},
+        "ivf_all_probes": q_ivf_all_probes,
+        "ivf_recall": q_ivf_recall,
         "dense_vector_metrics": q_dense_vector_metrics,
         "sparse_activation": q_sparse_activation,
         "learned_sparse_topk": q_learned_sparse_topk,
@@ -596,6 +629,7 @@ def queries() -> dict[str, QueryFn]:
         "exact_flag": q_exact_flag,
         "encoded_dense_topk": q_encoded_dense_topk,
         "encoded_sparse_topk": q_encoded_sparse_topk,
+        "search_page_encoded": q_search_page_encoded,
         "rerank_model": q_rerank_model,
         "safe_metric_names": q_safe_metric_names,
         "pairs_roundtrip": q_pairs_roundtrip,

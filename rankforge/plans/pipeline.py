@@ -12,22 +12,19 @@ search_batch     a table of ad-hoc query strings -> result pages  (API-5)
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from typing import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rankforge.config import BM25Params, RetrievalConfig
-from rankforge.functions.encoders import hashed_bow_table
+from rankforge.functions.models import HashedEncoder, LogTfEncoder, check_vectors
 from rankforge.operators import prep
 from rankforge.operators.bm25 import BM25Index, bm25_search, build_bm25_index
-from rankforge.operators.dense import block_counts, dense_search
+from rankforge.operators.dense import dense_search
 from rankforge.operators.fusion import rrf_fuse, union_ranked
-from rankforge.operators.learned_sparse import build_sparse_index, log_tf_weights, sparse_search
+from rankforge.operators.learned_sparse import build_sparse_index, sparse_search
 from rankforge.operators.ranking import top_k
 from rankforge.operators.rerank import rerank, token_overlap_scorer
-from rankforge.session import checkpoint_dir
+from rankforge.sources.clustered import written
 
 
 # ------------------------------------------------------------------ API-1
@@ -59,79 +56,52 @@ class SplitArtifacts:
 def split_artifacts(pairs: DataFrame, split: str = "test", materialize: bool = True) -> SplitArtifacts:
     """SRC-4: the split's pair rows with its unique products and queries.
 
-    ``materialize`` writes the split rows once with a reliable ``checkpoint``
-    (into the session's shared checkpoint folder) -- the reference saves its
-    pair table too. Every later consumer (products, queries, gatekeeper,
-    grade lookup, judged ideal) then reads that table instead of re-running
-    the whole preparation plan, and a lost executor re-reads it from shared
-    storage rather than recomputing."""
+    ``materialize`` writes the split rows once as Parquet below the session's
+    shared checkpoint folder -- the reference saves its pair table too. Every
+    later consumer (products, queries, gatekeeper, grade lookup, judged ideal)
+    reads the columns it needs of that table instead of re-running the whole
+    preparation plan, and a lost executor re-reads it from shared storage."""
     rows = prep.filter_split(pairs, split)
     if materialize:
-        checkpoint_dir(rows.sparkSession)
-        rows = rows.checkpoint(eager=True)
+        rows = written(rows)
     return SplitArtifacts(rows, prep.unique_products(rows), prep.unique_queries(rows))
 
 
-# ------------------------------------------------------------------ UDF-1
-def encode_hashed(art: SplitArtifacts, dim: int = 64, model: str = "a") -> tuple[DataFrame, DataFrame]:
-    """Stand-in dense encoder (column expressions): products encode their
-    dense text, queries the instructed query (PRJ-5)."""
-    pv = hashed_bow_table(art.products, "product_id", F.col("product_text_dense"), dim, model)
-    qv = hashed_bow_table(art.queries, "query_id", prep.instructed_query(), dim, model)
-    return pv, qv
-
-
-def encode_dense(df: DataFrame, id_col: str, text_col: str, make_encoder: Callable,
-                 dim: int, batch_size: int = 32) -> DataFrame:
-    """UDF-1: a user encoder over texts, batched through Arrow, model built
-    once per Python worker. ``make_encoder()`` returns ``encode(texts:
-    np.ndarray) -> np.ndarray (n, dim)``; outputs are L2-normalised later."""
-    import numpy as np
-    from pyspark.ml.functions import predict_batch_udf
-
-    def factory():
-        encode = make_encoder()
-
-        def run(texts: np.ndarray) -> np.ndarray:
-            return np.asarray(encode(texts), dtype=np.float32)
-        return run
-
-    udf = predict_batch_udf(factory, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size,
-                            input_tensor_shapes=None)
-    return df.select(id_col, udf(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("embedding"))
-
-
 # ------------------------------------------------------------------ retrievers
 @dataclass
 class Retrievers:
+    """Indexes and vectors of a split, with the encoders that made them: ad-hoc
+    queries are encoded by the same models."""
     product_vectors: DataFrame | None = None   # product_id, embedding
     query_vectors: DataFrame | None = None     # query_id, embedding
     bm25: BM25Index | None = None              # over product titles
     splade_docs: DataFrame | None = None       # doc_id, term, weight
     splade_queries: DataFrame | None = None    # query_id, term, weight
-    dense_blocks: tuple[int, int] | None = None  # (product, query) blocks, from counted sizes
+    dense_encoder: object | None = None        # DenseEncoder, HashedEncoder or the like
+    sparse_encoder: object | None = None       # SparseEncoder, LogTfEncoder or the like
 
 
 def build_retrievers(art: SplitArtifacts, sources=("dense", "bm25", "splade"), dim: int = 64,
                      model: str = "a", bm25_params: BM25Params = BM25Params(),
-                     persist: bool = True) -> Retrievers:
-    """Vectors, BM25 index and learned-sparse weights of a split.
+                     persist: bool = True, dense_encoder=None, sparse_encoder=None) -> Retrievers:
+    """Vectors, BM25 index and learned-sparse weights of a split, by the given
+    encoders (default: the stand-ins, ``dim`` wide, variant ``model``).
 
     With ``persist`` they are cached (memory, spilling to disk): every run of
     a sweep, every prefix dimension and every query batch reuses them, as the
     reference reuses its prebuilt indexes. Lost cache blocks are recomputed
-    from lineage, which starts at the checkpointed split rows."""
-    r = Retrievers()
+    from lineage, which starts at the written split rows."""
+    r = Retrievers(dense_encoder=dense_encoder or HashedEncoder(dim, model), sparse_encoder=sparse_encoder or LogTfEncoder())
     if "dense" in sources:
-        r.product_vectors, r.query_vectors = encode_hashed(art, dim, model)
+        r.product_vectors = r.dense_encoder.documents(art.products, "product_id", "product_text_dense")
+        r.query_vectors = r.dense_encoder.queries(art.queries, "query_id", "query")
     if "bm25" in sources:
         titles = art.products.select(F.col("product_id").alias("doc_id"),
                                      prep.bm25_title().alias("text"))
         r.bm25 = build_bm25_index(titles, "doc_id", "text", bm25_params)
     if "splade" in sources:
-        r.splade_docs = log_tf_weights(art.products, "product_id", "product_text_dense")
-        r.splade_queries = (log_tf_weights(art.queries, "query_id", "query", null_as="None")
-                            .withColumnRenamed("doc_id", "query_id"))
+        r.splade_docs = r.sparse_encoder.documents(art.products, "product_id", "product_text_dense")
+        r.splade_queries = r.sparse_encoder.queries(art.queries, "query_id", "query")
     if persist:
         if r.splade_docs is not None:
             r.splade_docs = build_sparse_index(r.splade_docs)
@@ -140,10 +110,6 @@ def build_retrievers(art: SplitArtifacts, sources=("dense", "bm25", "splade"), d
             if df is not None:
                 setattr(r, name, df.persist())
         # the BM25 index is already written once when built
-    if r.product_vectors is not None:
-        # one job sizes the dense blocks (and fills the cache when persisted)
-        r.dense_blocks = block_counts(art.pairs.sparkSession, r.product_vectors.count(),
-                                      r.query_vectors.count())
     return r
 
 
@@ -153,10 +119,10 @@ def ranked_lists(queries: DataFrame, retr: Retrievers, cfg: RetrievalConfig,
     out: dict[str, DataFrame] = {}
     qids = queries.select("query_id")
     if "dense" in cfg.sources and retr.product_vectors is not None:
+        if retr.dense_encoder is not None:
+            check_vectors(retr.product_vectors, retr.dense_encoder, dim=cfg.dim)
         qv = retr.query_vectors.join(qids, "query_id", "left_semi")
-        pb, qb = retr.dense_blocks or (None, None)
-        out["dense"] = dense_search(qv, retr.product_vectors, cfg.dense_top_k, cfg.dim,
-                                    digits=cfg.score_digits, product_blocks=pb, query_blocks=qb)
+        out["dense"] = dense_search(qv, retr.product_vectors, cfg.dense_top_k, cfg.dim, digits=cfg.score_digits)
     if "splade" in cfg.sources and retr.splade_docs is not None:
         qw = retr.splade_queries.join(qids, "query_id", "left_semi")
         docs = products.select(F.col("product_id").alias("doc_id")) if products is not None else None
@@ -203,19 +169,25 @@ INTERACTIVE_CONFIG = RetrievalConfig(dense_top_k=200, sparse_top_k=200, candidat
 
 def search_batch(query_table: DataFrame, art: SplitArtifacts, retr: Retrievers,
                  cfg: RetrievalConfig = INTERACTIVE_CONFIG, top_n: int = 10,
-                 scorer=token_overlap_scorer, model: str = "a") -> DataFrame:
+                 scorer=token_overlap_scorer) -> DataFrame:
     """A table of (query_id, query) strings in, result pages out:
     (query_id, position, rerank_score rounded to 3, product_title).
 
     All sources retrieve ``dense_top_k`` / ``sparse_top_k`` candidates, the
-    fused top ``candidate_top_k`` are rescored and the best ``top_n`` kept."""
+    fused top ``candidate_top_k`` are rescored and the best ``top_n`` kept.
+    Queries are encoded by the retrievers' own encoders; vectors of another
+    model or width raise before any job runs."""
     q = query_table.select("query_id", "query")
     adhoc = Retrievers(product_vectors=retr.product_vectors, bm25=retr.bm25, splade_docs=retr.splade_docs)
-    if retr.product_vectors is not None:
-        adhoc.query_vectors = hashed_bow_table(q, "query_id", prep.instructed_query(), 64, model)
-    if retr.splade_docs is not None:
-        adhoc.splade_queries = (log_tf_weights(q, "query_id", "query", null_as="None")
-                                .withColumnRenamed("doc_id", "query_id"))
+    if retr.product_vectors is not None and "dense" in cfg.sources:
+        if retr.dense_encoder is None:
+            raise ValueError("the retrievers have vectors but no dense encoder for the queries")
+        check_vectors(retr.product_vectors, retr.dense_encoder, dim=cfg.dim)
+        adhoc.query_vectors = retr.dense_encoder.queries(q, "query_id", "query")
+    if retr.splade_docs is not None and "splade" in cfg.sources:
+        if retr.sparse_encoder is None:
+            raise ValueError("the retrievers have term weights but no sparse encoder for the queries")
+        adhoc.splade_queries = retr.sparse_encoder.queries(q, "query_id", "query")
     lists = ranked_lists(q, adhoc, cfg, art.products)
     fused = rrf_fuse(union_ranked(list(lists.values())), cfg.weights, cfg.rrf_k, cfg.candidate_top_k)
     cands = (fused.join(q, "query_id")

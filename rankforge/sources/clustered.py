@@ -20,10 +20,15 @@ def _name() -> str:
     return f"rankforge_{uuid.uuid4().hex}"
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A fresh folder below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{_name()}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as Parquet below the shared checkpoint folder (runs a job): cuts
     lineage, prunes columns when read, survives lost executors."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{_name()}"
+    path = scratch_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -84,13 +84,13 @@ def _unit(v):
     return v / max(n, 1e-10)
 
 
-@pytest.mark.parametrize("blocks", [(1, 1), (3, 1), (7, 2)])
-def test_dense_blocks_equal_brute_force(spark, blocks):
+@pytest.mark.parametrize("batch_bytes", [64 << 20, 2000])
+def test_dense_scan_equals_brute_force(spark, batch_bytes):
     emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
     q = emb.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     p = emb.where("vec_id % 25 <> 0").select(F.col("vec_id").alias("product_id"), "embedding")
     k, dim = 20, 16
-    got = dense_search(q, p, k, dim, product_blocks=blocks[0], query_blocks=blocks[1]).collect()
+    got = dense_search(q, p.repartition(3), k, dim, batch_bytes=batch_bytes).collect()
     Q = {r.query_id: _unit(np.asarray(r.embedding[:dim], dtype=np.float64)) for r in q.collect()}
     P = {r.product_id: _unit(np.asarray(r.embedding[:dim], dtype=np.float64)) for r in p.collect()}
     for qid, qv in Q.items():
@@ -122,12 +122,41 @@ def test_learned_sparse_and_activation(spark):
     assert got == [(0, 2, 5.0), (1, 1, 1.0)]
 
 
-@pytest.mark.parametrize("n_cols,kk", [(50, 7), (5000, 40), (9000, 9000)])
-def test_chunk_topk_orders_by_score_then_column(n_cols, kk):
-    from rankforge.operators.dense import _chunk_topk
+@pytest.mark.parametrize("strings", [False, True])
+def test_running_top_k_orders_by_score_then_id(strings):
+    from rankforge.operators.dense import RunningTopK
     rng = np.random.default_rng(7)
-    S = np.round(rng.random((6, n_cols)), 2)          # many exact ties
-    got = _chunk_topk(S, kk)
-    for i in range(S.shape[0]):
-        want = sorted(range(n_cols), key=lambda j: (-S[i, j], j))[:kk]
-        assert list(got[i]) == want
+    n, k = 6, 40
+    scores = np.round(rng.random((n, 9000)), 2)          # many exact ties
+    ids = rng.permutation(9000)
+    ids = ids.astype(str) if strings else ids
+    best = RunningTopK(n, k, 9)
+    best._most = 500                                      # several cuts
+    for lo in range(0, 9000, 700):
+        for rows in (np.arange(4), np.arange(4, n)):
+            best.add(rows, scores[rows, lo:lo + 700], ids[lo:lo + 700])
+    rows, got, names = best.lists()
+    for i in range(n):
+        want = sorted(zip(-scores[i], ids))[:k]
+        assert [(-s, p) for s, p in zip(got[rows == i], names[rows == i])] == want
+
+
+def test_dense_odd_vectors(spark):
+    nan = float("nan")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [nan, 1.0])], "query_id long, embedding array<double>")
+    p = spark.createDataFrame([("a", [1.0, 1.0]), ("b", None), ("c", [float("inf"), 0.0]), ("d", [2.0, None]), ("e", [3.0, 0.0]), ("e", [3.0, 0.0])],
+                              "product_id string, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.product_id) for r in dense_search(q, p, 5).collect())
+    assert got == [(1, 0, "e"), (1, 1, "e"), (1, 2, "a")]
+    assert dense_search(q.limit(0), p, 5).count() == 0 and dense_search(q, p.limit(0), 5).count() == 0
+    with pytest.raises(Exception, match="2 components, 3 expected|3 components, 2 expected"):
+        wide = spark.createDataFrame([("w", [1.0, 2.0, 3.0])], "product_id string, embedding array<double>")
+        dense_search(q, wide, 5).collect()
+
+
+def test_dense_plan_scans_products_in_place(spark):
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    q = emb.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    df = dense_search(q, emb.withColumnRenamed("vec_id", "product_id"), 5, 16)
+    below = df._jdf.queryExecution().executedPlan().toString().split("MapInArrow", 1)[1]
+    assert "Exchange" not in below and "Generate" not in below and "Join" not in below
