@@ -24,6 +24,7 @@ TOKEN_BUDGET = 256
 # ---- end of fixed values ----
 
 
+# ---- fixed values: parameters of the reference runs, as defaults ----
 @dataclass(frozen=True)
 class BM25Params:
     k1: float = 1.5
@@ -55,3 +56,4 @@ class RetrievalConfig:
 class EvalConfig:
     recall_ks: tuple[int, ...] = RECALL_KS
     ndcg_ks: tuple[int, ...] = NDCG_KS
+# ---- end of fixed values ----

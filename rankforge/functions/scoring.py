@@ -43,11 +43,6 @@ def bm25_tf_part(tf, dl, avgdl, k1: float, b: float) -> Column:
     return t * F.lit(k1 + 1.0) / (t + F.lit(k1) * norm)
 
 
-def bm25_weight(tf, dl, avgdl, n_docs, doc_freq, k1: float = 1.5, b: float = 0.75) -> Column:
-    """AGG-8: weight of one posting."""
-    return bm25_tf_part(tf, dl, avgdl, k1, b) * bm25_idf(n_docs, doc_freq)
-
-
 def sparse_activation(logit) -> Column:
     """SCL-13 (one position): log(1 + relu(logit))."""
     return F.log1p(F.greatest(_col(logit).cast("double"), F.lit(0.0)))

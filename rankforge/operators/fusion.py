@@ -35,7 +35,11 @@ def rrf_fuse(ranked: DataFrame, weights: Mapping[str, float], rrf_k: int = 60,
     rrf = sum over sources of weight / (k + rank0 + 1). Equal scores keep the
     order of first insertion: earlier source first, then its rank. Weighted
     sources that ``source_order`` does not name follow it in the order of
-    ``weights``."""
+    ``weights``. A list whose source has no weight raises; give it 0 to leave
+    it out."""
+    known = F.col("source").isin(list(weights))
+    ranked = ranked.withColumn("rank", F.when(known, F.col("rank")).otherwise(
+        F.raise_error(F.concat(F.lit("no fusion weight for source "), F.coalesce("source", F.lit("null")))).cast("int")))
     source_order = [*source_order, *(s for s in weights if s not in source_order)]
     parts = [F.sum(F.when(F.col("source") == s, rrf_term("rank", rrf_k, float(weights.get(s, 0.0)))))
              .alias(f"__{s}") for s in source_order]

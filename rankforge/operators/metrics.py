@@ -119,12 +119,13 @@ def evaluate(cands: DataFrame, pairs: DataFrame, recall_ks: Sequence[int] = RECA
 
 def ndcg_self_ideal(cands: DataFrame, ks: Sequence[int] = NDCG_KS, score: str | None = None) -> DataFrame:
     """AGG-13: nDCG@k against the ideal order of the *retrieved* grades
-    themselves; 0 when that ideal is 0. Per query."""
-    r = _ranked(cands, score)
-    w = Window.partitionBy("query_id").orderBy(F.col("grade").desc())
-    r = r.withColumn("ipos", F.row_number().over(w))
-    agg = r.groupBy("query_id").agg(*[F.coalesce(dcg("grade", "pos", k), F.lit(0.0)).alias(f"dcg_{k}") for k in ks],
-                                    *[F.coalesce(dcg("grade", "ipos", k), F.lit(0.0)).alias(f"idcg_{k}") for k in ks])
+    themselves; 0 when that ideal is 0. Per query. Both orders stop at the
+    largest cut-off (partial window limits)."""
+    got = dcg_at_k(cands, ks, score)
+    base = cands.select("query_id", F.coalesce(F.col("grade").cast("double"), F.lit(0.0)).alias("grade"))
+    best = top_k(base, "query_id", [F.col("grade").desc()], max(ks), rank_name="ipos", zero_based=False)
+    ideal = best.groupBy("query_id").agg(*[F.coalesce(dcg("grade", "ipos", k), F.lit(0.0)).alias(f"idcg_{k}") for k in ks])
+    agg = got.join(ideal, "query_id")
     return agg.select("query_id", *[F.when(F.col(f"idcg_{k}") > 0, F.col(f"dcg_{k}") / F.col(f"idcg_{k}"))
                                     .otherwise(F.lit(0.0)).alias(f"ndcg_{k}") for k in ks])
 

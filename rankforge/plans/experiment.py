@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankforge.config import NDCG_KS, RECALL_KS, SOURCE_ORDER, RetrievalConfig
+from rankforge.functions.names import join_sources
 from rankforge.functions.scoring import lift_pct, rrf_term
 from rankforge.operators import metrics as M
 from rankforge.operators import prep
@@ -66,18 +67,24 @@ def weight_grid_runs(sources: Sequence[str], dim: int, weight_grid: Sequence[Map
 
 def run_table(spark, runs: Sequence[Run]) -> DataFrame:
     """(strategy, dimension, source, sources, weight, rrf_k): one row per
-    (run, source); its size is the grid the caller asked for."""
-    rows = [(r.name, r.dimension, s, ",".join(r.sources), float(r.weights.get(s, 0.0)), int(r.rrf_k))
-            for r in runs for s in r.sources]
-    return spark.createDataFrame(
-        rows, "strategy string, dimension int, source string, sources string, weight double, rrf_k int")
+    (run, source); its size is the grid the caller asked for. A source without
+    a weight raises."""
+    for r in runs:
+        if lacking := [s for s in r.sources if s not in r.weights]:
+            raise ValueError(f"run {r.name} has no fusion weight for source {', '.join(lacking)}")
+    rows = [(r.name, r.dimension, s, list(r.sources), float(r.weights[s]), int(r.rrf_k)) for r in runs for s in r.sources]
+    table = spark.createDataFrame(
+        rows, "strategy string, dimension int, source string, sources array<string>, weight double, rrf_k int")
+    return table.withColumn("sources", join_sources("sources"))
 
 
 def sweep_candidates(art: SplitArtifacts, retr: Retrievers, cfg: RetrievalConfig = RetrievalConfig(),
                      dims: Sequence[int] = (64, 32, 16, 8),
                      strategies: Mapping[str, Sequence[str]] = STRATEGIES,
-                     runs: Sequence[Run] | None = None) -> DataFrame:
-    """EXP-1 / EXP-2: fused candidates of every run, one plan.
+                     runs: Sequence[Run] | None = None, extra: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """EXP-1 / EXP-2: fused candidates of every run, one plan. Ranked lists of
+    other sources come in ``extra`` (name -> list); they add in after the
+    built-in sources, in the order given.
 
     Each retriever runs once (dense once per dimension used); the ranked
     lists are tagged with their runs by a join with the run table, and each
@@ -87,7 +94,10 @@ def sweep_candidates(art: SplitArtifacts, retr: Retrievers, cfg: RetrievalConfig
     runs = list(runs) if runs is not None else grid_runs(strategies, dims, cfg)
     queries = prep.gatekeep(art.queries, art.pairs, "broad")
     qids = queries.select("query_id")
-    used = {s for r in runs for s in r.sources}
+    used, extra = {s for r in runs for s in r.sources}, dict(extra or {})
+    order = [*SOURCE_ORDER, *(s for s in extra if s not in SOURCE_ORDER)]
+    if unknown := sorted(used - set(order)):
+        raise ValueError(f"no ranked list for source {', '.join(unknown)}")
     lists = []
     if "dense" in used:
         qv = retr.query_vectors.join(qids, "query_id", "left_semi")
@@ -101,6 +111,9 @@ def sweep_candidates(art: SplitArtifacts, retr: Retrievers, cfg: RetrievalConfig
         qw = retr.splade_queries.join(qids, "query_id", "left_semi")
         lists.append(sparse_search(qw, retr.splade_docs, cfg.sparse_top_k, "splade", cfg.score_digits)
                      .withColumn("dimension", F.lit(None).cast("int")))
+    for s in (s for s in extra if s in used):
+        lists.append(extra[s].select("query_id", F.lit(s).alias("source"), "product_id", "score", "rank")
+                     .withColumn("dimension", F.lit(None).cast("int")))
     ranked = reduce(DataFrame.unionByName, lists)
     table = run_table(spark, runs)
     dense_runs = ranked.where(F.col("source") == "dense").join(F.broadcast(table), ["source", "dimension"])
@@ -109,11 +122,11 @@ def sweep_candidates(art: SplitArtifacts, retr: Retrievers, cfg: RetrievalConfig
     tagged = dense_runs.unionByName(other_runs).repartition("query_id")
     keys = ["strategy", "dimension", "sources"]
     term = rrf_term("rank", F.col("rrf_k"), F.col("weight"))
-    parts = [F.sum(F.when(F.col("source") == s, term)).alias(f"__{s}") for s in SOURCE_ORDER]
-    code = F.coalesce(*[F.when(F.col("source") == s, F.lit(i)) for i, s in enumerate(SOURCE_ORDER)])
+    parts = [F.sum(F.when(F.col("source") == s, term)).alias(f"__{s}") for s in order]
+    code = F.coalesce(*[F.when(F.col("source") == s, F.lit(i)) for i, s in enumerate(order)])
     agg = tagged.groupBy(*keys, "query_id", "product_id").agg(
         *parts, F.min(F.struct(code.alias("src"), F.col("rank").alias("pos"))).alias("__first"))
-    total = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"__{s}"), F.lit(0.0)) for s in SOURCE_ORDER])
+    total = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"__{s}"), F.lit(0.0)) for s in order])
     fused = agg.select(*keys, "query_id", "product_id", total.alias("rrf_score"), "__first")
     w = Window.partitionBy(*keys, "query_id").orderBy(F.col("rrf_score").desc(), F.col("__first.src"),
                                                      F.col("__first.pos"))
@@ -127,10 +140,11 @@ def sweep_candidates(art: SplitArtifacts, retr: Retrievers, cfg: RetrievalConfig
 def sweep_metrics(art: SplitArtifacts, retr: Retrievers, cfg: RetrievalConfig = RetrievalConfig(),
                   dims: Sequence[int] = (64, 32, 16, 8), strategies: Mapping[str, Sequence[str]] = STRATEGIES,
                   model: str = "Baseline", recall_ks: Sequence[int] = RECALL_KS,
-                  ndcg_ks: Sequence[int] = NDCG_KS, runs: Sequence[Run] | None = None) -> DataFrame:
+                  ndcg_ks: Sequence[int] = NDCG_KS, runs: Sequence[Run] | None = None,
+                  extra: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """SET-2: one metric row per run (model, strategy, dimension, sources,
     recall_k..., ndcg_k...)."""
-    cands = sweep_candidates(art, retr, cfg, dims, strategies, runs)
+    cands = sweep_candidates(art, retr, cfg, dims, strategies, runs, extra)
     keys = ["strategy", "dimension", "sources"]
     w = Window.partitionBy(*keys, "query_id").orderBy(F.col("rrf_score").desc(), F.col("product_id").asc())
     ranked = cands.withColumn("pos", F.row_number().over(w))

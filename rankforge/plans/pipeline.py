@@ -134,6 +134,12 @@ def ranked_lists(queries: DataFrame, retr: Retrievers, cfg: RetrievalConfig,
     return out
 
 
+def _check_weights(cfg: RetrievalConfig) -> None:
+    lacking = [s for s in cfg.sources if s not in cfg.weights]
+    if lacking:
+        raise ValueError(f"no fusion weight for source {', '.join(lacking)}")
+
+
 def grade_lookup(pairs: DataFrame) -> DataFrame:
     """JN-4 source: one grade per (query, product), the last judgment wins."""
     w = Window.partitionBy("query_id", "product_id").orderBy(F.col("example_id").desc())
@@ -156,6 +162,7 @@ def attach_lookups(fused: DataFrame, art: SplitArtifacts) -> DataFrame:
 def build_candidates(art: SplitArtifacts, retr: Retrievers, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """API-2: (query_id, product_id, grade, rrf_score, query, product_text_dense)
     for the fused top ``candidate_top_k`` of every gatekept query."""
+    _check_weights(cfg)
     queries = prep.gatekeep(art.queries, art.pairs, "broad")
     lists = ranked_lists(queries, retr, cfg, art.products)
     fused = rrf_fuse(union_ranked(list(lists.values())), cfg.weights, cfg.rrf_k, cfg.candidate_top_k)
@@ -177,6 +184,7 @@ def search_batch(query_table: DataFrame, art: SplitArtifacts, retr: Retrievers,
     fused top ``candidate_top_k`` are rescored and the best ``top_n`` kept.
     Queries are encoded by the retrievers' own encoders; vectors of another
     model or width raise before any job runs."""
+    _check_weights(cfg)
     q = query_table.select("query_id", "query")
     adhoc = Retrievers(product_vectors=retr.product_vectors, bm25=retr.bm25, splade_docs=retr.splade_docs)
     if retr.product_vectors is not None and "dense" in cfg.sources:

@@ -19,6 +19,7 @@ from rankforge.functions.names import safe_metric_name
 from rankforge.operators.bm25 import BM25Index
 from rankforge.config import BM25Params
 from rankforge.session import checkpoint_dir, shuffle_partitions
+from rankforge.sources.checked import Scan, checked_scan
 from rankforge.sources.clustered import read_clustered, write_clustered
 
 EXAMPLES_SCHEMA = T.StructType([
@@ -40,14 +41,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 # ------------------------------------------------------------------ sources
+def scan_examples(spark: SparkSession, path: str) -> Scan:
+    """SRC-1 (judgments): checked scan; a judgment needs its four keys."""
+    return checked_scan(spark, path, EXAMPLES_SCHEMA, required=("example_id", "query_id", "product_id", "product_locale"))
+
+
+def scan_products(spark: SparkSession, path: str) -> Scan:
+    """SRC-1 (products): checked scan; a product needs id and locale."""
+    return checked_scan(spark, path, PRODUCTS_SCHEMA, required=("product_id", "product_locale"))
+
+
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-1 (judgments) with an explicit schema -- no inference pass."""
-    return spark.read.schema(EXAMPLES_SCHEMA).parquet(path)
+    """SRC-1 (judgments): the good rows of ``scan_examples``."""
+    return scan_examples(spark, path).rows
 
 
 def read_products(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-1 (products)."""
-    return spark.read.schema(PRODUCTS_SCHEMA).parquet(path)
+    """SRC-1 (products): the good rows of ``scan_products``."""
+    return scan_products(spark, path).rows
 
 
 def read_pairs(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -157,11 +168,25 @@ def write_metrics_csv(metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_run_csvs(metrics: DataFrame, out_dir: str, kind: str = "candidates") -> dict[str, str]:
+    """SNK-4 for a sweep: one CSV per (dimension, sources), named by them;
+    {path: sources}. ``sources`` is the joined text of a metric row. Fetches
+    the runs, one row each."""
+    out = {}
+    for r in metrics.select("dimension", "sources").distinct().orderBy("dimension", "sources").collect():
+        path = metrics_csv_path(out_dir, r["dimension"], r["sources"].split(","), kind)
+        write_metrics_csv(metrics.where((F.col("dimension") == r["dimension"]) & (F.col("sources") == r["sources"])), path)
+        out[path] = r["sources"]
+    return out
+
+
 def run_log(metrics: DataFrame, run_prefix: str, params: dict, metric_cols, key_cols=("strategy", "dimension")) -> DataFrame:
-    """SNK-5 rows: (run_name, ts, params map<string,string>, metrics map<string,double>).
+    """SNK-5 rows: (run_id, run_name, ts, params map<string,string>, metrics
+    map<string,double>).
 
     Names are made safe (SCL-17); the actual parameters of each run are
-    logged (not a default that was not used)."""
+    logged (not a default that was not used). ``run_id`` is a hash of the name
+    and the parameters: a repeated run has the id it had before."""
     name = F.concat_ws("__", F.lit(run_prefix), *[F.col(c).cast("string") for c in key_cols])
     p_items = []
     for k, v in params.items():
@@ -171,12 +196,20 @@ def run_log(metrics: DataFrame, run_prefix: str, params: dict, metric_cols, key_
     m_items = []
     for c in metric_cols:
         m_items += [safe_metric_name(F.lit(c)), F.col(c).cast("double")]
-    return metrics.select(name.alias("run_name"),
-                          F.lit(_dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)).alias("ts"),
-                          F.create_map(*p_items).alias("params"),
-                          F.create_map(*m_items).alias("metrics"))
+    told = metrics.select(name.alias("run_name"), F.create_map(*p_items).alias("params"), F.create_map(*m_items).alias("metrics"))
+    identity = F.sha2(F.concat_ws("\n", "run_name", F.to_json(F.array_sort(F.map_entries("params")))), 256)
+    return told.select(identity.alias("run_id"), "run_name", F.lit(_dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)).alias("ts"),
+                       "params", "metrics")
 
 
 def append_run_log(rows: DataFrame, path: str) -> None:
-    """SNK-5: append-only run log."""
-    rows.write.mode("append").parquet(path)
+    """SNK-5: add runs to the log. The log is partitioned by run id and a write
+    replaces the partitions of its own runs only, so a repeated job, or a retry
+    after a lost driver, does not double a run; other runs stay."""
+    (rows.repartition("run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id").parquet(path))
+
+
+def read_run_log(spark: SparkSession, path: str) -> DataFrame:
+    """The log: one row per run."""
+    return spark.read.parquet(path).select("run_id", "run_name", "ts", "params", "metrics")
