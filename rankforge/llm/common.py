@@ -41,13 +41,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(text.cast("binary")) % HELD_OUT_MOD == 0
 
 
-def sample_by_hash(df: DataFrame, stratum: str, per_stratum: int, key: str = "doc_id") -> DataFrame:
-    """About ``per_stratum`` rows of each stratum, chosen by a hash of the key.
+def sample_by_hash(df: DataFrame, stratum: str, per_stratum: int, key: str = "doc_id", most_strata: int = 1000) -> DataFrame:
+    """About ``per_stratum`` rows of each of the ``most_strata`` largest strata,
+    chosen by a hash of the key.
 
     Strata with fewer rows are taken whole. At most twice the wanted number
     of rows comes back, so a caller may collect what it derives from them.
     """
-    counts = [(r[0], r[1]) for r in df.groupBy(stratum).count().orderBy(F.desc("count")).limit(1000).collect()]
+    counts = [(r[0], r[1]) for r in df.groupBy(stratum).count().orderBy(F.desc("count"), stratum).limit(most_strata).collect()]
     if not counts:
         return df.limit(0)
     share = F.lit(0.0)

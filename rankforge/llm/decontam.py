@@ -9,10 +9,14 @@ sum(min) / sum(max) >= ``threshold`` with the item, weights being counts.
 1. A bitmap of fixed size over the hashes of all benchmark shingles, in the
    plan as a constant, shrinks each text to the hashes of documents that could
    hold enough shingles of some item. It drops no document that does.
-2. A window that reaches the threshold holds at least threshold * m of the m
-   shingles of its item. The positions of an item's shingles so give the starts
-   of the item-sized windows that can reach it; the item is then forgotten.
-3. SimHash: 64 counters over the shingles of a window give its fingerprint.
+2. A window of k shingles that reaches the threshold t shares at least
+   t (k + m) / (1 + t) of the m shingles of its item. The positions of an item's
+   shingles so give the starts of the item-sized windows that can reach it; the
+   item is then forgotten.
+3. SimHash: 64 counters over the shingles of a window give its fingerprint. The
+   second and later occurrences of a shingle count as shingles of their own, so
+   the weighted similarity is the plain one of these sets, and a shingle that
+   repeats often moves the fingerprint no more than others together.
 4. Multi-index Hamming blocks: fingerprints are cut into ``radius`` + 1 blocks;
    two of them within ``radius`` bits agree in a block, so an equi-join on
    (length, block, value) finds all items within the radius.
@@ -92,10 +96,14 @@ def blocks_of(print_: Column, radius: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(radius)), block)
 
 
-def shared(a: Column, b: Column) -> Column:
-    """Sum over shingles of the smaller count."""
-    times = lambda xs, h: F.size(F.filter(xs, lambda x: x == h))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, h: acc + F.least(times(a, h), times(b, h)))
+def numbered(shingles: Column) -> Column:
+    """The shingles with the second and later occurrences of one hashed with
+    their number. The sum of the smaller counts of two texts then is the size
+    of an intersection."""
+    def occurrence(a: Column):
+        return lambda x, i: let(F.size(F.filter(F.slice(a, 1, i), lambda y: y == x)), lambda c: F.when(c == 0, x).otherwise(F.xxhash64(x, c)))
+
+    return let(shingles, lambda a: F.when(F.size(F.array_distinct(a)) == F.size(a), a).otherwise(F.transform(a, occurrence(a))))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = RADIUS) -> DataFrame:
@@ -106,11 +114,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     scratch = Scratch(spark)
     items = (benchmark.select("item_id", words_of(F.col("text")).alias("w")).where("size(w) > 0")
              .select("item_id", F.size("w").alias("n_words"), shingles_of(F.col("w")).alias("item"))
-             .withColumn("m", F.size("item")).withColumn("item_print", let(F.col("item"), fingerprint)))
-    items = scratch.save(items, "items")
-    need = F.ceil(F.lit(threshold) * F.col("m") - F.lit(1e-9)).cast("int")  # shared shingles a window needs
-    grams = scratch.save(items.select("item_id", "n_words", "m", need.alias("need"), F.explode(F.array_distinct("item")).alias("hash")), "grams")
-    stats = grams.agg(F.min("need"), F.count("*"), F.min("n_words")).first()
+             .withColumn("m", F.size("item")).withColumn("set", numbered(F.col("item"))))
+    items = scratch.save(scratch.save(items, "numbered").withColumn("item_print", let(F.col("set"), fingerprint)), "items")
+    grams = scratch.save(items.select("item_id", "n_words", "m", F.explode(F.array_distinct("item")).alias("hash")), "grams")
+    # the shortest window that can reach the threshold has threshold * m shingles and shares them all
+    fewest = F.ceil(F.lit(threshold) * F.col("m") - F.lit(1e-9)).cast("int")
+    stats = grams.agg(F.min(fewest), F.count("*"), F.min("n_words")).first()
     least, n_grams, shortest = stats[0] or 1, stats[1], stats[2] or WORDS
     small = F.broadcast if n_grams <= SMALL_ROWS else (lambda df: df)
 
@@ -138,6 +147,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     # ---- item-sized windows that can reach the threshold
     hits = (held.select("row", F.size("grams").alias("n"), F.posexplode("grams").alias("pos", "hash"))
             .join(small(grams.where(F.col("n_words") >= WORDS)), "hash"))
+    k = F.least("n", "m")  # shingles of a window
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (k + F.col("m")) - F.lit(1e-9)).cast("int").alias("need")
+    hits = hits.select("row", "n", "item_id", "m", need, "pos")
     spots = (hits.groupBy("row", "n", "item_id", "m", "need").agg(F.sort_array(F.collect_list("pos")).alias("at"))
              .where(F.size("at") >= F.col("need")))
     ends = F.sequence(F.lit(0), F.size("at") - F.col("need"))
@@ -147,19 +159,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
         F.sequence(F.least(F.greatest(F.get("at", i + F.col("need") - 1) - F.col("m") + 1, F.lit(0)), lasts), F.least(F.get("at", i), lasts)))
         .otherwise(F.array().cast("array<int>"))))
     windows = spots.select("row", "m", F.explode(F.array_distinct(starts)).alias("start")).distinct()
+    # the windows are cut in the row: exploding first would carry the whole document along with each
+    cut = F.transform("wanted", lambda x: F.struct(x["m"].alias("m"), x["start"].alias("start"), F.slice("grams", x["start"] + 1, x["m"]).alias("window")))
     windows = (windows.groupBy("row").agg(F.collect_list(F.struct("m", "start")).alias("wanted")).join(held, "row")
-               .select("row", "doc_id", "text_key", "grams", F.explode("wanted").alias("x"))
-               .select("row", "doc_id", "text_key", "x.m", "x.start", F.slice("grams", F.col("x.start") + 1, F.col("x.m")).alias("window")))
-    windows = scratch.save(windows.withColumn("print", let(F.col("window"), fingerprint)), "windows")
+               .select("row", "doc_id", "text_key", F.inline(cut)).withColumn("window", numbered(F.col("window"))))
+    windows = scratch.save(scratch.save(windows, "numbered-windows").withColumn("print", let(F.col("window"), fingerprint)), "windows")
 
     # ---- multi-index blocks, then the exact similarity
     keyed = windows.select("*", F.posexplode(blocks_of(F.col("print"), radius)).alias("block", "value"))
-    sides = items.select("item_id", "item", "m", "item_print", F.posexplode(blocks_of(F.col("item_print"), radius)).alias("block", "value"))
+    sides = items.select("item_id", "set", "m", "item_print", F.posexplode(blocks_of(F.col("item_print"), radius)).alias("block", "value"))
     equal = F.zip_with(blocks_of(F.col("print"), radius), blocks_of(F.col("item_print"), radius), lambda a, b: a == b)
     near = (keyed.join(small(sides), ["m", "block", "value"])
             .where((F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
                    & (F.array_position(equal, F.lit(True)) == F.col("block") + 1)))  # one row for all blocks they share
-    both = shared(F.col("window"), F.col("item"))
+    both = F.size(F.array_intersect("window", "set"))
     found = (near.select("row", "doc_id", "text_key", "item_id", "m", "start", F.size("window").alias("k"), both.alias("both"))
              .withColumn("similarity", F.col("both") / (F.col("k") + F.col("m") - F.col("both")))
              .where(F.col("similarity") >= threshold)

@@ -15,7 +15,8 @@ nothing of are rejected.
 
 Odd input: null text or text without a letter gets ``und`` with score 0 and is
 rejected; repeated rows get equal answers; an empty table gives an empty
-result; if there is nothing to learn from, every text gets ``und``.
+result; if there is nothing to learn from, every text gets ``und``; extra
+columns are ignored or kept, a name that clashes with an output raises.
 """
 
 from __future__ import annotations
@@ -153,19 +154,27 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], width: int = 16, epoch
                  float(min(1.5 / len(languages), np.quantile(sure, reject_share))))
 
 
-def fit(docs: DataFrame, per_language: int = 300, **options) -> Model | None:
+def fit(docs: DataFrame, per_language: int = 300, most_languages: int = 1000, **options) -> Model | None:
     """Train on at most about ``per_language`` documents of each language
-    whose id is not held out. Collects only the sample's n-gram counts."""
+    whose id is not held out, of the ``most_languages`` languages with the most
+    documents (ties: by name); others cannot be predicted. Collects only the
+    sample's n-gram counts."""
     usable = docs.select("doc_id", "lang", "text").where(
         ~held_out() & F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
     rows = [(r["lang"], np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<f4"))
-            for r in counted(sample_by_hash(usable, "lang", per_language)).collect()]
+            for r in counted(sample_by_hash(usable, "lang", per_language, most_strata=most_languages)).collect()]
     return train(rows, **options) if rows else None
 
 
 # ------------------------------------------------------------- operator
-def predict(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFrame:
-    """``columns`` of every document plus lang_pred, score and rejected."""
+OUTPUT = ("lang_pred", "score", "rejected")
+
+
+def predict(docs: DataFrame, model: Model | None, columns: list[str], names: tuple[str, str, str] = OUTPUT) -> DataFrame:
+    """``columns`` of every document plus lang_pred, score and rejected, under
+    ``names``. Raises if a column has one of these names already."""
+    if taken := sorted({n.lower() for n in names} & {c.lower() for c in columns}):
+        raise ValueError(f"the documents have a column {', '.join(taken)} already: choose other names")
     shape = docs.select(*columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape.schema)
     own = [f"_rf_{i}" for i in range(len(columns))]
@@ -195,7 +204,7 @@ def predict(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFra
                 rejected[lo:hi][ok] = score[lo:hi][ok] < model.reject_below
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in own] + [pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)],
-                names=[*columns, "lang_pred", "score", "rejected"])
+                names=[*columns, *names])
 
     renamed = docs.select(*[F.col(c).alias(o) for c, o in zip(columns, own)], F.col("text").cast("string").alias("_rf_text"))
-    return renamed.mapInArrow(classify, f"{schema}, lang_pred string, score double, rejected boolean")
+    return renamed.mapInArrow(classify, schema + ", `{}` string, `{}` double, `{}` boolean".format(*names))

@@ -11,7 +11,8 @@ data, so it is broadcast: placement is one array lookup per row, no shuffle,
 and a hot source or key is spread because the key is the document id.
 
 Odd input: a null key hashes like the empty text; repeated ids meet in the
-same shard; an empty table gives an empty result; extra columns stay.
+same shard; an empty table gives an empty result; extra columns stay; a
+column that has the name of an output already raises.
 """
 
 from __future__ import annotations
@@ -60,6 +61,8 @@ def slot_of(key: Column, size: int) -> Column:
 def assign(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE,
            slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
     """``df`` with the slot and the shard name of every row."""
+    if taken := sorted({slot_col.lower(), shard_col.lower()} & {c.lower() for c in df.columns}):
+        raise ValueError(f"the table has a column {', '.join(taken)} already: choose other names")
     spark = df.sparkSession
     table = lookup_table(shards, size)
     rows = spark.createDataFrame([(i, shards[s]) for i, s in enumerate(table.tolist())], f"_rf_slot long, `{shard_col}` string")
