@@ -8,7 +8,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet in the shared checkpoint folder and hands the written table to
-the next one. All stages but the last return the columns of ``documents``.
+the next one. All stages but the last return the columns of ``documents``, extra
+ones included, whatever their names. Null and empty texts go with the first
+stage; repeated rows are near copies of each other; an empty table gives an
+empty result at every stage.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ from rankforge.llm.queries import table, tokenizer_files
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language the classifier does not reject (null text or no
     letter: rejected). The model learns from ``docs`` itself."""
-    judged = langid.predict(docs, langid.fit(docs), docs.columns)
-    return judged.where("NOT rejected").select(*docs.columns)
+    names = ("_rf_lang", "_rf_score", "_rf_rejected")
+    judged = langid.predict(docs, langid.fit(docs), docs.columns, names)
+    return judged.where("NOT _rf_rejected").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
