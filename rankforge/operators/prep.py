@@ -122,8 +122,9 @@ def label_grade(col: str = "esci_label"):
     return F.try_element_at(m, F.col(col))
 
 
-def add_product_text(df: DataFrame) -> DataFrame:
-    """PRJ-3: 'title.' brand bullets, empty parts skipped, one space between."""
+def add_product_text(df: DataFrame, color_col: str | None = None) -> DataFrame:
+    """PRJ-3: 'title.' brand bullets, empty parts skipped, one space between.
+    OPT-5: with ``color_col`` the colour, cleaned like the others, comes last."""
     title = clean_field("product_title")
     brand = clean_field("product_brand")
     bullets = clean_field("product_bullet_point")
@@ -131,7 +132,8 @@ def add_product_text(df: DataFrame) -> DataFrame:
     def part(c):
         return F.when(c != "", c)
 
-    text = F.concat_ws(" ", part(F.when(title != "", F.concat(title, F.lit(".")))), part(brand), part(bullets))
+    text = F.concat_ws(" ", part(F.when(title != "", F.concat(title, F.lit(".")))), part(brand), part(bullets),
+                       *([part(clean_field(color_col))] if color_col else []))
     return df.withColumn("product_text_dense", text)
 
 

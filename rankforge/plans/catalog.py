@@ -120,6 +120,12 @@ def q_product_text(spark, sf):
     return prep.add_product_text(_f1(spark, sf)).select("example_id", "product_text_dense")
 
 
+def q_product_text_color(spark, sf):
+    """OPT-5: the first word of the title stands in for the colour column."""
+    colored = _f1(spark, sf).withColumn("product_color", F.split_part(F.trim("product_title"), F.lit(" "), F.lit(1)))
+    return prep.add_product_text(colored, "product_color").select("example_id", "product_text_dense")
+
+
 def q_pair_view(spark, sf):
     return _pairs(spark, sf)
 
@@ -722,6 +728,7 @@ def queries() -> dict[str, QueryFn]:
         "overlap_removed": q_overlap_removed,
         "overlap_removed_by_locale": q_overlap_removed_by_locale,
         "product_text": q_product_text,
+        "product_text_color": q_product_text_color,
         "pair_view": q_pair_view,
         "unique_products": q_unique_products,
         "unique_queries": q_unique_queries,

@@ -417,6 +417,10 @@ WHERE NOT coalesce(split = 'train' AND {cond}, false)"""
         CASE WHEN b <> '' THEN b END, CASE WHEN u <> '' THEN u END) AS product_text_dense
         FROM (SELECT example_id, {_clean('product_title')} AS t, {_clean('product_brand')} AS b,
                      {_clean('product_bullet_point')} AS u FROM f1) x""")
+    q["product_text_color"] = pairs_sql(f"""SELECT example_id, concat_ws(' ', CASE WHEN t <> '' THEN t || '.' END,
+        CASE WHEN b <> '' THEN b END, CASE WHEN u <> '' THEN u END, CASE WHEN t <> '' THEN split_part(t, ' ', 1) END) AS product_text_dense
+        FROM (SELECT example_id, {_clean('product_title')} AS t, {_clean('product_brand')} AS b,
+                     {_clean('product_bullet_point')} AS u FROM f1) x""")
     q["pair_view"] = pairs_sql("SELECT * FROM pairs")
     q["unique_products"] = pairs_sql("SELECT * FROM uprod")
     q["unique_queries"] = pairs_sql("SELECT * FROM uq")
