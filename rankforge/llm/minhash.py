@@ -9,11 +9,12 @@ one shingle; no words: the empty set, linked with nothing). Documents with
    signature of minima under many universal hashes and its band keys.
 2. Documents with equal digests are one class; only one representative goes on.
 3. Representatives that share a band key are candidates. Their signatures are
-   compared in blocks of bounded size; a block never lists its pairs but only
-   the edges of a spanning forest of what passes. Large-star / small-star
-   closes them into families.
-4. Only members of families are read again. Inside a family (in blocks, too)
-   links are confirmed on the full sets, again as a spanning forest, and
+   compared in blocks of bounded size that share a few pivots; a block never
+   lists its pairs but only the edges of a spanning forest of what passes.
+   Large-star / small-star closes them into families; what stays outside the
+   largest one of a band key then meets all members of that key.
+4. Only members of families are read again. Inside a family (in blocks, too,
+   in the same way) links are confirmed on the full sets, again as a spanning forest, and
    closed by large-star / small-star. No pair that passes the signature test
    and could join two components goes unconfirmed.
 5. The class of a document gives its component.
@@ -34,13 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.llm.common import Scratch, slices
-from rankforge.llm.components import block_pairs, connected_components, forest
+from rankforge.llm.components import close_groups, forest
 
 WORDS = 5
 MISS = 1.2e-5  # probability that a pair at the threshold shares no band
 MINIMA = 150  # at most; bands get as many rows as that allows
 SIGNATURE_SLACK = 0.17  # five standard errors or more, of 144 minima at 0.85 and of 145 at 0.8
 BLOCK = 1500  # members of a bucket or family that are compared at once
+SALTS = 1024  # shares that the copies of one set are dealt into
 SLICE_BYTES = 1 << 20
 
 SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>, signature binary"
@@ -171,9 +173,6 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 # ------------------------------------------------------------- linking
-EDGES = "u long, v long"
-
-
 def _edge_batch(ids: np.ndarray, edges: list[tuple[int, int]]) -> pa.Table:
     at = np.array(edges, np.int64).reshape(-1, 2)
     return pa.table({"u": ids[at[:, 0]], "v": ids[at[:, 1]]})
@@ -232,30 +231,36 @@ def link(docs: DataFrame, threshold: int = 85, block: int = BLOCK) -> DataFrame:
     bands, rows, slack = layout(threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.save(signatures(docs, bands, rows), "signed")
-    usable = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = usable.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
+    usable = signed.where("doc_id IS NOT NULL AND n_shingles > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    # a set that very many documents share is at most SALTS rows here
+    shares = scratch.save(usable.groupBy("set_id", "salt").agg(F.min("doc_id").alias("least")), "shares")
+    classes = shares.groupBy("set_id").agg(F.min("least").alias("rep"))
     # equal in both columns: one row per class (repeated rows apart), and no key is hot
     reps = usable.join(classes, (usable.set_id == classes.set_id) & (usable.doc_id == classes.rep), "left_semi")
     keyed = scratch.save(reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band")), "bands")
-    sizes = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = (block_pairs(keyed, sizes, "band", "rep", block)
-               .join(usable.select(F.col("doc_id").alias("rep"), "n_shingles", "signature"), "rep"))
-    found = (members.groupBy("band", "lo", "hi")
-             .applyInArrow(_families(slack, threshold), EDGES))
-    family = scratch.save(connected_components(found, scratch, "family"), "families")
+    held = usable.select(F.col("doc_id").alias("rep"), "n_shingles", "signature")
+    family = close_groups(*_sized(keyed, "band", scratch, "band-sizes"), held, "band", "rep", block,
+                          _families(slack, threshold), scratch, "family")
     scratch.drop("bands")
-    texts = docs.join(family, docs.doc_id == family.node).select("node", "component", "text")
-    sets = scratch.save(texts.mapInArrow(_shingle_sets, "node long, component long, shingles binary"), "sets")
-    sizes = family.groupBy("component").agg(F.count("*").alias("n"))
-    links = (block_pairs(sets, sizes, "component", "node", block)
-             .groupBy("component", "lo", "hi").applyInArrow(_confirm(threshold), EDGES))
-    joined = scratch.save(connected_components(links, scratch, "linked"), "joined")
+    placed, most = _sized(family, "component", scratch, "family-sizes")
+    texts = docs.join(placed, docs.doc_id == placed.node).select("node", "component", "n", "text")
+    sets = scratch.save(texts.mapInArrow(_shingle_sets, "node long, component long, n long, shingles binary"), "sets")
+    joined = close_groups(sets, most, sets.select("node", "shingles"), "component", "node", block,
+                          _confirm(threshold), scratch, "linked")
     classes = (classes.join(joined, classes.rep == joined.node, "left")
-               .select("set_id", F.coalesce("component", "rep").alias("_component")))
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("_component", "doc_id"))
-    return (signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
-            .select("doc_id", "n_shingles", component.cast("long").alias("component_id"),
-                    (component.isNull() | (component == F.col("doc_id"))).alias("kept"), "set_id"))
+               .select("set_id", F.coalesce("component", "rep").alias("component_id")))
+    own = shares.join(classes, "set_id").select("set_id", "salt", "component_id")
+    known = (usable.join(own, ["set_id", "salt"])
+             .select("doc_id", "n_shingles", "component_id", (F.col("component_id") == F.col("doc_id")).alias("kept"), "set_id"))
+    alone = (signed.where("doc_id IS NULL OR n_shingles = 0")
+             .select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "set_id"))
+    return known.union(alone)
+
+
+def _sized(rows: DataFrame, key: str, scratch: Scratch, name: str) -> tuple[DataFrame, int]:
+    """``rows`` of keys that occur more than once, with that number n; the largest n."""
+    sizes = scratch.save(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), name)
+    return rows.join(sizes, key), sizes.agg(F.max("n")).first()[0] or 0
 
 
 def _shingle_sets(batches):
@@ -264,9 +269,9 @@ def _shingle_sets(batches):
         for lo, hi, texts in _texts(batch, "text"):
             part = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays(
-                [part.column("node"), part.column("component"),
+                [part.column("node"), part.column("component"), part.column("n"),
                  pa.array([s.astype("<u8").tobytes() for s in shingler.sets(texts)], pa.binary())],
-                names=["node", "component", "shingles"])
+                names=["node", "component", "n", "shingles"])
 
 
 def dedup(docs: DataFrame, threshold: int = 80) -> DataFrame:
