@@ -42,6 +42,7 @@ SAMPLE_VALUES = 2_000_000  # numbers in the sample that the rotation is learned
 LOW_NORM = 0.01  # quantile of the centred square norms that the tables are made for
 MANY_TABLES = 48  # 42 are needed for 30 bits at 0.98 without a common direction
 ROW_COST = 250  # comparisons that take as long as moving one vector to a bucket
+SALTS = 1024  # shares that the copies of one vector are dealt into
 BLOCK = 2000  # members of a bucket that are compared at once
 TILE = 128
 
@@ -163,9 +164,13 @@ def link(vectors: DataFrame, threshold: float = 0.98, miss: float = 0.002, block
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"),
                           F.col("embedding").alias("vector"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
-    usable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull()
-                        & F.forall("vector", finite) & F.exists("vector", lambda x: x != 0))
-    classes = scratch.save(usable.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    fit = (F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull()
+           & F.forall("vector", finite) & F.exists("vector", lambda x: x != 0))
+    usable = rows.where(fit)
+    usable = usable.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
+    # a vector that very many rows share is at most SALTS rows here
+    shares = usable.groupBy("label", "vector", "salt").agg(F.min("vec_id").alias("least"), F.count("*").alias("c"))
+    classes = scratch.save(shares.groupBy("label", "vector").agg(F.min("least").alias("rep"), F.sum("c").alias("copies")), "classes")
     stats = classes.agg(F.count("*"), F.max(F.size("vector"))).first()
     count, dim = stats[0], stats[1] or 1
     wanted = max(2, min(count, SAMPLE_VALUES // dim))
@@ -203,9 +208,11 @@ def link(vectors: DataFrame, threshold: float = 0.98, miss: float = 0.002, block
     joined = scratch.save(connected_components(found.where("v IS NOT NULL").select("u", "v"), scratch, "linked"), "joined")
     links = found.where("v IS NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("_links"))
     of_class = (classes.join(links, "rep", "left").join(joined, classes.rep == joined.node, "left")
-                .select("label", "vector", (F.col("copies") - 1 + F.coalesce("_links", F.lit(0))).alias("_n"),
-                        F.coalesce("component", "rep").alias("_component")))
-    component = F.coalesce("_component", "vec_id")
-    return (rows.join(of_class, ["label", "vector"], "left")
-            .select("vec_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-                    F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept")))
+                .select("label", "vector", (F.col("copies") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links"),
+                        F.coalesce("component", "rep").alias("component_id")))
+    own = shares.select("label", "vector", "salt").join(of_class, ["label", "vector"])
+    known = (usable.join(own, ["label", "vector", "salt"])
+             .select("vec_id", "n_links", "component_id", (F.col("component_id") == F.col("vec_id")).alias("kept")))
+    alone = (rows.where(~F.coalesce(fit, F.lit(False)))
+             .select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")))
+    return known.union(alone)
