@@ -243,6 +243,7 @@ def link(docs: DataFrame, threshold: int = 85, block: int = BLOCK) -> DataFrame:
                           _families(slack, threshold), scratch, "family")
     scratch.drop("bands")
     placed, most = _sized(family, "component", scratch, "family-sizes")
+    placed = scratch.save(placed, "placed")  # light rows of known size: texts are only shuffled beside a large table
     texts = docs.join(placed, docs.doc_id == placed.node).select("node", "component", "n", "text")
     sets = scratch.save(texts.mapInArrow(_shingle_sets, "node long, component long, n long, shingles binary"), "sets")
     joined = close_groups(sets, most, sets.select("node", "shingles"), "component", "node", block,
