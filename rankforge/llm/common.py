@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankforge.session import checkpoint_dir, ship_package
@@ -45,8 +45,9 @@ def sample_by_hash(df: DataFrame, stratum: str, per_stratum: int, key: str = "do
     """About ``per_stratum`` rows of each of the ``most_strata`` largest strata,
     chosen by a hash of the key.
 
-    Strata with fewer rows are taken whole. At most twice the wanted number
-    of rows comes back, so a caller may collect what it derives from them.
+    Strata with fewer rows are taken whole. At most twice the wanted number of
+    rows of a stratum comes back, also where very many rows share a key, so a
+    caller may collect what it derives from them.
     """
     counts = [(r[0], r[1]) for r in df.groupBy(stratum).count().orderBy(F.desc("count"), stratum).limit(most_strata).collect()]
     if not counts:
@@ -54,8 +55,10 @@ def sample_by_hash(df: DataFrame, stratum: str, per_stratum: int, key: str = "do
     share = F.lit(0.0)
     for value, n in counts:
         share = F.when(F.col(stratum).eqNullSafe(F.lit(value)), F.lit(min(1.0, per_stratum / n))).otherwise(share)
-    pick = F.pmod(F.xxhash64(F.coalesce(F.col(key), F.lit(-1)), F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    return df.where(pick < share).limit(2 * per_stratum * len(counts))
+    order = F.xxhash64(F.coalesce(F.col(key), F.lit(-1)), F.lit(17))
+    pick = F.pmod(order, F.lit(1 << 20)) / float(1 << 20)
+    nth = F.row_number().over(Window.partitionBy(stratum).orderBy(order))
+    return df.where(pick < share).withColumn("_rf_nth", nth).where(F.col("_rf_nth") <= 2 * per_stratum).drop("_rf_nth")
 
 
 def slices(sizes: np.ndarray, budget: int):

@@ -274,7 +274,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Model | No
     # bounded by the parameter: small enough to broadcast
     scratch = Scratch(docs.sparkSession)
     picked = scratch.save(sample_by_hash(known.where(~held_out()), "label", per_class).select("doc_id", "label"), "picked")
-    sample = scratch.save(docs.join(F.broadcast(picked), "doc_id", "left_semi").limit(16 * per_class), "sample")
+    # one row of a repeated id, so that the sample stays bounded
+    sample = scratch.save(docs.join(F.broadcast(picked), "doc_id", "left_semi")
+                          .groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
+                          .select("doc_id", "row.*"), "sample")
     label = {r["doc_id"]: r["label"] for r in picked.collect()}
     known_rows = measured(sample).collect()
     y = np.array([label[r["doc_id"]] for r in known_rows], float)

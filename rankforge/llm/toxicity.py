@@ -257,7 +257,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Model | No
     picked = sample_by_hash(known, "label", per_class)  # at most 4 * per_class rows: small enough to broadcast
     scratch = Scratch(spark)
     sample = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-                          .join(F.broadcast(picked), "doc_id").limit(8 * per_class)
+                          .join(F.broadcast(picked), "doc_id")
+                          .groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # one row of a repeated id
                           .withColumn("aside", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0), "sample")
     lexicon = Lexicon(learn_lexicon(sample.where("NOT aside").select("text", "label")))
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankforge.llm import decontam, embeddings, langid, minhash, packing, pii, quality, queries, sharding, suffix, toxicity
+from rankforge.llm.common import sample_by_hash
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, `_row` string"
@@ -374,6 +375,29 @@ def test_pii_bootstrap_spreads_from_all_kinds(spark):
 
 
 # ------------------------------------------------------------- 8 and 10 classifiers
+def test_samples_with_hot_keys_stay_bounded_and_keep_every_stratum(spark):
+    rows = spark.range(60000).selectExpr("IF(id < 50000, IF(id < 20000, 7, NULL), id) AS doc_id",
+                                         "IF(id < 50000, 'hot', CONCAT('s', id % 40)) AS stratum")
+    got = sample_by_hash(rows, "stratum", 50)
+    sizes = {r["stratum"]: r["count"] for r in got.groupBy("stratum").count().collect()}
+    assert got.columns == rows.columns and max(sizes.values()) <= 100
+    assert all(20 <= sizes[f"s{k}"] for k in range(40))
+    again = sample_by_hash(rows.repartition(7), "stratum", 50).collect()
+    assert sorted(got.collect(), key=str) == sorted(again, key=str)
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_classifier_samples_take_one_row_of_a_repeated_id(spark, module):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    labels = labels.withColumn("toxic", F.pmod("doc_id", F.lit(2)))
+    once, often = module.fit(docs, labels, per_class=30), module.fit(docs.union(docs).union(docs), labels, per_class=30)
+    assert (once is None) == (often is None)
+    if module is toxicity:  # nothing but the sample is learned from
+        want, got = ({r["doc_id"]: r["score"] for r in module.score(docs, m).collect()} for m in (once, often))
+        assert want == pytest.approx(got)
+
+
 @pytest.mark.parametrize("module, target", [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers(spark, odd, none, module, target):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
