@@ -30,8 +30,7 @@ from rankforge.config import BM25Params
 from rankforge.functions.scoring import bm25_idf, bm25_tf_part
 from rankforge.functions.text import analyze
 from rankforge.operators.ranking import ranked_list
-from rankforge.session import shuffle_partitions
-from rankforge.sources.clustered import write_clustered, written
+from rankforge.sources.clustered import bucket_count, write_clustered, written
 
 MAX_QUERY_TERMS = 500_000  # broadcast rows of a batch of queries
 
@@ -65,7 +64,7 @@ class BM25Index:
         frequencies; take N, the total length and the postings count as
         numbers. Every search reads the written tables, and a lost executor
         re-reads them from shared storage."""
-        self.buckets = shuffle_partitions(self.postings.sparkSession)
+        self.buckets = self.buckets or bucket_count(self.postings)
         self.postings = write_clustered(self.postings, "doc_id", buckets=self.buckets, clustered=clustered)
         self.doc_freq = written(self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
         return self.measure()
@@ -104,9 +103,9 @@ def build_bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A null text indexes as '' (PRJ-4). With ``min_df`` > 1 the rare terms are
     removed before document lengths are taken, as a vocabulary cut does."""
-    ids = docs.select(F.col(id_col).alias("doc_id"))
+    ids, buckets = docs.select(F.col(id_col).alias("doc_id")), bucket_count(docs.select(id_col, text_col))
     tf = analyze(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
-                 "doc_id", "text", params.stem, null_as="", partitions=shuffle_partitions(docs.sparkSession))
+                 "doc_id", "text", params.stem, null_as="", partitions=buckets)
     if params.min_df > 1:
         keep = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
                 .where(F.col("df") >= params.min_df).select("term"))
@@ -115,7 +114,7 @@ def build_bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     postings = tf.select("doc_id", "term", F.col("tf").cast("long").alias("tf"),
                          dl.cast("long").alias("dl"))
     doc_freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    index = BM25Index(postings=postings, doc_freq=doc_freq, docs=ids, params=params)
+    index = BM25Index(postings=postings, doc_freq=doc_freq, docs=ids, params=params, buckets=buckets)
     return index.materialize(clustered=params.min_df <= 1) if materialize else index
 
 

@@ -3,8 +3,9 @@
 Postings and learned term weights are written in buckets of ``doc_id``. A scan
 then reports that clustering, so sums per (query, document) and the partial
 top-k behind them stay in the task that reads the bucket: no exchange of
-(query, document) rows. The bucket count is the session's shuffle partition
-count unless given, so it is sized with the cluster.
+(query, document) rows. The bucket count follows from the bytes that the
+written rows are computed from, and is at least the session's shuffle
+partition count, unless it is given.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from rankforge.session import checkpoint_dir, shuffle_partitions
 
 
+BUCKET_BYTES = 256 << 20  # source bytes that one bucket, and so one task of a search, stands for
+UNKNOWN_BYTES = 1 << 60  # Spark reports sizes it cannot tell as the largest long
+
+
 def _name() -> str:
     return f"rankforge_{uuid.uuid4().hex}"
 
@@ -33,13 +38,30 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def source_bytes(df: DataFrame) -> int:
+    """Bytes of the tables and files that ``df`` reads, as Spark's statistics
+    tell them without a job; sources of unknown size count 0. The analyzed plan
+    still names the files below a persisted table."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < UNKNOWN_BYTES)
+
+
+def bucket_count(df: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Buckets for rows computed from ``df``: one per ``bucket_bytes`` that it
+    reads, at least the shuffle partitions, at most what Spark allows."""
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    return min(max(shuffle_partitions(spark), -(-source_bytes(df) // bucket_bytes)), most)
+
+
 def write_clustered(df: DataFrame, key: str = "doc_id", path: str | None = None,
                     buckets: int | None = None, clustered: bool = False) -> DataFrame:
     """Write ``df`` in buckets of ``key`` (default: below the shared checkpoint
     folder) and return the bucketed table. Runs one job. ``clustered`` says
     that ``df`` already is hash-partitioned into ``buckets`` by the key."""
     spark = df.sparkSession
-    n = buckets or shuffle_partitions(spark)
+    n = buckets or bucket_count(df)
     name = _name()
     path = path or f"{checkpoint_dir(spark).rstrip('/')}/{name}"
     rows = df if clustered else df.repartition(n, key)

@@ -18,9 +18,9 @@ from pyspark.sql import types as T
 from rankforge.functions.names import safe_metric_name
 from rankforge.operators.bm25 import BM25Index
 from rankforge.config import BM25Params
-from rankforge.session import checkpoint_dir, shuffle_partitions
+from rankforge.session import checkpoint_dir
 from rankforge.sources.checked import Scan, checked_scan
-from rankforge.sources.clustered import read_clustered, write_clustered
+from rankforge.sources.clustered import bucket_count, read_clustered, write_clustered
 
 EXAMPLES_SCHEMA = T.StructType([
     T.StructField("example_id", T.LongType()), T.StructField("query", T.StringType()),
@@ -135,7 +135,7 @@ def write_bm25_index(index: BM25Index, path: str) -> None:
     """SNK-3: postings in buckets of doc_id, document frequencies, document
     ids, and a one-row table of counts and parameters."""
     base, spark = path.rstrip("/"), index.postings.sparkSession
-    buckets = index.buckets or shuffle_partitions(spark)
+    buckets = index.buckets or bucket_count(index.postings)
     written = BM25Index(write_clustered(index.postings, path=f"{base}/postings", buckets=buckets), index.doc_freq, index.docs,
                         index.params).measure()
     index.doc_freq.write.mode("overwrite").parquet(f"{base}/doc_freq")
@@ -151,7 +151,7 @@ def write_sparse_index(weights: DataFrame, docs: DataFrame, path: str) -> None:
     ids of all documents (also those without a weight), and a one-row table of
     counts."""
     base, spark = path.rstrip("/"), weights.sparkSession
-    buckets = shuffle_partitions(spark)
+    buckets = bucket_count(weights)
     table = write_clustered(weights.select("doc_id", "term", "weight"), path=f"{base}/weights", buckets=buckets)
     docs.select("doc_id").write.mode("overwrite").parquet(f"{base}/docs")
     (spark.createDataFrame([(docs.count(), table.count(), buckets)], "n_docs long, n_weights long, buckets int")

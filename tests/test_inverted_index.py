@@ -9,7 +9,7 @@ from rankforge.config import BM25Params
 from rankforge.functions.text import analyze
 from rankforge.operators import bm25
 from rankforge.operators.learned_sparse import build_sparse_index, sparse_search
-from rankforge.sources import io
+from rankforge.sources import clustered, io
 
 DOCS = [(1, "running shoes for running"), (2, "large tent"), (3, "the tent runs"), (4, ""), (5, None)]
 QUERIES = [(1, "run shoes"), (2, "tents"), (3, "the the large"), (4, "nothing"), (5, None)]
@@ -83,3 +83,32 @@ def test_reread_sparse_index(spark):
 def test_rows_that_share_an_id_are_added_up(spark):
     df = spark.createDataFrame([(1, "a b a"), (1, "a"), (2, ""), (3, None)], "id long, t string")
     assert rows(analyze(df, "id", "t", stem=False).select("id", "term", "tf")) == [(1, "a", 3), (1, "b", 1)]
+
+
+def test_buckets_follow_the_bytes_of_the_sources(spark, inputs, tmp_path, monkeypatch):
+    docs, queries = inputs
+    path = str(tmp_path / "docs")
+    docs.repartition(2).write.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "docs").glob("*.parquet"))
+    read = spark.read.parquet(path)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    joined = read.where("doc_id > 1").join(read.select("doc_id", F.upper("text").alias("t")), "doc_id")
+    assert clustered.source_bytes(read) == size and clustered.source_bytes(joined) == 2 * size
+    assert clustered.source_bytes(joined.persist()) == 2 * size  # not the estimate of a join
+    joined.unpersist()
+    assert clustered.source_bytes(docs) == 0 and clustered.bucket_count(docs) == least == clustered.bucket_count(read)
+    assert clustered.bucket_count(read, bucket_bytes=10) == -(-size // 10) > least
+    assert clustered.bucket_count(read, bucket_bytes=10) > clustered.bucket_count(read, bucket_bytes=40)
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "11")
+    try:
+        assert clustered.bucket_count(read, bucket_bytes=10) == 11
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+    want = rows(bm25.bm25_search(bm25.build_bm25_index(read), queries, 2))
+    monkeypatch.setattr(clustered.bucket_count, "__defaults__", (64,))
+    index = bm25.build_bm25_index(read)
+    assert index.buckets == -(-clustered.source_bytes(read.select("doc_id", "text")) // 64) > least
+    assert rows(bm25.bm25_search(index, queries, 2)) == want
+    io.write_bm25_index(index, str(tmp_path / "index"))
+    again = io.read_bm25_index(spark, str(tmp_path / "index"))
+    assert again.buckets == index.buckets and rows(bm25.bm25_search(again, queries, 2)) == want
