@@ -177,7 +177,7 @@ def ivf_search(index: IvfIndex, queries: DataFrame, k: int, dim: int | None = No
                     for lo in range(0, len(asking), step):
                         part = asking[lo:lo + step]
                         best.add(part, vectors[part] @ products[mine].T, names[mine])
-            yield D.list_batch(ids, best, types)
+            yield from D.list_batches(ids, best, types)
         return run
 
     def lists():

@@ -160,3 +160,25 @@ def test_dense_plan_scans_products_in_place(spark):
     df = dense_search(q, emb.withColumnRenamed("vec_id", "product_id"), 5, 16)
     below = df._jdf.queryExecution().executedPlan().toString().split("MapInArrow", 1)[1]
     assert "Exchange" not in below and "Generate" not in below and "Join" not in below
+
+
+def test_running_top_k_holds_its_lists_about_once():
+    """Merging and giving out the lists copies one range of queries at a time."""
+    import tracemalloc
+
+    from rankforge.operators.dense import ENTRIES_AT_ONCE, RunningTopK
+    rng = np.random.default_rng(11)
+    n, k = 4000, 500
+    lists = 24 * n * k
+    tracemalloc.start()
+    try:
+        best = RunningTopK(n, k, None)
+        for block in range(4):
+            for lo in range(0, n, 100):
+                best.add(np.arange(lo, lo + 100), rng.random((100, 2000)), np.arange(2000) + 2000 * block)
+        got = sum(len(rows) for rows, _, _ in best.ranges())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == n * k and n * k > 4 * ENTRIES_AT_ONCE
+    assert peak < 4 * lists, f"{peak / lists:.1f} times the lists"
