@@ -88,3 +88,39 @@ def test_analyze_counts_repeated_words(spark):
     df = spark.createDataFrame([(1, "red red ring"), (2, None)], "id int, t string")
     got = {(r.id, r.term): r.tf for r in analyze(df, "id", "t", stem=True).collect()}
     assert got == {(1, "red"): 2, (1, "ring"): 1}
+
+
+def test_a_batch_is_turned_into_strings_by_slices(spark):
+    """A batch of long texts is never held whole as Python strings."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from rankforge.functions.text import SLICE_BYTES, _lower_nfkd, _lower_nfkd_udf, text_slices
+    texts = [("É %d ω " % i) * 4000 for i in range(600)] + [None, "", "ﬁ"]
+    batch = pa.array(texts)
+    assert batch.nbytes > 16 * SLICE_BYTES
+    assert [n for _, n in text_slices(pa.array([None, "x" * 2 * SLICE_BYTES, "", "y"]))] == [1, 1, 2]
+    tracemalloc.start()
+    try:
+        got = _lower_nfkd_udf.func(batch)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.to_pylist() == [_lower_nfkd(t) for t in texts]
+    assert peak < batch.nbytes / 2
+
+
+def test_row_term_counts_equal_the_tokens_of_each_row(spark):
+    from collections import Counter
+
+    from rankforge.functions.text import row_term_counts
+    texts = ["B a b", "Crème İ K ﬁ x1", "", None, "a" * 5000 + " b", "--"]
+    df = spark.createDataFrame([(i % 4, "k", t) for i, t in enumerate(texts)], "id int, kind string, t string")
+    for null_as in ("", "None", None):
+        got = Counter((r.id, r.kind, r.term, r.tf) for r in row_term_counts(df, ["id", "kind"], "t", null_as).collect())
+        want = Counter()
+        for i, t in enumerate(texts):
+            t = null_as if t is None else t
+            want.update((i % 4, "k", w, n) for w, n in Counter(word_tokens_py(t)).items())
+        assert got == want
