@@ -16,7 +16,7 @@ needs no exchange of the counts; both give the same terms (tested).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankforge.functions.text import stem_udf
@@ -35,7 +35,8 @@ def stem_dictionary(counts: DataFrame, term_col: str = "term") -> DataFrame:
 def apply_dictionary(counts: DataFrame, dictionary: DataFrame, id_cols, most: int = MAX_BROADCAST_TERMS) -> DataFrame:
     """(id_cols..., term, tf) with every term replaced by its stem and the
     counts of equal stems added up. Terms that the dictionary lacks, and null
-    terms, stay as they are. Writes the dictionary once and counts it."""
+    terms, stay as they are. Writes the dictionary once and counts it; reads
+    ``counts`` up to twice, so counts that take long are best written."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     words = written(dictionary.select("term", "stem", "n_rows"))
     rows = counts.select(*ids, "term", "tf")
@@ -44,12 +45,14 @@ def apply_dictionary(counts: DataFrame, dictionary: DataFrame, id_cols, most: in
         stemmed = _joined(rows, F.broadcast(words.select("term", "stem")))
     else:
         # the frequency at which `most` terms are left; ties below it go to the exchange
-        bound = words.orderBy(F.desc("n_rows")).limit(most + 1).agg(F.min("n_rows")).first()[0]
+        sizes = words.groupBy("n_rows").agg(F.count(F.lit(1)).alias("n_terms"))  # one row per frequency
+        reached = sizes.withColumn("reached", F.sum("n_terms").over(Window.orderBy(F.desc("n_rows"))))
+        bound = reached.where(F.col("reached") > most).agg(F.max("n_rows")).first()[0]
         frequent = words.where(F.col("n_rows") > bound).select("term", "stem")
-        hot = rows.join(F.broadcast(frequent.select("term")), "term", "left_semi")
+        hot = rows.join(F.broadcast(frequent), "term")
         rest = rows.join(F.broadcast(frequent.select("term")), "term", "left_anti")
         rare = words.where(F.col("n_rows") <= bound).select("term", "stem")
-        stemmed = _joined(hot.select(*ids, "term", "tf"), F.broadcast(frequent)).unionByName(
+        stemmed = hot.select(*ids, "tf", F.col("stem").alias("term")).unionByName(
             _joined(rest.select(*ids, "term", "tf"), rare.hint("merge")))
     return stemmed.groupBy(*ids, "term").agg(F.sum("tf").alias("tf"))
 

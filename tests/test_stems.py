@@ -68,3 +68,14 @@ def test_no_sort_or_pattern_inside_the_stemmer_call(spark, counts):
         if "lambdafunction" in line:
             inner = line.split("lambdafunction(", 1)[1]
             assert "sort_array" not in inner and "regexp_extract_all" not in inner
+
+
+def test_stemmed_counts_tokenise_once(spark, tmp_path):
+    """The documents are read and counted for the written table only."""
+    from rankforge.plans import catalog
+    rows = [(1, "hopping hopped Hop"), (2, "hop crème"), (2, "hops"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.q_stemmed_counts(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "MapInArrow" not in plan and "regexp_extract_all" not in plan
+    assert rows_of(got, "doc_id", "term", "tf") == [(1, "hop", 3), (2, "cre", 1), (2, "hop", 2), (2, "me", 1)]
